@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnweave.llm import bpe, decontaminate, quality, simhash, warc
+from tarnweave.llm import bpe, decontaminate, linededup, quality, simhash, warc
 from tarnweave.session import scratch_path, table
 
 
@@ -32,6 +32,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.summarise(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op4_bpe": op4_bpe,
     "op5_decontaminate": op5_decontaminate,
+    "op6_linededup": op6_linededup,
     "op7_simhash": op7_simhash,
     "op10_quality": op10_quality,
 }
