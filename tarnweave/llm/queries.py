@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnweave.llm import bpe, decontaminate, linededup, quality, simhash, warc
+from tarnweave.llm import bpe, decontaminate, linededup, quality, simhash, suffixdedup, warc
 from tarnweave.session import scratch_path, table
 
 
@@ -40,6 +40,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_linededup": op6_linededup,
     "op7_simhash": op7_simhash,
+    "op9_suffixdedup": op9_suffixdedup,
     "op10_quality": op10_quality,
 }
 
