@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnweave.llm import bpe, decontaminate, linededup, quality, simhash, suffixdedup, warc
+from tarnweave.llm import annsearch, bpe, chatformat, decontaminate, licenses, linededup, quality, simhash, suffixdedup, warc
 from tarnweave.session import scratch_path, table
 
 
@@ -24,6 +24,16 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_chatformat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chatformat.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["stop"])), ",")
+    return rows.withColumn("mask", spans)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()).drop("text")
 
@@ -40,6 +50,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_annsearch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return annsearch.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op9_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -50,15 +65,60 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_licenses": op2_licenses,
+    "op3_chatformat": op3_chatformat,
     "op4_bpe": op4_bpe,
     "op5_decontaminate": op5_decontaminate,
     "op6_linededup": op6_linededup,
     "op7_simhash": op7_simhash,
+    "op8_annsearch": op8_annsearch,
     "op9_suffixdedup": op9_suffixdedup,
     "op10_quality": op10_quality,
 }
 
+def _license_sql() -> str:
+    """The licence scan in SQL, with the same templates."""
+    rows = ", ".join("('{}', '{}')".format(n.replace("'", "''"), t.replace("'", "''")) for n, t in licenses.TEMPLATES.items())
+    words = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+    pairs = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+    return f"""
+        WITH t AS (SELECT * FROM (VALUES {rows}) AS v(name, body)),
+        tw AS (SELECT name, {words.format("body")} AS w FROM t),
+        tp AS (SELECT name, {pairs.format("w")} AS p FROM tw),
+        u AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS body FROM documents
+              UNION ALL SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) FROM documents WHERE contains(text, chr(10) || chr(10))
+              UNION ALL SELECT doc_id, text FROM documents WHERE contains(text, chr(10))),
+        uw AS (SELECT doc_id, row_number() OVER () AS u, {words.format("body")} AS w FROM u),
+        up AS (SELECT doc_id, u, len({pairs.format("w")}) AS n, {pairs.format("w")} AS p FROM uw WHERE len(w) > 1),
+        ue AS (SELECT doc_id, u, n, unnest(p) AS x FROM up),
+        te AS (SELECT name, len(p) AS m, unnest(p) AS x FROM tp),
+        c AS (SELECT doc_id, u, name, 2.0 * count(*) / (max(n) + max(m)) AS score FROM ue JOIN te ON ue.x = te.x GROUP BY doc_id, u, name),
+        b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, u ORDER BY score DESC, name) AS k FROM c WHERE score >= {licenses.THRESHOLD}),
+        d AS (SELECT doc_id, name, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM b WHERE k = 1),
+        a AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, name FROM b WHERE k = 1) GROUP BY doc_id)
+        SELECT doc_id, d.name AS license, round(d.score, 6) AS score, CAST(coalesce(d.n, 0) AS BIGINT) AS n_units, coalesce(a.names, '') AS licenses
+        FROM documents LEFT JOIN (SELECT * FROM d WHERE k = 1) d USING (doc_id) LEFT JOIN a USING (doc_id)
+    """
+
+
 ORACLE: dict[str, str] = {
+    "op2_licenses": _license_sql(),
+    "op3_chatformat": """
+        WITH s AS (
+          SELECT conv_id, turn, CASE WHEN trim(role) <> '' THEN trim(role) ELSE 'unknown' END AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS body FROM conversations),
+        w AS (SELECT DISTINCT conv_id, role AS perspective FROM s WHERE role <> 'system'),
+        p AS (
+          SELECT s.conv_id, perspective, CAST(floor(turn / 256) AS BIGINT) AS segment, turn, role, body, role = perspective AS own,
+                 '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head
+          FROM s JOIN w ON s.conv_id = w.conv_id),
+        q AS (
+          SELECT *, row_number() OVER o AS k, coalesce(sum(length(head) + length(body) + 11) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS a
+          FROM p WINDOW o AS (PARTITION BY conv_id, perspective, segment ORDER BY turn, role, body))
+        SELECT conv_id, perspective, segment, count(*) AS n_turns, CAST(sum(CASE WHEN own THEN 1 ELSE 0 END) AS BIGINT) AS n_own,
+               string_agg(head || body || '<|im_end|>' || chr(10), '' ORDER BY k) AS rendered,
+               coalesce(string_agg(CASE WHEN own THEN CAST(CAST(a AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(a + length(body) + 10 AS BIGINT) AS VARCHAR) END, ',' ORDER BY k), '') AS mask
+        FROM q GROUP BY conv_id, perspective, segment
+    """,
     "op1_warc": """
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages),
         f AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
