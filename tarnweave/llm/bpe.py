@@ -216,6 +216,19 @@ def round_trip(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     return _mapped(df, text, fields, make)
 
 
+def tokenise(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
+    """``df`` with ids, n_tokens, and decodes: whether the ids decode to the same text."""
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decodes", T.BooleanType())]
+
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        bpe = codec(vocabulary)
+        rows = [np.concatenate([np.zeros(0, np.int32), *(np.array(ids, np.int32) for ids, _ in pieces)]) for pieces in bpe.batch(texts)]
+        same = [bpe.decode(ids.tolist()) == (t or "").encode() for ids, t in zip(rows, texts, strict=True)]
+        return [pa.array(rows, pa.list_(pa.int32())), pa.array([len(r) for r in rows], pa.int64()), pa.array(same, pa.bool_())]
+
+    return _mapped(df, text, fields, make)
+
+
 def _whole(data: bytes, sha) -> bytes:
     """Digest ``data`` but for a character that its end may cut, which is returned."""
     cut = len(data)

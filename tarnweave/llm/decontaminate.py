@@ -142,15 +142,20 @@ def proximity_matches(documents: DataFrame, benchmark: DataFrame, slop: int = 8,
     return near.join(items.select("item", "item_id"), "item").select("id", "item_id", F.greatest(F.col("shift"), F.lit(0)).alias("position"), "n_terms")
 
 
+def hit_words(hits: DataFrame) -> DataFrame:
+    """(id, h, n_hit, items): how many words the intervals of a document cover together."""
+    before = F.max("stop").over(Window.partitionBy("id", "h").orderBy("start", "stop", "item_id").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), F.coalesce(before, F.lit(0))))
+    return hits.withColumn("new", new).groupBy("id", "h").agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, h, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``documents``.
 
     Contaminated: a twentieth of the words or more lie inside windows that occur.
     """
     hits = settle(phrase_matches(documents, benchmark, id_col, text, item_col, item_text, window), "phrase-matches")
-    before = F.max("stop").over(Window.partitionBy("id", "h").orderBy("start", "stop", "item_id").rowsBetween(Window.unboundedPreceding, -1))
-    new = F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), F.coalesce(before, F.lit(0))))
-    merged = hits.withColumn("new", new).groupBy("id", "h").agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    merged = hit_words(hits)
     merged = broadcast_if_small(settle(merged, "hit-documents"), 512)
     docs = _keyed(documents, id_col, text).select("id", "h", F.size("words").cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
@@ -159,3 +164,16 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
         docs["id"].alias(id_col), docs["h"].alias("text_hash"), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def keep_clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``documents`` that aren't contaminated, with their columns."""
+    hits = settle(phrase_matches(documents, benchmark, id_col, text, item_col, item_text, window), "phrase-matches")
+    merged = hit_words(hits)
+    sizes = _keyed(documents, id_col, text).select("id", "h", F.size("words").alias("n_words"))
+    near = broadcast_if_small(settle(merged.select("id", "h", "n_hit"), "hit-documents"), 64)
+    bad = sizes.join(near, _same(sizes, near)).where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    bad = bad.select(sizes["id"].alias("_bad_id"), sizes["h"].alias("_bad_h")).distinct()
+    bad = broadcast_if_small(settle(bad, "contaminated"), 64)
+    own = F.xxhash64(F.coalesce(documents[text].cast("string"), F.lit("")))
+    return documents.join(bad, documents[id_col].eqNullSafe(F.col("_bad_id")) & (own == F.col("_bad_h")), "left_anti")

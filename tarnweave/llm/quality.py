@@ -16,7 +16,7 @@ Defined cases: null and empty texts have no n-grams and log weight 0; labels wit
 a null id or quality are ignored, an id with several labels counts as target if
 all of them are 1; without labels of both kinds the cut is 0. Rows of one id and
 text have one score and one noise and stay or go together; an empty table gives
-an empty result; other columns are ignored by ``scores`` and kept by ``sample``.
+an empty result; other columns are ignored by ``sample`` and kept by ``keep_selected``.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnweave.llm._arrow import BLOCK_BYTES, blocks, flat_text, mix64
@@ -145,20 +145,24 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     return _model(texts.join(F.broadcast(target), "id", "left_semi").select("t")) - _model(texts.select("t"))
 
 
+def _row_scores(column: pa.Array, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log weight, number of n-grams) of each text of a column."""
+    total, count = np.zeros(len(column)), np.zeros(len(column), np.int64)
+    for flat, bounds, first in _pieces(*flat_text(column)):
+        bucket, row = ngrams(flat, bounds)
+        n = len(bounds) - 1
+        total[first : first + n] += np.bincount(row, weight[bucket], n)
+        count[first : first + n] += np.bincount(row, minlength=n)
+    return total, count
+
+
 def scores(docs: DataFrame, ratio: np.ndarray, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, log_weight, n_grams) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS numbers, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = shared.value
         for batch in batches:
-            total, count = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
-            for flat, bounds, first in _pieces(*flat_text(batch.column(1))):
-                bucket, row = ngrams(flat, bounds)
-                n = len(bounds) - 1
-                total[first : first + n] += np.bincount(row, weight[bucket], n)
-                count[first : first + n] += np.bincount(row, minlength=n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(count)], names=["id", "log_weight", "n_grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, _row_scores(batch.column(1), shared.value))], names=["id", "log_weight", "n_grams"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string")).mapInArrow(run, f"id {kind}, log_weight double, n_grams long")
@@ -211,18 +215,40 @@ def kth_largest(keys: DataFrame, k: int, column: str = "sample_key") -> float:
     return low
 
 
-def sample_keys(scored: DataFrame, seed: int = 42) -> DataFrame:
-    """``scored`` with sample_key: log weight plus Gumbel noise of the row's id."""
-    part = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id"), F.round("log_weight", 6)), 11)
+def sample_key(row_id: Column, log_weight: Column, seed: int = 42) -> Column:
+    """Log weight plus the Gumbel noise of the row's id."""
+    part = F.shiftrightunsigned(F.xxhash64(F.lit(seed), row_id, F.round(log_weight, 6)), 11)
     u = (part.cast("double") + 0.5) / float(1 << 53)
-    return scored.withColumn("sample_key", F.col("log_weight") - F.log(-F.log(u)))
+    return log_weight - F.log(-F.log(u))
+
+
+def _drawn(docs: DataFrame, labels: DataFrame, text: str, id_col: str, seed: int) -> tuple[DataFrame, np.ndarray, float]:
+    """The scored rows, the model's log ratio, and the least key that is in the sample."""
+    ratio = fit(docs, labels, text, id_col)
+    scored = scores(docs, ratio, text, id_col)
+    scored = settle(scored.withColumn("sample_key", sample_key(F.col("id"), F.col("log_weight"), seed)), "quality-scores")
+    cut = best_cut(scored.join(labelled(labels, id_col), "id").select("log_weight", "quality"))
+    k = scored.where(F.col("log_weight") >= cut).count()
+    return scored, ratio, kth_largest(scored, k)
 
 
 def sample(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", seed: int = 42) -> DataFrame:
     """(id, log_weight, n_grams, sample_key, selected) of every row of ``docs``."""
-    scored = settle(sample_keys(scores(docs, fit(docs, labels, text, id_col), text, id_col), seed), "quality-scores")
-    known = scored.join(labelled(labels, id_col), "id").select("log_weight", "quality")
-    cut = best_cut(known)
-    k = scored.where(F.col("log_weight") >= cut).count()
-    least = kth_largest(scored, k)
+    scored, _, least = _drawn(docs, labels, text, id_col, seed)
     return scored.select(F.col("id").alias(id_col), "log_weight", "n_grams", "sample_key", (F.col("sample_key") >= least).alias("selected"))
+
+
+def keep_selected(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` that the sample selects, with their columns.
+
+    A key follows from a row alone, so rows are scored once more instead of
+    being brought together with their keys: no text is shuffled.
+    """
+    _, ratio, least = _drawn(docs, labels, text, id_col, seed)
+    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+
+    @F.arrow_udf("double")
+    def weigh(column: pa.Array) -> pa.Array:
+        return pa.array(_row_scores(column, shared.value)[0])
+
+    return docs.where(sample_key(F.col(id_col), weigh(F.col(text).cast("string")), seed) >= least)

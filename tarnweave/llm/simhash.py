@@ -18,7 +18,7 @@ and not all of them, so a dense block of n fingerprints gives at most n - 1 rows
 Defined cases: null and empty texts have fingerprint zero and are linked like any
 other; repeated rows have one fingerprint and one component; a null id is passed
 over when the smallest id is sought; an empty table gives an empty result; other
-columns are ignored by ``near_duplicates``.
+columns are ignored by ``near_duplicates`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnweave.llm._graph import components
@@ -76,16 +76,21 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.bitwise_or.reduce((ones * 2 > len(starts)).astype(np.uint64) << np.arange(64, dtype=np.uint64)))
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(df: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+    """(id, h, fp): h tells texts of one id apart, fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint((t or "").encode(), shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:1], batch.column(2), pa.array(fp.view(np.int64))], names=["id", "h", "fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text).cast("string")).mapInArrow(run, f"id {kind}, fp long")
+    body = F.col(text).cast("string")
+    return df.select(F.col(id_col).alias("id"), body, text_hash(body)).mapInArrow(run, f"id {kind}, h long, fp long")
 
 
 def _with_pivots(fps: DataFrame) -> DataFrame:
@@ -196,14 +201,45 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", max_bits: int = 3) -> DataFrame:
-    """(id, fingerprint in hex, component_id: the smallest id that links reach)."""
+def _rooted(df: DataFrame, text: str, id_col: str, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and (fp, least, root) of the distinct ones."""
     rows = settle(fingerprints(df, text, id_col), "fingerprints")
     distinct = settle(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     roots = components(links(distinct, max_bits)).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = settle(rooted, "roots")
+    return rows, settle(rooted, "roots")
+
+
+def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", max_bits: int = 3) -> DataFrame:
+    """(id, fingerprint in hex, component_id: the smallest id that links reach)."""
+    rows, rooted = _rooted(df, text, id_col, max_bits)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = rooted.join(least, "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(found, "fp").select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, text: str = "text", id_col: str = "doc_id", max_bits: int = 3) -> DataFrame:
+    """One row of each component with its columns: that of the smallest id, of equal ids that of the least text hash.
+
+    Of rows that repeat both id and text one stays too; only those rows, if
+    there are any, are brought together to choose among them.
+    """
+    rows, rooted = _rooted(df, text, id_col, max_bits)
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("h").alias("h"))
+    firsts = rows.groupBy("fp", "id", "h").agg(F.count("*").alias("n")).groupBy("fp").agg(F.min(F.struct(place.alias("at"), "n")).alias("first"))
+    firsts = firsts.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    firsts = settle(firsts.select(F.col("first.at.id").alias("_id"), F.col("first.at.h").alias("_h"), F.col("first.n").alias("_n")), "first-of-component")
+
+    def chosen(of: DataFrame) -> DataFrame:
+        of = broadcast_if_small(of.select("_id", "_h"), 32, 500_000)
+        return df.join(of, df[id_col].eqNullSafe(of["_id"]) & (text_hash(df[text].cast("string")) == of["_h"]), "left_semi")
+
+    once, repeated = firsts.where("_n = 1"), firsts.where("_n > 1")
+    if not repeated.limit(1).count():
+        return chosen(once)
+    own = "_key"
+    while own in df.columns:
+        own += "_"
+    several = chosen(repeated).withColumn(own, F.struct(F.col(id_col), text_hash(F.col(text).cast("string"))))
+    return chosen(once).unionByName(several.dropDuplicates([own]).drop(own))
