@@ -14,10 +14,14 @@ bytes isn't needed for that: what counts is which suffixes agree in their first
    step 1 reused: a run's bucket is joined with the hash of all bytes that its
    strings cover. Runs in a refined bucket of two or more are settled: all their
    strings repeat.
-3. Only runs at the ends of repeats are left. Their buckets are refined once more,
-   one row per string: the identifier of a string is the pair of two independent
-   64-bit hashes of its 200 bytes. A group of two or more repeats. Of each settled
-   run in such a bucket one model takes part.
+3. Only runs at the ends of repeats are left. They are cut into pieces of up to
+   ``PIECE`` strings at fixed distances from the q-gram, so that pieces of equal
+   strings are cut alike. A piece's bucket is refined by the bytes that all its
+   strings share: a piece alone in there has no string that repeats. Pieces with
+   all bytes equal are settled, and of each such group one goes on as a model.
+4. What is left, about one piece a run, is refined once more, one row per string:
+   the identifier of a string is the pair of two independent 64-bit hashes of its
+   200 bytes. A group of two or more repeats.
 
 Hot buckets are counted with partial counts and joined by keys that Spark may
 split; nothing is collected but a text's own runs.
@@ -30,7 +34,7 @@ are ignored. Positions are UTF-8 bytes, and what is left need not be valid UTF-8
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -44,6 +48,8 @@ from tarnweave.session import broadcast_if_small, drop_settled, settle
 
 LENGTH = 200
 GRAM = 50
+#: Strings of a piece of a run in the third step.
+PIECE = 10
 #: Two odd bases of polynomial hashes modulo 2^64.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _U = np.uint64
@@ -91,9 +97,9 @@ def least_places(values: np.ndarray, window: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(first, last, bucket, span) of the runs of one text of at least ``length`` bytes.
+    """(first, last, place, bucket, span) of the runs of one text of at least ``length`` bytes.
 
-    ``bucket`` is the hash of the q-gram, ``span`` that of all bytes of the run's strings, of another base.
+    ``place`` is where the q-gram starts, ``bucket`` its hash, ``span`` that of all bytes of the run's strings, of another base.
     """
     a = Hashes(data, BASES[0])
     at = np.arange(len(data) - gram + 1)
@@ -101,7 +107,7 @@ def runs_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     stands = least_places(grams, length - gram + 1)
     cut = np.flatnonzero(stands[1:] != stands[:-1]) + 1
     first, last = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(stands) - 1]])
-    return first, last, grams[stands[first]], Hashes(data, BASES[1]).of(first, last + length)
+    return first, last, stands[first], grams[stands[first]], Hashes(data, BASES[1]).of(first, last + length)
 
 
 def _parts(data: bytes, length: int, block: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray]]:
@@ -116,23 +122,23 @@ KEY = "k long, h long"
 
 
 def _run_rows(texts: DataFrame, length: int) -> DataFrame:
-    """(k, h, first, last, bucket, span) of all runs of all texts."""
-    schema = f"{KEY}, first int, last int, bucket long, span long"
+    """(k, h, first, last, place, bucket, span) of all runs of all texts."""
+    schema = f"{KEY}, first int, last int, place int, bucket long, span long"
 
     def out(keys: list[tuple[int, int]], cols: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         spread = np.repeat(np.array(keys, np.int64), [len(c[0]) for c in cols], axis=0)
-        first, last, bucket, span = (np.concatenate(c) for c in zip(*cols, strict=True))
-        arrays = [spread[:, 0], spread[:, 1], first.astype(np.int32), last.astype(np.int32), bucket.view(np.int64), span.view(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in arrays], names=["k", "h", "first", "last", "bucket", "span"])
+        first, last, place, bucket, span = (np.concatenate(c) for c in zip(*cols, strict=True))
+        arrays = [spread[:, 0], spread[:, 1], *(x.astype(np.int32) for x in (first, last, place)), bucket.view(np.int64), span.view(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in arrays], names=["k", "h", "first", "last", "place", "bucket", "span"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, cols, held = [], [], 0
             for k, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 for at, part in _parts(text.as_py(), length):
-                    first, last, *rest = runs_of(part, length)
+                    first, last, place, *rest = runs_of(part, length)
                     keys.append((k, h))
-                    cols.append((first + at, last + at, *rest))
+                    cols.append((first + at, last + at, place + at, *rest))
                     held += len(first)
                 if held > 20_000:
                     yield out(keys, cols)
@@ -143,29 +149,32 @@ def _run_rows(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("k", "h", "data").mapInArrow(run, schema)
 
 
-def _string_rows(texts: DataFrame, length: int) -> DataFrame:
-    """(k, h, at, a, b) of every string of the runs in ``open``, a list of (first, last)."""
+def _open_rows(texts: DataFrame, length: int, schema: str, of_runs: Callable[[np.ndarray, dict[str, np.ndarray], int], dict[str, np.ndarray]]) -> DataFrame:
+    """Rows that ``of_runs`` makes of the runs in ``open``, a list of (first, last, place, model).
 
-    def hashed(k: int, h: int, at: np.ndarray, part: np.ndarray, base: int) -> pa.RecordBatch:
-        a, b = (Hashes(part, x).of(at - base, at - base + length).view(np.int64) for x in BASES)
-        arrays = [np.full(len(at), k, np.int64), np.full(len(at), h, np.int64), at.astype(np.int32), a, b]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["k", "h", "at", "a", "b"])
+    Runs that lie close together are hashed together, and only the bytes they need:
+    ``of_runs`` gets these bytes, the runs' columns and where the bytes start.
+    """
+    names = [c.split(" ")[0] for c in f"{KEY}, {schema}".split(", ")]
 
-    def of_text(k: int, h: int, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # runs that lie close together are hashed together, and only the bytes they need
-        far = np.flatnonzero((first[1:] - last[:-1] > length) | (np.diff(first // BLOCK_BYTES) > 0)) + 1
+    def of_text(k: int, h: int, data: np.ndarray, runs: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        first, last = runs["first"], runs["last"]
+        far = np.flatnonzero((first[1:] - np.maximum.accumulate(last)[:-1] > length) | (np.diff(first // BLOCK_BYTES) > 0)) + 1
         for lo, hi in zip([0, *far.tolist()], [*far.tolist(), len(first)], strict=True):
-            f, g = first[lo:hi], last[lo:hi]
-            n = g - f + 1
-            at = np.repeat(f - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            yield hashed(k, h, at, data[f[0] : g[-1] + length], int(f[0]))
+            own = {c: v[lo:hi] for c, v in runs.items()}
+            base = int(own["first"][0])
+            made = of_runs(data[base : int(own["last"].max()) + length], own, base)
+            n = len(next(iter(made.values())))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int64)), pa.array(np.full(n, h, np.int64)), *(pa.array(v) for v in made.values())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made, held = [], 0
             for k, h, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                first, last = (np.unique(s.to_numpy().astype(np.int64)) for s in spans.values.flatten())
-                for rows in of_text(k, h, np.frombuffer(text.as_py(), np.uint8), first, last):
+                cols = [s.to_numpy(zero_copy_only=False) for s in spans.values.flatten()]
+                order = np.lexsort((cols[1], cols[0]))
+                runs = {c: v[order].astype(bool if c == "model" else np.int64) for c, v in zip(("first", "last", "place", "model"), cols, strict=True)}
+                for rows in of_text(k, h, np.frombuffer(text.as_py(), np.uint8), runs):
                     made.append(rows)
                     held += len(rows)
                 if held > 50_000:
@@ -174,7 +183,48 @@ def _string_rows(texts: DataFrame, length: int) -> DataFrame:
             if made:
                 yield from pa.Table.from_batches(made).combine_chunks().to_batches()
 
-    return texts.select("k", "h", "data", "open").mapInArrow(run, f"{KEY}, at int, a long, b long")
+    return texts.select("k", "h", "data", "open").mapInArrow(run, f"{KEY}, {schema}")
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of all values from ``low`` to ``high`` of each row."""
+    n = high - low + 1
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[row]
+
+
+def _piece_rows(texts: DataFrame, length: int, gram: int, size: int = PIECE) -> DataFrame:
+    """(k, h, first, last, place, model, no, core, span, part): runs in pieces. ``core`` is the hash of the bytes that all
+    strings of a whole piece share, ``span`` of all their bytes; where the run has only a part of a piece, span tells it from others."""
+
+    def of_runs(data: np.ndarray, runs: dict[str, np.ndarray], base: int) -> dict[str, np.ndarray]:
+        one, two = (Hashes(data, b) for b in BASES)
+        place = runs["place"]
+        row, no = _spread((place - runs["last"]) // size, (place - runs["first"]) // size)
+        place = place[row]
+        near, far = no * size, np.minimum(no * size + size - 1, length - gram)  # distances of the q-gram from a string's start
+        first, last = np.maximum(place - far, runs["first"][row]), np.minimum(place - near, runs["last"][row])
+        core = one.of(place - near - base, place - far + length - base)
+        part = (first > place - far) | (last < place - near)
+        span = two.of(first - base, last + length - base)
+        return {
+            "first": first.astype(np.int32), "last": last.astype(np.int32), "place": place.astype(np.int32), "model": runs["model"][row],
+            "no": no.astype(np.int16), "core": core.view(np.int64), "span": span.view(np.int64), "part": part,
+        }
+
+    rows = _open_rows(texts, length, "first int, last int, place int, model boolean, no short, core long, span long, part boolean", of_runs)
+    return rows.withColumn("span", F.when(F.col("part"), F.xxhash64("k", "h", "first")).otherwise(F.col("span")))
+
+
+def _string_rows(texts: DataFrame, length: int) -> DataFrame:
+    """(k, h, at, model, a, b) of every string of the open runs."""
+
+    def of_runs(data: np.ndarray, runs: dict[str, np.ndarray], base: int) -> dict[str, np.ndarray]:
+        row, at = _spread(runs["first"], runs["last"])
+        a, b = (Hashes(data, x).of(at - base, at - base + length).view(np.int64) for x in BASES)
+        return {"at": at.astype(np.int32), "model": runs["model"][row], "a": a, "b": b}
+
+    return _open_rows(texts, length, "at int, model boolean, a long, b long", of_runs)
 
 
 def covered(first: np.ndarray, last: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,27 +263,41 @@ def _cut_texts(texts: DataFrame, id_field: T.StructField, length: int, keep: boo
     return texts.select(id_field.name, "data", "gone").mapInArrow(run, schema)
 
 
-def repeated_strings(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+def _with_open(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """The texts that have open runs (k, h, first, last, place, model), with a list of these."""
+    lists = settle(runs.groupBy("k", "h").agg(F.collect_list(F.struct("first", "last", "place", "model")).alias("open")), "open-runs")
+    some = texts.join(broadcast_if_small(lists.select("k", "h"), 32, 500_000), ["k", "h"], "left_semi")
+    return some.join(lists, ["k", "h"])
+
+
+def _refined(rows: DataFrame, *key: str) -> DataFrame:
+    """Refined buckets: (key, n, one of the bucket's rows)."""
+    return rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("k", "h", "first", "last", "place", "model")).alias("one"))
+
+
+def repeated_strings(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(k, h, first, last): where strings start that also start elsewhere. ``texts`` has (k, h, data)."""
     texts = texts.where(F.octet_length("data") >= length)
     runs = settle(_run_rows(texts, length), "runs")
     shared = runs.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    live = settle(runs.join(shared, "bucket", "left_semi"), "live-runs")
+    live = settle(runs.join(shared, "bucket", "left_semi").withColumn("model", F.lit(False)), "live-runs")
     drop_settled(runs)
-    refined = settle(live.groupBy("bucket", "span").agg(F.count("*").alias("n")), "refined-buckets")
-    whole = live.join(refined.where("n > 1").select("bucket", "span"), ["bucket", "span"], "left_semi").select("k", "h", "first", "last", "bucket", "span")
-    single = refined.where("n = 1").select("bucket", "span")
-    ends = live.join(single, ["bucket", "span"], "left_semi").select("k", "h", "first", "last")
+    refined = settle(_refined(live, "bucket", "span"), "refined-buckets")
+    whole = live.join(refined.where("n > 1").select("bucket", "span"), ["bucket", "span"], "left_semi").select("k", "h", "first", "last")
     # a string of an open run may also start in a settled run of its bucket; one run of each refined bucket speaks for that
-    mixed = refined.where("n > 1").select("bucket", "span").join(single.select("bucket"), "bucket", "left_semi")
-    models = live.join(mixed, ["bucket", "span"]).groupBy("bucket", "span").agg(F.first(F.struct("k", "h", "first", "last")).alias("m")).select("m.*")
-    unsettled = ends.union(models).groupBy("k", "h").agg(F.collect_list(F.struct("first", "last")).alias("open"))
-    unsettled = settle(unsettled, "open-runs")
-    some = texts.join(broadcast_if_small(unsettled.select("k", "h"), 32, 500_000), ["k", "h"], "left_semi")
-    strings = settle(_string_rows(some.join(unsettled, ["k", "h"]), length), "strings")
+    opened = refined.where("n = 1").select("bucket").distinct()
+    ends = refined.join(opened, "bucket", "left_semi").select("one.k", "one.h", "one.first", "one.last", "one.place", (F.col("n") > 1).alias("model"))
+
+    pieces = settle(_piece_rows(_with_open(texts, ends), length, gram), "pieces")
+    groups = settle(_refined(pieces, "no", "core", "span", "part"), "refined-pieces")
+    settled = pieces.where("not model").join(groups.where("n > 1").select("no", "core", "span", "part"), ["no", "core", "span", "part"], "left_semi").select("k", "h", "first", "last")
+    several = groups.groupBy("no", "core").agg(F.count("*").alias("groups")).where("groups > 1").select("no", "core")
+    rest = groups.join(several, ["no", "core"], "left_semi").select("one.k", "one.h", "one.first", "one.last", "one.place", (F.col("one.model") | (F.col("n") > 1)).alias("model"))
+
+    strings = settle(_string_rows(_with_open(texts, rest), length), "strings")
     twice = strings.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    alone = strings.join(twice, ["a", "b"], "left_semi").select("k", "h", F.col("at").alias("first"), F.col("at").alias("last"))
-    return whole.select("k", "h", "first", "last").union(alone)
+    alone = strings.where("not model").join(twice, ["a", "b"], "left_semi").select("k", "h", F.col("at").alias("first"), F.col("at").alias("last"))
+    return whole.union(settled).union(alone)
 
 
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, keep: bool = False) -> DataFrame:
