@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,23 +47,22 @@ def fingerprint32(text: Column) -> Column:
     """A 32-bit SimHash of CRC-32 values over words and single ideographs and the first 160 pairs of them.
 
     Longer texts are thinned to 320 tokens at even steps; a bit is set if at
-    least half of the values have it.
+    least half of the values have it. The votes of 32 bits are one numpy step a
+    text, in Arrow batches; as lambdas they would be thousands of calls.
     """
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"([一-鿿]|[A-Za-z0-9]+)"), F.lit(1))
 
-    def of_tokens(tokens: Column) -> Column:
-        step = F.greatest(F.lit(1), F.floor(F.size(tokens) / 320)).cast("int")
-        thinned = F.filter(F.transform(F.sequence(F.lit(0), F.lit(319)), lambda i: F.get(tokens, i * step)), lambda t: t.isNotNull())
-        return F.when(F.size(tokens) > 320, thinned).otherwise(tokens)
-
-    def of_features(kept: Column) -> Column:
-        pairs = F.when(F.size(kept) > 1, F.transform(F.sequence(F.lit(0), F.least(F.lit(160), F.size(kept) - 1) - 1), lambda i: F.concat(F.get(kept, i), F.get(kept, i + 1)))).otherwise(F.array().cast("array<string>"))
-        return F.transform(F.concat(kept, pairs), F.crc32)
-
-    def vote(values: Column) -> Column:
-        ones = lambda b: F.aggregate(values, F.lit(0), lambda t, v: t + F.getbit(v, b).cast("int"))
-        bits = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.when(2 * ones(b) >= F.size(values), F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
-        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda t, v: t + v)
-
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  one evaluation, however often it is named
-    return let(of_tokens(found), lambda kept: let(of_features(kept), vote))
+    @F.arrow_udf("bigint")
+    def vote(tokens: pa.Array) -> pa.Array:
+        import zlib
+
+        out = []
+        for words in tokens.to_pylist():
+            words = words or []
+            kept = words[:: len(words) // 320][:320] if len(words) > 320 else words
+            pairs = [a + b for a, b in zip(kept[:160], kept[1:161], strict=False)]
+            values = np.array([zlib.crc32(w.encode()) for w in kept + pairs], "<u4")
+            ones = np.unpackbits(values.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little").sum(axis=0)
+            out.append(int(np.packbits(2 * ones >= len(values), bitorder="little").view("<u4")[0]))
+        return pa.array(out, pa.int64())
+
+    return vote(F.regexp_extract_all(F.lower(text), F.lit(r"([一-鿿]|[A-Za-z0-9]+)"), F.lit(1)))

@@ -115,7 +115,7 @@ def detect_language(c: Column, given: Column | None = None) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(strip(c), SENTENCE_END), strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(strip(c), SENTENCE_END), lambda s: strip(s)), lambda s: s != "")
 
 
 def lexical_tokens(c: Column) -> Column:
@@ -123,7 +123,7 @@ def lexical_tokens(c: Column) -> Column:
     low = F.lower(text_or_empty(c))
     words = F.regexp_extract_all(low, F.lit(r"([a-z0-9_]+)"), F.lit(1))
     chars = F.regexp_extract_all(low, F.lit(f"({CJK})"), F.lit(1))
-    pairs = F.when(F.size(chars) > 1, F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars) - 1), F.concat)).otherwise(F.array().cast("array<string>"))
+    pairs = F.when(F.size(chars) > 1, F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars) - 1), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))
     return F.when(contains_cjk(low), F.concat(words, chars, pairs)).otherwise(words)
 
 

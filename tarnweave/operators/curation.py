@@ -384,7 +384,7 @@ def select_balanced(pool: DataFrame, target: int, id_col: str = "conv_id") -> Da
 
         return pdf.iloc[balanced(pdf, target)][["id"]]
 
-    return slim.groupBy(F.lit(1)).applyInPandas(choose, f"id {kind}").withColumnRenamed("id", id_col)
+    return slim.withColumn("pool", F.lit(1)).groupBy("pool").applyInPandas(choose, f"id {kind}").withColumnRenamed("id", id_col)
 
 
 def manifest(recs: DataFrame, candidates: DataFrame, selected: DataFrame, id_col: str = "conv_id") -> DataFrame:

@@ -85,7 +85,7 @@ def bm25(index: LexicalIndex, queries: DataFrame, k: int = 5, id_col: str = "que
     hits = index.postings.join(broadcast_if_small(asked, 96), "term").join(index.docs, "doc_id")
     length = F.lit(1 - B) + F.lit(B / max(index.mean_length, 1e-9)) * F.col("dl")
     gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
-    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(gain).alias("bm25"), F.count("*").alias("overlap"))
+    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), 9).alias("bm25"), F.count("*").alias("overlap"))
     flat = F.max("bm25").over(Window.partitionBy("query_id")) <= 0
     scored = scored.withColumn("raw_score", F.when(flat, F.col("overlap").cast("double")).otherwise(F.col("bm25")))
     return top_k(scored.where("raw_score > 0"), "raw_score", k).select("query_id", "doc_id", "raw_score", share_of_best("raw_score").alias("score"), "rank")
@@ -180,7 +180,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, measure: str = "
                         for i, qid in enumerate(q_ids):
                             s = score[i, inside]
                             best = np.argpartition(-s, k)[: k + 1] if len(s) > k + 1 else np.arange(len(s))
-                            least = s[best].min() if len(s) > k + 1 else -np.inf
+                            least = s[best].min() - 2e-6 if len(s) > k + 1 else -np.inf  # rounding can make ties
                             for j in np.flatnonzero(s >= least):
                                 if ids[inside[j]] != qid and (measure != "dot" or s[j] > 0):
                                     out.append((qid, ids[inside[j]], float(s[j]), *([str(p)] if extra else [])))
