@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """``c`` within bounds; null stays null, which greatest and least alone would pass over."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def dot(a: Column, b: Column) -> Column:
