@@ -298,3 +298,12 @@ def cost(tokens_in: Column, tokens_out: Column, price_in: float | None, price_ou
     if price_in is None or price_out is None:
         return F.lit(None).cast("double")
     return F.round(tokens_in / 1000 * price_in + tokens_out / 1000 * price_out, 6)
+
+
+def use_mode(collection: Column, clinical: Column, kind: Column, given: Column | None = None) -> Column:
+    """How texts of a source may be used: what is given, else the first rule that fits."""
+    rule = (
+        F.when(collection == "safety", "safety_only").when(F.coalesce(clinical, F.lit(False)), "clinical_reference_only").when(collection == "evidence", "evidence_only")
+        .when(collection == "helping_skills", "helping_skills_only").when(collection == "governance", "agent_policy_only").when(F.lower(kind).contains("guideline"), "psychoeducation_only").otherwise("direct_user_support")
+    )
+    return rule if given is None else F.when(text.is_blank(given), rule).otherwise(given)

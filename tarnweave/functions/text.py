@@ -7,7 +7,7 @@ empty unless said otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -261,11 +261,23 @@ def json_object_in(c: Column) -> Column:
 
 def near_place(c: Column, term: Column, before: int, after: int) -> Column:
     """The characters around the first occurrence of a term; empty if it doesn't occur."""
-    at = F.instr(c, term) if isinstance(term, str) else F.call_function("instr", c, term)
+    at = F.call_function("instr", c, term)
     start = F.greatest(F.lit(1), at - before)
     return F.when(at > 0, F.substring(c, start, at - start + F.length(term) + after)).otherwise("")
 
 
-def fold(c: Column, steps: Sequence[Callable[[Column], Column]]) -> Column:
-    """Apply functions one after the other."""
-    return reduce(lambda x, f: f(x), steps, c)
+def allowed_asset(href: Column, label: Column, patterns: Sequence[str] = (), extensions: Sequence[str] = (".pdf", ".docx"), mime: Column | None = None, mimes: Sequence[str] = ()) -> Column:
+    """Whether a link leads to a file that is wanted: by its extension or type, and by words of its text where patterns are given."""
+    path = F.lower(F.regexp_replace(text_or_empty(href), r"[?#].*$", ""))
+    kind = reduce(lambda a, b: a | b, (path.endswith(e) for e in extensions), F.lit(False))
+    if mime is not None:
+        kind = kind | F.coalesce(F.lower(mime).isin(*mimes), F.lit(False))
+    return kind & (contains_any(F.concat_ws(" ", label, href), patterns) if patterns else F.lit(True))
+
+
+def domains_for(url: Column, siblings: Mapping[str, Sequence[str]] | None = None) -> Column:
+    """The URL's host without and with ``www.``, and the hosts that go with it."""
+    host = host_of(url)
+    more = reduce(lambda chain, kv: chain.when(host == kv[0], F.array(*map(F.lit, kv[1]))), (siblings or {}).items(), F)
+    more = F.array().cast("array<string>") if more is F else more.otherwise(F.array().cast("array<string>"))
+    return F.when(F.coalesce(host, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array(host, F.concat(F.lit("www."), host)), more)))

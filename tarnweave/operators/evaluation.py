@@ -262,3 +262,34 @@ def table_digest(rows: DataFrame, columns: Sequence[str] | None = None) -> DataF
     own = F.to_json(F.struct(*(columns or sorted(rows.columns))))
     one, two = F.xxhash64(own).cast("decimal(38,0)"), F.xxhash64(F.lit("second"), own).cast("decimal(38,0)")
     return rows.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.sum(one).cast("string"), F.sum(two).cast("string")), 256).alias("digest"))
+
+
+def interval_accuracy(rows: DataFrame, value: str, low: str, high: str) -> DataFrame:
+    """(n, accuracy): the share of values within their intervals."""
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.col(value).between(F.col(low), F.col(high)).cast("int")), F.lit(0.0)).alias("accuracy"))
+
+
+def sampled(rows: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
+    """``n`` rows by the hash of their id and a seed: the same rows whatever the partitions."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(n)
+
+
+def numbered_cases(topics: DataFrame, prefix: str, topic: str = "topic", messages: str = "messages") -> DataFrame:
+    """(case_id, topic, message): one case a message, numbered through the topics in their order."""
+    rows = topics.select("place", topic, F.posexplode(messages).alias("no", "message"))
+    number = F.row_number().over(Window.orderBy("place", "no"))  # cases that people write, a few hundred
+    return rows.select(F.concat(F.lit(prefix), F.format_string("%03d", number)).alias("case_id"), topic, "message")
+
+
+def crossed_cases(scenarios: DataFrame, repeats: int, prefix: str) -> DataFrame:
+    """(case_id, repeat, ...): every scenario ``repeats`` times, numbered by repeat and place."""
+    rows = scenarios.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    return rows.withColumn("case_id", F.concat(F.lit(prefix), F.format_string("%04d", F.row_number().over(Window.orderBy("repeat", "place")))))
+
+
+def freeze(cases: DataFrame, path: str, expected: int) -> DataFrame:
+    """Write a benchmark as JSON lines after its size was checked; its digest is returned."""
+    if (n := cases.count()) != expected:
+        raise ValueError(f"{expected} cases expected, {n} found")
+    cases.write.mode("overwrite").json(path)
+    return table_digest(cases)

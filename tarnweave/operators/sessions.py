@@ -206,3 +206,25 @@ def evidence_rows(df: DataFrame, sources: Mapping[str, Column], keep: Sequence[s
     """A row for each source of a message that says something."""
     items = F.array(*(F.struct(F.lit(n).alias("source"), F.substring(text.strip(c), 1, limit).alias("content")) for n, c in sources.items()))
     return df.select(*keep, F.explode(F.filter(items, lambda e: e["content"] != "")).alias("e")).select(*keep, "e.*")
+
+
+def max_sequence(parents: DataFrame, messages: DataFrame, key: str, sequence: str = "sequence") -> DataFrame:
+    """(key, last): the highest number of each parent, 0 without messages."""
+    return parents.select(key).join(messages.groupBy(key).agg(F.max(sequence).alias("last")), key, "left").select(key, F.coalesce("last", F.lit(0)).alias("last"))
+
+
+def active_counts(jobs: DataFrame, key: str = "session_id") -> DataFrame:
+    return jobs.groupBy(key).agg(F.count_if(F.col("status").isin(*ACTIVE)).alias("active"))
+
+
+def valid_feedback(rows: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """Rows whose values lie in their ranges; nulls are allowed."""
+    return rows.where(reduce(lambda a, b: a & b, (F.col(c).isNull() | F.col(c).between(lo, hi) for c, (lo, hi) in ranges.items()), F.lit(True)))
+
+
+def session_report(rows: DataFrame, key: str, means: Sequence[str], item: str, top: int = 5) -> DataFrame:
+    """A row per key: means with two digits, and the most frequent items."""
+    counts = rows.where(F.col(item).isNotNull()).groupBy(key, item).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(key).orderBy(F.desc("_n"), item)
+    best = counts.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", item))), lambda x: x[item]).alias("top"))
+    return rows.groupBy(key).agg(F.count("*").alias("n"), *(F.round(F.avg(c), 2).alias(c) for c in means)).join(best, key, "left")
