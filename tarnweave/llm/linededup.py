@@ -12,10 +12,13 @@ hashes, equal keys are joined, and the edit is verified on the words themselves:
 
 1. As nearly all lines have no near copy, a thinned neighbourhood finds those that
    may: it holds only the words whose hash ends in a number of zero bits that
-   grows with the line's length (so about 4 to 32 words), together with the
+   grows with the line's length (so about 6 to 12 words), together with the
    variant's full length. One edit changes at most one of these words, so lines
    within one edit still share a key.
-2. Lines that share a key with another line get their full neighbourhood. Its
+   Of the lines that share a key, a coarse neighbourhood leaves out a stretch of
+   words, an eighth of the line, at a time; one edit lies within one stretch, so
+   those that share such a key again are the suspects.
+2. Suspects get their full neighbourhood. Its
    keys also hold the place of the word left out, so a group of equal keys is
    within one edit pairwise and its earliest line answers for all: a group never
    yields pairs.
@@ -36,13 +39,17 @@ from tarnweave.session import broadcast_if_small, settle
 #: Words from which a line may be a near copy.
 NEAR_WORDS = 10
 #: Words up to which all words count in the first step, and the factor between classes.
-FULL_WORDS, CLASS = 32, 8  # the sampling below counts on 8, three bits
+FULL_WORDS, CLASS = 12, 2  # the sampling below counts on 2, one bit a class
 #: Words up to which a line's variants are made inside its row.
-ROW_WORDS = 1024
+ROW_WORDS = 48
+#: Parts of a line that are left out as a whole.
+STRETCHES = 8
 
 
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"\s+"), "")
+    """The lower-case words; the single blank, by which Spark splits fastest, suffices for lines without other white space."""
+    low = F.lower(line)
+    return F.array_remove(F.when(low.rlike(r"[\t\r\f\x0B]"), F.split(low, r"\s+")).otherwise(F.split(low, " ")), "")
 
 
 def lines_of(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -74,7 +81,8 @@ def thinned_keys(hashes: Column, n: Column) -> Column:
         return let(F.aggregate(few, F.lit(0).cast("bigint"), lambda t, w: t.bitwiseXOR(w)), keyed)
 
     def all_classes(hs: Column) -> Column:
-        sampled = lambda c: F.when(c == 0, hs).otherwise(F.filter(hs, lambda w: w.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), 3 * c) - 1) == 0))
+        mask = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c) - 1
+        sampled = lambda c: F.when(c == 0, hs).otherwise(let(mask(c), lambda m: F.filter(hs, lambda w: w.bitwiseAND(m) == 0)))
         classes = F.array_distinct(F.array(_class(n), _class(n - 1), _class(n + 1)))
         return F.array_distinct(F.flatten(F.transform(classes, lambda c: let(sampled(c), lambda few: of(few, c)))))
 
@@ -89,7 +97,7 @@ def _order() -> Column:
 def line_table(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, h, line_no, n, lh, keys): n words, their hash, and the thinned keys."""
     rows = lines_of(documents, id_col, text).select("id", "h", "line_no", words_of(F.col("line")).alias("words"))
-    rows = rows.select("id", "h", "line_no", F.size("words").alias("n"), F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit("line"), "words").alias("b")).alias("lh"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    rows = rows.select("id", "h", "line_no", F.size("words").alias("n"), F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit("line"), "words").alias("b")).alias("lh"), F.when(F.size("words") >= NEAR_WORDS, F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"))
     keys = F.when(F.col("n") >= NEAR_WORDS, thinned_keys(F.col("hashes"), F.col("n"))).otherwise(F.array().cast("array<bigint>"))
     return rows.select("id", "h", "line_no", "n", "lh", keys.alias("keys"))
 
@@ -113,6 +121,27 @@ def _suspect_lines(documents: DataFrame, lines: DataFrame, firsts: DataFrame, id
     return settle(rows, "suspect-lines")
 
 
+def stretch_keys(hashes: Column) -> Column:
+    """Keys of a line with each of ``STRETCHES`` stretches left out, as the longer and as the shorter of two lines."""
+    length = F.size(hashes)
+
+    def left_out(n: Column, j: Column) -> Column:
+        start, stop = F.floor(j * n / STRETCHES).cast("int"), F.floor((j + 1) * n / STRETCHES).cast("int")
+        return F.xxhash64(n, j, F.slice(hashes, 1, start), F.slice(hashes, length - (n - stop) + 1, n - stop))
+
+    of = lambda n: F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda j: left_out(n, j))
+    return F.concat(of(length), of(length - 1))
+
+
+def still_suspect(suspect_lines: DataFrame) -> DataFrame:
+    """Those of the suspects that share a stretch key with one of them."""
+    hashed = suspect_lines.select("sid", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    keyed = settle(hashed.select("sid", F.explode(let(F.col("hashes"), stretch_keys)).alias("key")), "stretch-keys")
+    shared = keyed.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key")
+    left = keyed.join(broadcast_if_small(settle(shared, "shared-stretches"), 32, 500_000), "key", "left_semi").select("sid").distinct()
+    return settle(suspect_lines.join(broadcast_if_small(settle(left, "left-suspects"), 32, 500_000), "sid", "left_semi"), "suspects-left")
+
+
 def variants(lines: DataFrame) -> DataFrame:
     """(sid, place, key): a line's variants with the word at ``place`` left out.
 
@@ -152,6 +181,7 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 def near_lines(suspect_lines: DataFrame) -> DataFrame:
     """(lh): suspects with an earlier line within one edit."""
+    suspect_lines = still_suspect(suspect_lines)
     left_out = settle(variants(suspect_lines), "variants")
     whole = settle(full_keys(suspect_lines), "whole-lines")
     groups = left_out.groupBy("key", "place").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first < last").select("key", "place", "first")
