@@ -291,6 +291,12 @@ def cases(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame
     return rows.orderBy("case_id").limit(limit) if limit else rows
 
 
+def pack_catalogue(rows: DataFrame, declared: DataFrame) -> DataFrame:
+    """(dataset, n, ready): the declared datasets with their cases; one without cases isn't ready."""
+    counts = rows.groupBy("dataset").agg(F.count("*").alias("n"))
+    return declared.select("dataset").join(counts, "dataset", "left").select("dataset", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) > 0).alias("ready"))
+
+
 def review_decisions(spark: SparkSession, path: str) -> DataFrame:
     """Decisions of a review CSV; rows without a reviewer or with an unknown decision are dropped."""
     rows = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)

@@ -122,3 +122,15 @@ def test_scalars(spark):
     assert u.select(text.extend_unique(F.col("v"), F.array(F.lit("C"), F.lit("d")))).first()[0] == ["A b", "a  B", "c", "d"]
     z = spark.createDataFrame([("论文 abc_1",)], "t string")
     assert z.select(text.lexical_tokens(F.col("t"))).first()[0] == ["abc_1", "论", "文", "论文"]
+
+
+def test_cases_and_decisions(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text('{"case_id": "b", "dataset": "d", "turns": ["x", {"role": "user", "content": "y"}], "tags": ["t"], "expected": {"level": "high"}}\n\n{"case_id": "a", "dataset": "d"}\n')
+    rows = files.cases(spark, str(tmp_path / "c.jsonl"))
+    got = {r["case_id"]: (r["turns"], r["expected"]) for r in rows.collect()}
+    assert got["b"] == (["x", "y"], '{"level":"high"}') and got["a"][0] is None
+    assert [r["case_id"] for r in files.cases(spark, str(tmp_path / "c.jsonl"), 1).collect()] == ["a"]
+    declared = spark.createDataFrame([("d",), ("e",)], "dataset string")
+    assert {r["dataset"]: (r["n"], r["ready"]) for r in files.pack_catalogue(rows, declared).collect()} == {"d": (2, True), "e": (0, False)}
+    (tmp_path / "r.csv").write_text("\ufeffchunk_id,decision,reviewed_by\n1,approve,me\n2,reject,\n3,what,me\n4,Rejected,me\n", encoding="utf-8")
+    assert [(r["chunk_id"], r["review_status"]) for r in files.review_decisions(spark, str(tmp_path / "r.csv")).orderBy("chunk_id").collect()] == [("1", "approved"), ("4", "rejected")]
