@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 #: Characters of words that a worker remembers before it starts anew.
-CACHE_CHARS = 4_000_000
+CACHE_CHARS = 1_000_000
 #: Words of one text that are encoded at once.
 PIECE_WORDS = 65_536
 
@@ -161,8 +161,8 @@ def _mapped(df: DataFrame, column: str, fields: list[T.StructField], make) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), 256):
-                part = batch.slice(a, 256)
+            for a in range(0, len(batch), 64):
+                part = batch.slice(a, 64)
                 made = make(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names=names)
 
@@ -222,9 +222,14 @@ def tokenise(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
 
     def make(texts: list[str | None]) -> list[pa.Array]:
         bpe = codec(vocabulary)
-        rows = [np.concatenate([np.zeros(0, np.int32), *(np.array(ids, np.int32) for ids, _ in pieces)]) for pieces in bpe.batch(texts)]
-        same = [bpe.decode(ids.tolist()) == (t or "").encode() for ids, t in zip(rows, texts, strict=True)]
-        return [pa.array(rows, pa.list_(pa.int32())), pa.array([len(r) for r in rows], pa.int64()), pa.array(same, pa.bool_())]
+        rows, same = [], []
+        for pieces, t in zip(bpe.batch(texts), texts, strict=True):
+            parts = [(np.array(ids, np.int32), bpe.decode(ids)) for ids, _ in pieces]
+            rows.append(np.concatenate([np.zeros(0, np.int32), *(a for a, _ in parts)]))
+            same.append(b"".join(d for _, d in parts) == (t or "").encode())
+        ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+        flat = pa.array(np.concatenate([np.zeros(0, np.int32), *rows]))
+        return [pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([len(r) for r in rows], pa.int64()), pa.array(same, pa.bool_())]
 
     return _mapped(df, text, fields, make)
 
