@@ -13,7 +13,7 @@ from tarnweave.streaming import stateful
 def _neighbours(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Five neighbours of each query vector with their labels, and the queries' own labels."""
     e = table(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id % 20 = 0")
+    asked = e.where("vec_id % 100 = 0")
     found = settle(retrieval.nearest(e, asked, 5), "neighbours").join(e.select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("source_id")), "doc_id")
     return found.select("query_id", "rank", "source_id"), asked.select(F.col("vec_id").alias("query_id"), F.when(F.col("label") != 0, F.col("label").cast("string")).alias("source_id"))
 
@@ -28,7 +28,7 @@ def eval_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = _neighbours(spark, sf_dir)
     votes = found.groupBy("query_id", "source_id").agg(F.count("*").alias("n")).groupBy("query_id").agg(F.max_by("source_id", F.struct("n", F.col("source_id"))).alias("predicted"))
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("expected"))
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("expected"))
     return e.join(votes, "query_id", "left")
 
 
@@ -212,7 +212,7 @@ QUERIES = {
 }
 
 _N = """
-    e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, label AS ql, v AS qv FROM e WHERE vec_id % 20 = 0),
+    e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, label AS ql, v AS qv FROM e WHERE vec_id % 100 = 0),
     dot AS (SELECT query_id, ql, vec_id, CAST(label AS VARCHAR) AS source_id, round(list_inner_product(qv, v), 6) AS score FROM q, e WHERE vec_id <> query_id AND list_inner_product(qv, v) > 0),
     nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dot) WHERE rank <= 5)
 """

@@ -92,7 +92,7 @@ def sess_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sess_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person"), F.col("c_mktsegment").alias("emotion"), F.array(F.lit("2-HIGH")).alias("disliked"), F.array(F.lit("3-MEDIUM")).alias("preferred")).where("person <= 300")
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person"), F.col("c_mktsegment").alias("emotion"), F.array(F.lit("2-HIGH")).alias("disliked"), F.array(F.lit("3-MEDIUM")).alias("preferred"))
     library = spark.createDataFrame([(i, s, k, f"{s} {k}") for i, (s, k) in enumerate((s, k) for s in ("BUILDING", "MACHINERY", "AUTOMOBILE") for k in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-LOW", "5-NONE"))], "place int, emotion string, kind string, title string")
     return sessions.recommend(people, library)
 
@@ -134,7 +134,7 @@ ORACLE = {
     "sess_missing": "SELECT o_custkey AS k FROM orders UNION SELECT s_suppkey FROM supplier EXCEPT SELECT c_custkey FROM customer WHERE c_nationkey < 20",
     "sess_evidence": "SELECT CASE role WHEN 'user' THEN 'user_text' ELSE 'reply' END AS source, count(*) AS n, CAST(max(least(180, length(trim(text)))) AS INT) AS longest FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '' GROUP BY 1",
     "sess_recommend": """WITH l AS (SELECT unnest(range(0, 15)) AS place), b AS (SELECT place, ['BUILDING', 'MACHINERY', 'AUTOMOBILE'][CAST(place // 5 AS INT) + 1] AS emotion, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-LOW', '5-NONE'][CAST(place % 5 AS INT) + 1] AS kind FROM l),
-        j AS (SELECT c_custkey AS person, kind, emotion || ' ' || kind AS title, kind = '3-MEDIUM' AS preference_match, row_number() OVER (PARTITION BY c_custkey ORDER BY kind = '3-MEDIUM' DESC, place) AS rank FROM customer JOIN b ON c_mktsegment = emotion WHERE c_custkey <= 300 AND kind <> '2-HIGH')
+        j AS (SELECT c_custkey AS person, kind, emotion || ' ' || kind AS title, kind = '3-MEDIUM' AS preference_match, row_number() OVER (PARTITION BY c_custkey ORDER BY kind = '3-MEDIUM' DESC, place) AS rank FROM customer JOIN b ON c_mktsegment = emotion WHERE kind <> '2-HIGH')
         SELECT person, rank, kind, title, preference_match FROM j WHERE rank <= 3""",
     "review_registry": """SELECT n_nationkey AS source_id, CASE WHEN n_nationkey >= 10 THEN lower(n_name) ELSE n_name END AS title, CASE WHEN n_nationkey >= 10 THEN 'accept' ELSE 'keep' END AS decision, CASE WHEN n_nationkey < 15 THEN 'base' ELSE 'added' END AS download FROM nation WHERE NOT (n_nationkey >= 10 AND n_regionkey = 1)""",
     "text_assets": rf"SELECT page_id, regexp_matches(lower(regexp_replace(url, '[?#].*$', '')), '[13]$') AS wanted, h || ',www.' || h AS domains FROM (SELECT *, {_host} AS h FROM pages)",

@@ -37,7 +37,7 @@ def bm25_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0")
 
 
 def knn_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +214,7 @@ _TERMS = """
     idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)
 """
 _DOT = """
-    e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS qv FROM e WHERE vec_id % 20 = 0),
+    e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS qv FROM e WHERE vec_id % 100 = 0),
     dot AS (SELECT query_id, vec_id AS doc_id, round(list_inner_product(qv, v), 6) AS score FROM q, e WHERE vec_id <> query_id AND list_inner_product(qv, v) > 0),
     l2 AS (SELECT query_id, vec_id AS doc_id, CAST(label AS VARCHAR) AS label, round(1 / (1 + sqrt(greatest(list_inner_product(qv, qv) - 2 * list_inner_product(qv, v) + list_inner_product(v, v), 0))), 6) AS score FROM q, e WHERE vec_id <> query_id),
     dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dot), lr AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, doc_id) AS rank FROM l2)
