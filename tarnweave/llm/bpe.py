@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 #: Characters of words that a worker remembers before it starts anew.
-CACHE_CHARS = 1_000_000
+CACHE_CHARS = 2_500_000
 #: Words of one text that are encoded at once.
 PIECE_WORDS = 65_536
 
