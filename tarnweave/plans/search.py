@@ -73,7 +73,7 @@ def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieve_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole hybrid chain; a chain of rounded scores, held against fixed cases in the tests."""
+    """The whole hybrid chain; a chain of rounded scores without SQL, whose steps are tested one by one."""
     chunks = settle(common.chunks(spark, sf_dir).where(retrieval.eligible_for_index()), "chunks")
     lex, people = spark.createDataFrame(LEXICON, LEX_SCHEMA), spark.createDataFrame(PEOPLE, "place int, population string, triggers array<string>")
     asked = settle(retrieval.rewrite_queries(_queries(spark, sf_dir), lex, people), "asked")
