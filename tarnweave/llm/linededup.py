@@ -111,12 +111,13 @@ def suspects(lines: DataFrame) -> DataFrame:
 
 
 def _suspect_lines(documents: DataFrame, lines: DataFrame, firsts: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(sid, lh, words): the first occurrence of each suspect; sid grows with its order."""
+    """(sid, lh, words): the first occurrence of each suspect, once even if its row is repeated; sid grows with its order."""
     found = suspects(lines).join(firsts, "lh").select("lh", "first.id", "first.h", "first.line_no")
     found = broadcast_if_small(settle(found, "suspects"), 64, 500_000)
     rows = lines_of(documents, id_col, text)
     same = rows["id"].eqNullSafe(found["id"]) & (rows["h"] == found["h"]) & (rows["line_no"] == found["line_no"])
     rows = rows.join(found, same).select("lh", rows["id"], rows["h"], rows["line_no"], words_of(F.col("line")).alias("words"))
+    rows = rows.dropDuplicates(["lh"])  # rows that repeat id and text are one document, or a line would be near its own copy
     rows = rows.orderBy(_order(), "lh").select(F.monotonically_increasing_id().alias("sid"), "lh", "words")
     return settle(rows, "suspect-lines")
 

@@ -232,6 +232,14 @@ def test_line_dedup(spark):
     assert [r["removed_lines"] for r in twice] == [[1], [1]]
 
 
+def test_line_dedup_of_repeated_rows(spark):
+    line = "one two three four five six seven eight nine ten"
+    ids, docs = [1, 1, 2, None, None], [line, line, line + " more", "x " + line, "x " + line]
+    got = {(r["id"], r["reason"]) for r in linededup.line_decisions(table(spark, docs, ids)).collect()}
+    assert got == {(2, "near"), (None, "near")}
+    assert [r["doc_id"] for r in linededup.dedup_lines(table(spark, docs, ids)).collect()] == [1, 1]
+
+
 # --- op7 --------------------------------------------------------------------
 
 
