@@ -161,23 +161,31 @@ def classification_report(rows: DataFrame, expected: str = "expected", predicted
     return F.broadcast(macro).join(total).select(ratio(F.col("ok"), F.col("n")).alias("accuracy"), "macro_precision", "macro_recall", "macro_f1", "n")
 
 
-def safety_report(rows: DataFrame, high: str = "high", listed: int = 100) -> DataFrame:
+def _high(column: str, high: str) -> Column:
+    return F.coalesce(F.col(column) == high, F.lit(False))
+
+
+def safety_report(rows: DataFrame, high: str = "high") -> DataFrame:
     """Recall, precision and misses of the high class, and how negated and reported cases fare.
 
     ``rows``: (case_id, expected, predicted, negated_expected, negated_predicted,
-    third_party_expected, third_party_predicted). At most ``listed`` ids are shown of each kind.
+    third_party_expected, third_party_predicted). The ids are in ``safety_misses``.
     """
-    e, p = F.col("expected") == high, F.coalesce(F.col("predicted") == high, F.lit(False))
-    ids = lambda cond: F.slice(F.array_sort(F.collect_list(F.when(cond, F.col("case_id")))), 1, listed)
+    e, p = _high("expected", high), _high("predicted", high)
     kept = lambda a, b: ratio(F.count_if(F.col(a) & F.col(b)), F.count_if(F.col(a)))
     return rows.agg(
         ratio(F.count_if(e & p), F.count_if(e)).alias("high_risk_recall"), ratio(F.count_if(e & p), F.count_if(p)).alias("high_risk_precision"),
         F.count_if(e & ~p).alias("high_risk_false_negative_count"), F.count_if(~e & p).alias("high_risk_false_positive_count"),
         kept("negated_expected", "negated_predicted").alias("negation_accuracy"), kept("third_party_expected", "third_party_predicted").alias("third_party_accuracy"),
-        ids(e & ~p).alias("missed_high_risk_case_ids"), ids(~e & p).alias("false_positive_case_ids"),
     )
 
 
+def safety_misses(rows: DataFrame, high: str = "high") -> DataFrame:
+    """(case_id, kind): every ``missed_high_risk`` and ``false_positive`` case of the report, one row each."""
+    e, p = _high("expected", high), _high("predicted", high)
+    return rows.where(e != p).select("case_id", F.when(e, "missed_high_risk").otherwise("false_positive").alias("kind"))
+
+
 def latency_report(rows: DataFrame, duration: str = "total_duration_ms", success: str = "success", by: Sequence[str] = ()) -> DataFrame:
     """Request count, mean, median and nearest-rank p95 of whole milliseconds, and the share of successes.
 

@@ -46,13 +46,27 @@ def eval_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("label", "support", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
-def eval_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short texts stand for predictions of low quality."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    rows = rows.select(F.col("doc_id").alias("case_id"), F.when(F.col("quality") == 0, "high").otherwise("low").alias("expected"), F.when(F.col("n_chars") > 4000, "high").otherwise("low").alias("predicted"), (F.col("toxic") == 1).alias("negated_expected"), (F.col("n_chars") < 2000).alias("negated_predicted"), F.lit(False).alias("third_party_expected"), F.lit(True).alias("third_party_predicted"))
-    r = evaluation.safety_report(rows)
-    ids = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
-    return r.select(*(F.round(c, 6).alias(c) for c in ("high_risk_recall", "high_risk_precision", "negation_accuracy", "third_party_accuracy")), "high_risk_false_negative_count", "high_risk_false_positive_count", ids("missed_high_risk_case_ids"), ids("false_positive_case_ids"))
+    return rows.select(F.col("doc_id").alias("case_id"), F.when(F.col("quality") == 0, "high").otherwise("low").alias("expected"), F.when(F.col("n_chars") > 4000, "high").otherwise("low").alias("predicted"), (F.col("toxic") == 1).alias("negated_expected"), (F.col("n_chars") < 2000).alias("negated_predicted"), F.lit(False).alias("third_party_expected"), F.lit(True).alias("third_party_predicted"))
+
+
+def eval_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report with the first 100 ids of each kind, as its SQL lists them; ``eval_safety_misses`` has them all."""
+    rows = _cases(spark, sf_dir)
+    r, misses = evaluation.safety_report(rows), evaluation.safety_misses(rows)
+
+    def ids(kind: str, name: str) -> DataFrame:
+        first = misses.where(F.col("kind") == kind).orderBy("case_id").limit(100)
+        return first.agg(F.array_join(F.transform(F.array_sort(F.collect_list("case_id")), lambda x: x.cast("string")), ",").alias(name))
+
+    r = r.select(*(F.round(c, 6).alias(c) for c in ("high_risk_recall", "high_risk_precision", "negation_accuracy", "third_party_accuracy")), "high_risk_false_negative_count", "high_risk_false_positive_count")
+    return r.crossJoin(ids("missed_high_risk", "missed_high_risk_case_ids")).crossJoin(ids("false_positive", "false_positive_case_ids"))
+
+
+def eval_safety_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.safety_misses(_cases(spark, sf_dir))
 
 
 def eval_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +220,7 @@ def stream_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        eval_retrieval, eval_classification, eval_confusion, eval_labels, eval_safety, eval_latency, eval_scores, eval_delta, eval_macro, eval_digest, sess_recent, sess_sequence, sess_summary, sess_empty, sess_page,
+        eval_retrieval, eval_classification, eval_confusion, eval_labels, eval_safety, eval_safety_misses, eval_latency, eval_scores, eval_delta, eval_macro, eval_digest, sess_recent, sess_sequence, sess_summary, sess_empty, sess_page,
         sess_budget, sess_limits, sess_memory, sess_jobs, sess_lifecycle, sess_upsert, sess_rolling, stream_tumbling, stream_memory, stream_limiter, stream_first, stream_jobs,
     )
 }
@@ -240,6 +254,8 @@ ORACLE = {
         SELECT round(count(*) FILTER (e AND p) / count(*) FILTER (e), 6) AS high_risk_recall, round(count(*) FILTER (e AND p) / count(*) FILTER (p), 6) AS high_risk_precision, round(count(*) FILTER (ne AND np) / count(*) FILTER (ne), 6) AS negation_accuracy, 0.0 AS third_party_accuracy,
                count(*) FILTER (e AND NOT p) AS high_risk_false_negative_count, count(*) FILTER (NOT e AND p) AS high_risk_false_positive_count,
                array_to_string(list_slice(list_sort(list(doc_id) FILTER (e AND NOT p)), 1, 100), ',') AS missed_high_risk_case_ids, array_to_string(list_slice(list_sort(list(doc_id) FILTER (NOT e AND p)), 1, 100), ',') AS false_positive_case_ids FROM r""",
+    "eval_safety_misses": """WITH r AS (SELECT doc_id, coalesce(quality = 0, false) AS e, coalesce(n_chars > 4000, false) AS p FROM labels JOIN documents USING (doc_id))
+        SELECT doc_id AS case_id, CASE WHEN e THEN 'missed_high_risk' ELSE 'false_positive' END AS kind FROM r WHERE e <> p""",
     "eval_latency": """WITH r AS (SELECT event_type, CAST(floor(value) AS BIGINT) AS ms FROM events) SELECT event_type, count(*) AS request_count, round(avg(ms), 2) AS average_latency_ms, CAST(floor(median(ms)) AS BIGINT) AS p50_latency_ms,
         list_sort(list(ms))[CAST(round_even((count(*) - 1) * 0.95, 0) AS INT) + 1] AS p95_latency_ms, CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END AS success_rate FROM r GROUP BY event_type""",
     "eval_scores": "SELECT event_type AS framework_id, CAST(user_id % 3 AS VARCHAR) AS metric_name, round(avg(value), 3) AS mean, round(median(value), 3) AS median, round(stddev_pop(value), 3) AS std, count(value) AS n FROM events GROUP BY 1, 2",

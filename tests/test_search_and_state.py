@@ -165,3 +165,12 @@ def test_empty_tables(spark):
     assert evaluation.retrieval_report(evaluation.retrieval_rows(e, t)).first()["query_count"] == 0
     c = spark.createDataFrame([], "expected string, predicted string")
     assert evaluation.classification_report(c).first()["accuracy"] == 0.0
+
+
+def test_safety_misses_are_whole(spark):
+    cases = [(i, "high", "low" if i % 2 else None) for i in range(250)] + [(i, "low", "high") for i in range(250, 400)] + [(400, None, "high"), (401, "high", "high"), (402, "low", "low")]
+    rows = spark.createDataFrame([(*c, True, True, False, True) for c in cases], "case_id long, expected string, predicted string, negated_expected boolean, negated_predicted boolean, third_party_expected boolean, third_party_predicted boolean")
+    got = {(r["case_id"], r["kind"]) for r in evaluation.safety_misses(rows).collect()}
+    assert got == {(i, "missed_high_risk") for i in range(250)} | {(i, "false_positive") for i in range(250, 401)}
+    r = evaluation.safety_report(rows).first()
+    assert (r["high_risk_false_negative_count"], r["high_risk_false_positive_count"]) == (250, 151)
