@@ -16,8 +16,8 @@ blocks of bounded size, and one cell may fill many blocks. Recall is measured in
 the tests against brute force.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components
-take no part, nor do those of another dimension than the most common one (ties:
-the larger); equal scores rank by smaller id; a row with the query's id is the
+take no part, nor do rows whose id is null (they neither ask nor are found), nor
+vectors of another dimension than the most common one (ties: the larger); equal scores rank by smaller id; a row with the query's id is the
 query's own; repeated rows are candidates of their own, and of several query
 rows of one id the least vector asks; with fewer candidates than k all are
 returned; an empty table gives an empty result; other columns are ignored.
@@ -54,7 +54,7 @@ def usable(vector: Column) -> Column:
 def prepared(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     """(id, v) of the vectors that take part, of one dimension."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = settle(rows.where(usable(F.col("v"))), "vectors")
+    rows = settle(rows.where(F.col("id").isNotNull() & usable(F.col("v"))), "vectors")
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     return rows.where(F.size("v") == sizes[0]["d"]) if sizes else rows
 
@@ -176,7 +176,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
     for c1, c2, n in counted:
         sizes[c1, c2] = n
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    asked = asked.where(usable(F.col("v")) & (F.size("v") == len(first[0]["v"]))).groupBy("id").agg(F.min("v").alias("v"))
+    asked = asked.where(F.col("id").isNotNull() & usable(F.col("v")) & (F.size("v") == len(first[0]["v"]))).groupBy("id").agg(F.min("v").alias("v"))
     asked = settle(probes(asked, books, sizes, max(least, int(np.ceil(share * sizes.sum())))), "probes")
 
     # entries of a first centroid lie in blocks; each block meets all queries that visit the centroid

@@ -344,6 +344,13 @@ def test_ann_recall_and_cases(spark):
     assert annsearch.search(small.limit(0), small).count() == 0
 
 
+def test_ann_null_ids(spark):
+    rows = [(1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [0.5, 0.0]), (None, [3.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in annsearch.search(df, df).collect())
+    assert got == [(1, 1, 2, 0.5), (2, 1, 1, 0.5)]
+
+
 def test_multi_sequence_walk():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=7), rng.normal(size=5)
