@@ -28,6 +28,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_notices(table(spark, sf_dir, "documents"))
+
+
 def op3_chatformat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chatformat.rotate(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["stop"])), ",")
@@ -66,6 +70,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_licenses": op2_licenses,
+    "op2_notices": op2_notices,
     "op3_chatformat": op3_chatformat,
     "op4_bpe": op4_bpe,
     "op5_decontaminate": op5_decontaminate,

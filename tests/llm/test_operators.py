@@ -94,6 +94,58 @@ def test_licenses(spark):
     assert licenses.scan(table(spark, [])).count() == 0
 
 
+def plain_notices(text, templates):
+    """Every unit and every window of every template, one by one."""
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    pairs = lambda w: set(zip(w, w[1:], strict=False))
+    text, out, w = text or "", {}, words(text)
+    units = [words(u) for u in [*text.split("\n"), *text.split("\n\n"), text]]
+    dice = lambda p, q: 2 * len(p & q) / (len(p) + len(q)) if p else 0
+    wanted = {name: (len(words(t)), pairs(words(t))) for name, t in templates.items()}
+    for u in units:
+        s, name = min((-dice(pairs(u), q), n) for n, (_, q) in wanted.items())
+        if -s >= licenses.THRESHOLD:
+            out[name] = max(-s, out.get(name, 0))
+    for name, (n, q) in wanted.items():
+        s = max(dice(pairs(w[i : i + n]), q) for i in range(max(1, len(w) - n + 1)))
+        if s >= licenses.THRESHOLD:
+            out[name] = max(s, out.get(name, 0))
+    return out
+
+
+def test_notices_in_windows(spark, monkeypatch):
+    rng = random.Random(3)
+    short = licenses.TEMPLATES | {"all-rights-reserved": "All rights reserved."}
+    texts = [None, "", "one", "All rights reserved."]
+    for _ in range(60):
+        w = rng.choice(list(short.values())).split()
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = "zzz"
+        w[len(w) // 2 : len(w) // 2] = [rng.choice(["", "\n", "\n"])]
+        texts.append(prose(rng, rng.randrange(60)) + rng.choice([" ", "\n"]) + " ".join(w) + rng.choice([" ", "\n"]) + prose(rng, rng.randrange(60)))
+    got = {r["doc_id"]: r for r in licenses.scan_notices(table(spark, texts), short).collect()}
+    for i, t in enumerate(texts):
+        want = plain_notices(t, short)
+        assert got[i]["licenses"] == ",".join(sorted(want)) and got[i]["n_licenses"] == len(want), i
+        assert got[i]["score"] == (round(max(want.values()), 6) if want else None), i
+    # runs of words: the same result wherever a run ends
+    known = licenses.Templates(short, licenses.THRESHOLD)
+    whole = [known.windows(t or "") for t in texts]
+    monkeypatch.setattr(licenses, "STEP", 7)
+    assert [known.windows(t or "") for t in texts] == whole
+
+
+def test_full_licence_texts(spark):
+    full = {f.stem: f.read_text() for f in licenses.TEXTS.glob("*.txt")}
+    names = sorted(full)
+    texts = [prose(random.Random(5), 50) + " " + " ".join(full[n].split()) + " and more" for n in names]
+    texts += ["copyright x, all\nrights reserved by y", "nothing of the kind"]
+    got = [r["licenses"].split(",") for r in licenses.scan_notices(table(spark, texts)).orderBy("doc_id").collect()]
+    assert all(n in found for n, found in zip(names, got, strict=False))
+    assert got[-2:] == [["all-rights-reserved"], [""]]
+    assert licenses.scan_notices(table(spark, [])).count() == 0
+
+
 # --- op3 --------------------------------------------------------------------
 
 
