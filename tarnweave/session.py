@@ -9,8 +9,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side of a join is broadcast below this many rows ...
 BROADCAST_ROWS = 200_000
@@ -83,14 +84,26 @@ def drop_settled(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _bytes_of(df: DataFrame, fixed: int) -> Column:
+    """Bytes of a row: ``fixed``, the lengths of strings, and nested values by their JSON."""
+    total = F.lit(fixed).cast("long")
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            total += F.coalesce(F.octet_length(df[field.name]), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total += F.coalesce(2 * F.octet_length(F.to_json(F.struct(df[field.name]))), F.lit(0))
+    return total
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int = 64, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has few enough rows, else as it is (a shuffle join).
+    """``df`` with a broadcast hint if its rows are few and small enough, else as it is (a shuffle join).
 
-    ``df`` should be settled, as its rows are counted. ``row_bytes`` is a bound
-    on the bytes of one row.
+    ``df`` should be settled, as it is read to count rows and measure their
+    strings and lists. ``row_bytes`` is a bound on the bytes of the other columns.
     """
     limit = min(rows, BROADCAST_BYTES // row_bytes)
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    n, size = df.select(_bytes_of(df, row_bytes).alias("size")).limit(limit + 1).agg(F.count("*"), F.sum("size")).first()
+    return F.broadcast(df) if n <= limit and (size or 0) <= BROADCAST_BYTES else df
 
 
 __all__ = ["BROADCAST_ROWS", "broadcast_if_small", "drop_settled", "local_session", "scratch_path", "scratch_root", "settle", "table"]
