@@ -8,8 +8,8 @@ search over the sorted pair keys, takes each word's lowest rank, and merges all
 of its occurrences from the left. Words without a mergeable pair leave the array.
 
 Nulls count as empty texts; an empty text has no tokens. Rows are independent:
-repeated rows, ties of ids and further columns (clashing names included) pass
-through untouched. A very long text is encoded piece by piece, so a task's
+repeated rows, ties of ids and further columns pass through untouched; a result
+whose name the table has already gets an underscore before it. A very long text is encoded piece by piece, so a task's
 memory follows one piece and not the text.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -25,16 +25,19 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnweave.llm._names import fresh
+
 #: The word pattern of byte-level BPE, a fixed value; white space is Unicode's property.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
-#: Characters of words that a worker remembers before it starts anew.
-CACHE_CHARS = 2_500_000
+#: Words that a task remembers before it starts anew, and the longest word that it remembers.
+CACHE_WORDS, CACHE_WORD = 131_072, 64
 #: Words of one text that are encoded at once.
-PIECE_WORDS = 65_536
+PIECE_WORDS = 32_768
+#: Rows that are encoded together.
+SLICE = 64
 
 
 def byte_alphabet() -> list[str]:
@@ -73,8 +76,8 @@ class Bpe:
         self.made = made
         self.words = regex.compile(WORD_PATTERN)
         self.splitter = regex.compile("(" + "|".join(regex.escape(c) for c in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        self.ints = list(range(self.base))  # one object a token, which all cached words share
         self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.held = 0
 
     def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Token ids of each word."""
@@ -109,23 +112,28 @@ class Bpe:
             symbols, owner = symbols[keep], owner[keep]
         return out
 
+    def encoded(self, words: list[str]) -> Iterator[tuple[str, tuple[tuple[int, ...], str]]]:
+        """Each word with its ids and their digits, by one call of ``merge``."""
+        for w, ids in zip(words, self.merge([w.encode("utf-8", "surrogatepass") for w in words]), strict=True):
+            yield w, (tuple(map(self.ints.__getitem__, ids)), ",".join(map(str, ids)))
+
     def learn(self, words: set[str]) -> None:
-        """Put words into the cache, the new ones by one call of ``merge``."""
-        if self.held > CACHE_CHARS:
+        """Put words that aren't too long into the cache, which is emptied first if they don't fit."""
+        fresh = [w for w in words.difference(self.cache) if len(w) <= CACHE_WORD]
+        if len(self.cache) + len(fresh) > CACHE_WORDS:
             self.cache.clear()
-            self.held = 0
-        fresh = list(words.difference(self.cache))
-        self.held += sum(map(len, fresh))
-        for w, ids in zip(fresh, self.merge([w.encode("utf-8", "surrogatepass") for w in fresh]), strict=True):
-            self.cache[w] = ids, ",".join(map(str, ids))
+            fresh = [w for w in words if len(w) <= CACHE_WORD]
+        self.cache.update(self.encoded(fresh))
 
     def joined(self, words: list[str]) -> tuple[list[int], str]:
         """The ids of words in a row, and their digits with commas between."""
         try:
             got = list(map(self.cache.__getitem__, words))
         except KeyError:
-            self.learn(set(words))
-            got = list(map(self.cache.__getitem__, words))
+            kinds = set(words)
+            self.learn(kinds)
+            long = dict(self.encoded(list(kinds.difference(self.cache))))
+            got = [self.cache.get(w) or long[w] for w in words]
         return [i for ids, _ in got for i in ids], ",".join([digits for _, digits in got])
 
     def pieces(self, text: str) -> Iterator[tuple[list[int], str]]:
@@ -149,45 +157,52 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def codec(vocabulary: str) -> Bpe:
+    """The worker's codec. Tasks of a worker share its tables; the words of a task go with it (see ``_mapped``)."""
     return Bpe(vocabulary)
 
 
-def _mapped(df: DataFrame, column: str, fields: list[T.StructField], make) -> DataFrame:
-    """``df`` with new columns that ``make`` computes from one column of a batch; they replace those of their names."""
-    kept = [f for f in df.schema.fields if f.name not in {x.name for x in fields}]
-    names = [*(f.name for f in kept), *(f.name for f in fields)]
+def _mapped(df: DataFrame, vocabulary: str, column: str, fields: list[T.StructField], make: Callable[[Bpe, list], list[pa.Array]]) -> DataFrame:
+    """``df`` with new columns that ``make`` computes from one column of a batch.
+
+    A new column whose name ``df`` has already gets underscores before it, so none of the caller's is lost.
+    """
+    made: list[T.StructField] = []
+    for f in fields:
+        made.append(T.StructField(fresh(f.name, [*df.columns, *(m.name for m in made)]), f.dataType))
+    names = [*df.columns, *(f.name for f in made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, len(batch), 64):
-                part = batch.slice(a, 64)
-                made = make(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names=names)
+        bpe = codec(vocabulary)
+        try:
+            for batch in batches:
+                for a in range(0, len(batch), SLICE):
+                    part = batch.slice(a, SLICE)
+                    yield pa.RecordBatch.from_arrays([*part.columns[1:], *make(bpe, part.column(0).to_pylist())], names=names)
+        finally:
+            bpe.cache = {}  # a reused worker keeps no words of a task that is done
 
-    given = df.select(F.col(column).alias("_given"), *(F.col(f.name) for f in kept))
-    return given.mapInArrow(run, T.StructType([*kept, *fields]))
+    given = df.select(df[column].alias(fresh("given", df.columns)), *(df[c] for c in df.columns))
+    return given.mapInArrow(run, T.StructType([*df.schema.fields, *made]))
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the token ids of ``text`` as an array column ``ids``."""
 
-    def make(texts: list[str | None]) -> list[pa.Array]:
-        bpe = codec(vocabulary)
+    def make(bpe: Bpe, texts: list[str | None]) -> list[pa.Array]:
         return [pa.array([[i for ids, _ in pieces for i in ids] for pieces in bpe.batch(texts)], pa.list_(pa.int32()))]
 
-    return _mapped(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
+    return _mapped(df, vocabulary, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the text of the token ids; bytes that are no UTF-8 become U+FFFD."""
 
-    def make(rows: list[list[int] | None]) -> list[pa.Array]:
-        bpe = codec(vocabulary)
+    def make(bpe: Bpe, rows: list[list[int] | None]) -> list[pa.Array]:
         return [pa.array([bpe.decode(r or []).decode("utf-8", "replace") for r in rows], pa.string())]
 
-    return _mapped(df, ids, [T.StructField(text, T.StringType())], make)
+    return _mapped(df, vocabulary, ids, [T.StructField(text, T.StringType())], make)
 
 
 def round_trip(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
@@ -198,8 +213,7 @@ def round_trip(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
-    def make(texts: list[str | None]) -> list[pa.Array]:
-        bpe = codec(vocabulary)
+    def make(bpe: Bpe, texts: list[str | None]) -> list[pa.Array]:
         rows = []
         for pieces in bpe.batch(texts):
             n, ids_sha, text_sha, left = 0, hashlib.sha256(), hashlib.sha256(), b""
@@ -213,15 +227,14 @@ def round_trip(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
         n, a, b = zip(*rows, strict=True)
         return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
 
-    return _mapped(df, text, fields, make)
+    return _mapped(df, vocabulary, text, fields, make)
 
 
 def tokenise(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """``df`` with ids, n_tokens, and decodes: whether the ids decode to the same text."""
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decodes", T.BooleanType())]
 
-    def make(texts: list[str | None]) -> list[pa.Array]:
-        bpe = codec(vocabulary)
+    def make(bpe: Bpe, texts: list[str | None]) -> list[pa.Array]:
         rows, same = [], []
         for pieces, t in zip(bpe.batch(texts), texts, strict=True):
             parts = [(np.array(ids, np.int32), bpe.decode(ids)) for ids, _ in pieces]
@@ -231,7 +244,7 @@ def tokenise(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
         flat = pa.array(np.concatenate([np.zeros(0, np.int32), *rows]))
         return [pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([len(r) for r in rows], pa.int64()), pa.array(same, pa.bool_())]
 
-    return _mapped(df, text, fields, make)
+    return _mapped(df, vocabulary, text, fields, make)
 
 
 def _whole(data: bytes, sha) -> bytes:

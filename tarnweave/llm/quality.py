@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnweave.llm._arrow import BLOCK_BYTES, blocks, flat_text, mix64
+from tarnweave.llm._arrow import blocks, flat_text, mix64
 from tarnweave.session import settle
 
 #: Hash buckets of n-grams.
@@ -41,6 +41,8 @@ SLACK = 0.02
 #: Added to each count of a bucket.
 SMOOTH = 1.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Text bytes, and rows, that one step works on.
+BLOCK, SLICE = 1 << 18, 1_024
 
 SPACE, WORD, MARK = 0, 1, 2
 _CLASS = np.full(256, MARK, np.uint8)
@@ -56,58 +58,89 @@ _DIGIT[48:58] = True
 
 
 @lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2^64."""
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2^64, for one block."""
     inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    up, down = np.full(n, BASE, np.uint64), np.full(n, inverse, np.uint64)
+    up, down = np.full(BLOCK + 1, BASE, np.uint64), np.full(BLOCK + 1, inverse, np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def ngrams(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, row) of all n-grams of a block of texts."""
-    if not len(flat):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _word_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word's bytes and length. Prefix sums are made block by block, so a long word needs no more memory than a short one."""
+    up, down = _powers()
+    places = np.unique(np.concatenate([start, end]))
+    sums, carry, scale = np.zeros(len(places), np.uint64), np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for at in range(0, len(flat) + 1, BLOCK):
+        part = flat[at : at + BLOCK]
+        local = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], dtype=np.uint64)])
+        lo, hi = np.searchsorted(places, [at, at + BLOCK])
+        sums[lo:hi] = carry + scale * local[places[lo:hi] - at]
+        carry, scale = carry + scale * local[-1:], scale * up[BLOCK:]
+    far = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(flat) // BLOCK, down[BLOCK], np.uint64)]))
+    shift = down[start % BLOCK] * far[start // BLOCK]
+    return mix64((sums[np.searchsorted(places, end)] - sums[np.searchsorted(places, start)]) * shift + (end - start).astype(np.uint64))
+
+
+def _words(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the words and marks of a block of texts."""
     kind = _CLASS[flat]
     cut = np.zeros(len(flat), bool)
     cut[bounds[:-1][bounds[:-1] < len(flat)]] = True
     edge = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | cut[1:]])
-    end = np.r_[edge[1:], len(flat)]
     real = kind[edge] != SPACE
-    start, end = edge[real], end[real]
+    return edge[real], np.r_[edge[1:], len(flat)][real]
+
+
+def ngrams(flat: np.ndarray, bounds: np.ndarray, seen: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, row) of all n-grams of a block of texts; the first ``seen`` words were counted with the piece before."""
+    if not len(flat):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start, end = _words(flat, bounds)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    up, down = _powers(1 << int(len(flat)).bit_length())
-    sums = np.r_[np.uint64(0), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], dtype=np.uint64)]
-    word = mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    word = _word_hashes(flat, start, end)
     row = np.searchsorted(bounds, start, "right") - 1
-    caps = np.r_[0, np.cumsum(_UPPER[flat])]
-    nums = np.r_[0, np.cumsum(_DIGIT[flat])]
-    n_caps, n_nums, size = caps[end] - caps[start], nums[end] - nums[start], end - start
-    shape = np.where(kind[start] == MARK, 5, np.where(n_nums == size, 4, np.where((n_caps == size) & (size > 1), 3, np.where(n_caps > 0, 2, 1)))).astype(np.uint64)
+    # sums of each word and of each gap after it
+    spans = np.column_stack([start, end]).ravel()[: None if end[-1] < len(flat) else -1]
+    n_caps, n_nums = (np.add.reduceat(of[flat], spans, dtype=np.int64)[::2] for of in (_UPPER, _DIGIT))
+    # a gap of no bytes would be summed as one, but only words are read here
+    size = end - start
+    shape = np.where(_CLASS[flat[start]] == MARK, 5, np.where(n_nums == size, 4, np.where((n_caps == size) & (size > 1), 3, np.where(n_caps > 0, 2, 1)))).astype(np.uint64)
     same = row[1:] == row[:-1]
     again = np.r_[False, same & (word[1:] == word[:-1])]
     shape = shape + np.uint64(8) * again.astype(np.uint64)
+    if seen:
+        same[: seen - 1] = False  # the pairs within what was seen
     pair = (word[:-1] * np.uint64(31) + word[1:])[same]
     shapes = (shape[:-1] * np.uint64(64) + shape[1:] + np.uint64(1 << 20))[same]
-    keys = np.concatenate([word, mix64(pair), mix64(shapes)])
-    rows = np.concatenate([row, row[1:][same], row[1:][same]])
+    keys = np.concatenate([word[seen:], mix64(pair), mix64(shapes)])
+    rows = np.concatenate([row[seen:], row[1:][same], row[1:][same]])
     return (keys >> np.uint64(48)).astype(np.int64) % BUCKETS, rows
 
 
-def _pieces(flat: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(bytes, bounds, first row) of bounded pieces; texts over a block are cut, at white space where there is some."""
-    for a, b in blocks(bounds):
+def _pieces(flat: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(bytes, bounds, first row, words seen) of bounded pieces.
+
+    A long text is cut between words, and a piece begins with the last two words
+    of the one before, on which its first pairs depend: cuts change no count.
+    """
+    for a, b in blocks(bounds, BLOCK):
         at, stop = int(bounds[a]), int(bounds[b])
-        if stop - at <= 2 * BLOCK_BYTES:
-            yield flat[at:stop], bounds[a : b + 1] - at, a
+        if stop - at <= 2 * BLOCK:
+            yield flat[at:stop], bounds[a : b + 1] - at, a, 0
             continue
-        while at < stop:
-            to = min(at + BLOCK_BYTES, stop)
-            if to < stop and len(gaps := np.flatnonzero(_CLASS[flat[to - 4096 : to]] == SPACE)):
-                to = to - 4096 + int(gaps[-1]) + 1
-            yield flat[at:to], np.array([0, to - at]), a
-            at = to
+        seen, to = 0, at
+        while to < stop:
+            to = min(to + BLOCK, stop)
+            while to < stop and _CLASS[flat[to]] == _CLASS[flat[to - 1]]:
+                ahead = _CLASS[flat[to : to + BLOCK]] != _CLASS[flat[to - 1]]
+                to += int(np.argmax(ahead)) if ahead.any() else len(ahead)
+            ends = np.array([0, to - at])
+            yield flat[at:to], ends, a, seen
+            start, _ = _words(flat[at:to], ends)
+            seen = min(2, len(start))
+            at += int(start[-seen]) if seen else to - at
 
 
 def _counts(df: DataFrame) -> DataFrame:
@@ -116,8 +149,9 @@ def _counts(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for flat, bounds, _ in _pieces(*flat_text(batch.column(0))):
-                total += np.bincount(ngrams(flat, bounds)[0], minlength=BUCKETS)
+            for at in range(0, len(batch), SLICE):
+                for flat, bounds, _, seen in _pieces(*flat_text(batch.column(0).slice(at, SLICE))):
+                    total += np.bincount(ngrams(flat, bounds, seen)[0], minlength=BUCKETS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["bucket", "n"])
 
@@ -148,11 +182,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
 def _row_scores(column: pa.Array, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log weight, number of n-grams) of each text of a column."""
     total, count = np.zeros(len(column)), np.zeros(len(column), np.int64)
-    for flat, bounds, first in _pieces(*flat_text(column)):
-        bucket, row = ngrams(flat, bounds)
-        n = len(bounds) - 1
-        total[first : first + n] += np.bincount(row, weight[bucket], n)
-        count[first : first + n] += np.bincount(row, minlength=n)
+    for at in range(0, len(column), SLICE):
+        for flat, bounds, first, seen in _pieces(*flat_text(column.slice(at, SLICE))):
+            bucket, row = ngrams(flat, bounds, seen)
+            n, to = len(bounds) - 1, at + first
+            total[to : to + n] += np.bincount(row, weight[bucket], n)
+            count[to : to + n] += np.bincount(row, minlength=n)
     return total, count
 
 
