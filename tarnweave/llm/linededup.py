@@ -1,10 +1,10 @@
 """Line dedup by a deletion-neighbourhood join.
 
 Only DataFrame functions are used. Lines are compared as lists of words (lower
-case, split at white space). A line goes if an earlier line has the same words
-or, for lines of ``NEAR_WORDS`` (10) words and more, is within one word edit of
-it: a word put in, left out or changed. Earlier is the smaller (document id, line
-number). Lines without words stay.
+case, split at white space). A line goes if an earlier line has the same words or
+is a near copy: within one word edit (a word put in, left out or changed), where
+the longer of the two has ``NEAR_WORDS`` (10) words or more, so they agree in nine
+tenths. Earlier is the smaller (document id, line number). Lines without words stay.
 
 The neighbourhood of a line is the line itself and each line that leaves one word
 out; two lines within one edit have a variant in common. Variants are keyed by
@@ -25,8 +25,8 @@ hashes, equal keys are joined, and the edit is verified on the words themselves:
 
 Defined cases: null and empty texts have no lines to lose; rows that repeat id and
 text are one document; a null id is later than all others; an empty table gives
-an empty result; other columns are ignored by ``line_decisions``. Long lines have
-a linear number of variants.
+an empty result; other columns are ignored by ``line_decisions`` and kept by
+``dedup_lines``, whatever their names. Long lines have a linear number of variants.
 """
 
 from __future__ import annotations
@@ -34,9 +34,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnweave.llm._names import fresh
 from tarnweave.session import broadcast_if_small, settle
 
-#: Words from which a line may be a near copy.
+#: Words that the longer of two near copies has at least.
 NEAR_WORDS = 10
 #: Words up to which all words count in the first step, and the factor between classes.
 FULL_WORDS, CLASS = 12, 2  # the sampling below counts on 2, one bit a class
@@ -97,8 +98,8 @@ def _order() -> Column:
 def line_table(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, h, line_no, n, lh, keys): n words, their hash, and the thinned keys."""
     rows = lines_of(documents, id_col, text).select("id", "h", "line_no", words_of(F.col("line")).alias("words"))
-    rows = rows.select("id", "h", "line_no", F.size("words").alias("n"), F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit("line"), "words").alias("b")).alias("lh"), F.when(F.size("words") >= NEAR_WORDS, F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"))
-    keys = F.when(F.col("n") >= NEAR_WORDS, thinned_keys(F.col("hashes"), F.col("n"))).otherwise(F.array().cast("array<bigint>"))
+    rows = rows.select("id", "h", "line_no", F.size("words").alias("n"), F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit("line"), "words").alias("b")).alias("lh"), F.when(F.size("words") >= NEAR_WORDS - 1, F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"))
+    keys = F.when(F.col("n") >= NEAR_WORDS - 1, thinned_keys(F.col("hashes"), F.col("n"))).otherwise(F.array().cast("array<bigint>"))
     return rows.select("id", "h", "line_no", "n", "lh", keys.alias("keys"))
 
 
@@ -183,7 +184,7 @@ def within_one_edit(a: Column, b: Column) -> Column:
 def near_lines(suspect_lines: DataFrame) -> DataFrame:
     """(lh): suspects with an earlier line within one edit."""
     suspect_lines = still_suspect(suspect_lines)
-    left_out = settle(variants(suspect_lines), "variants")
+    left_out = settle(variants(suspect_lines.where(F.size("words") >= NEAR_WORDS)), "variants")
     whole = settle(full_keys(suspect_lines), "whole-lines")
     groups = left_out.groupBy("key", "place").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first < last").select("key", "place", "first")
     groups = broadcast_if_small(settle(groups, "variant-groups"), 48, 500_000)
@@ -218,28 +219,38 @@ def document_decisions(documents: DataFrame, id_col: str = "doc_id", text: str =
 
 
 def _joined(documents: DataFrame, decisions: DataFrame, id_col: str, text: str) -> DataFrame:
-    given = documents.withColumn("_id", F.col(id_col)).withColumn("_h", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    decisions = decisions.select(*(F.col(c).alias(f"_{c}_") for c in decisions.columns))
-    return given.join(decisions, given["_id"].eqNullSafe(decisions["_id_"]) & (given["_h"] == decisions["_h_"]), "left")
+    """``documents`` with the columns of their decisions, whose names must be free."""
+    own = F.xxhash64(F.coalesce(documents[text].cast("string"), F.lit("")))
+    return documents.join(decisions, documents[id_col].eqNullSafe(decisions[decisions.columns[0]]) & (own == decisions[decisions.columns[1]]), "left")
+
+
+def _decided(documents: DataFrame, id_col: str, text: str) -> tuple[DataFrame, dict[str, str]]:
+    """The decisions under names that ``documents`` doesn't have, and these names."""
+    decisions = settle(document_decisions(documents, id_col, text), "line-decisions")
+    names = {c: fresh(c, documents.columns) for c in decisions.columns}
+    return broadcast_if_small(decisions.select(*(F.col(c).alias(n) for c, n in names.items()))), names
 
 
 def summarise(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_lines, n_exact, n_near, removed_lines) of every row."""
-    slim = documents.select(F.col(id_col), F.col(text), F.size(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")).cast("long").alias("_n"))
-    decisions = settle(document_decisions(documents, id_col, text), "line-decisions")
-    rows = _joined(slim, broadcast_if_small(decisions, 128), id_col, text)
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return rows.select(F.col(id_col), F.col("_n").alias("n_lines"), zero("_n_exact_").alias("n_exact"), zero("_n_near_").alias("n_near"), F.coalesce("_removed_", F.array().cast("array<int>")).alias("removed_lines"))
+    slim = documents.select(F.col(id_col), F.col(text))
+    decisions, name = _decided(slim, id_col, text)
+    n_lines = F.size(F.split(F.coalesce(slim[text].cast("string"), F.lit("")), "\n")).cast("long")
+    zero = lambda c: F.coalesce(decisions[name[c]], F.lit(0)).cast("long").alias(c)
+    return _joined(slim, decisions, id_col, text).select(slim[id_col], n_lines.alias("n_lines"), zero("n_exact"), zero("n_near"), F.coalesce(decisions[name["removed"]], F.array().cast("array<int>")).alias("removed_lines"))
 
 
 def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text: str = "text", drop_emptied: bool = True) -> DataFrame:
     """``documents`` without the lines that go; ``drop_emptied``: without texts that lost all their lines with words."""
-    decisions = settle(document_decisions(documents, id_col, text), "line-decisions")
-    rows = _joined(documents, broadcast_if_small(decisions, 128), id_col, text)
-    parts = F.split(F.col(text), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_removed_"))
-    kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
-    rows = rows.withColumn(text, F.when(F.col("_removed_").isNull(), F.col(text)).otherwise(kept))
+    decisions, name = _decided(documents, id_col, text)
+    removed = decisions[name["removed"]]
+
+    def kept(parts: Column) -> Column:
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), removed), lambda i: F.get(parts, i)), "\n")
+
+    left = F.when(removed.isNull(), documents[text]).otherwise(let(F.split(documents[text].cast("string"), "\n"), kept))
+    rows = _joined(documents, decisions, id_col, text)
+    rows = rows.select(*(left.alias(c) if c == text else documents[c] for c in documents.columns), removed.isNull().alias(fresh("whole", documents.columns)))
     if drop_emptied:
-        rows = rows.where(F.col("_removed_").isNull() | F.col(text).rlike(r"\S"))
+        rows = rows.where(F.col(rows.columns[-1]) | F.col(text).rlike(r"\S"))
     return rows.select(*documents.columns)
