@@ -10,7 +10,11 @@ Only DataFrame functions are used. The steps:
    intersected: a document and an alignment stay if two terms of the item (one
    if it has a one-word window) fall on the same alignment;
 4. the remaining alignments are compared word by word with the documents, which
-   gives the exact windows; the intervals of a document are then merged.
+   gives the exact windows; the intervals of a document are then merged;
+5. proximity matches come from the same index: of each item the ``NEAR_TERMS`` (4)
+   rarest words that the corpus has are terms too, and a document is near an item
+   where ``NEAR_NEED`` (3) of these, or all if the item has fewer, but two at least,
+   lie where the item has them, give or take ``SLOP`` (8) words altogether.
 
 Words and windows: A-Z become a-z, words are runs of digits, letters a-z and all
 characters beyond ASCII. A window is ``window`` (13) item words in a row; an item
@@ -30,12 +34,15 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnweave.llm._names import fresh
 from tarnweave.session import broadcast_if_small, settle
 
 #: What lies between words, after A-Z became a-z. A fixed value.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a window.
 WINDOW = 13
+#: Of an item's rarest words in the corpus so many are terms of proximity, so many must lie together, and so close.
+NEAR_TERMS, NEAR_NEED, SLOP = 4, 3, 8
 
 
 def word_list(text: Column) -> Column:
@@ -99,15 +106,36 @@ def alignments(index: DataFrame, terms: DataFrame) -> DataFrame:
     return together.where(F.col("n") >= F.col("need")).select("id", "h", "item", "shift")
 
 
-def phrase_matches(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def near_terms(items: DataFrame, counts: DataFrame, terms: int = NEAR_TERMS, need: int = NEAR_NEED) -> DataFrame:
+    """(item, term, offset, need): the rarest words of each item that the corpus has, wherever the item has them."""
+    spots = items.select("item", F.posexplode("item_words").alias("offset", "term")).join(counts, "term")
+    rarest = spots.groupBy("item").agg(F.slice(F.array_sort(F.collect_set(F.struct("n", "term"))), 1, terms).alias("rarest")).where(F.size("rarest") > 1)
+    rarest = rarest.select("item", F.least(F.lit(need), F.size("rarest")).alias("need"), F.explode("rarest.term").alias("term"))
+    return spots.join(rarest, ["item", "term"]).select("item", "term", "offset", "need")
+
+
+class Index:
+    """The benchmark's items and terms, and the stored postings of the documents for them."""
+
+    def __init__(self, documents: DataFrame, benchmark: DataFrame, id_col: str, text: str, item_col: str, item_text: str, window: int, near: bool) -> None:
+        docs = _keyed(documents, id_col, text)
+        self.items = settle(item_words(benchmark, item_col, item_text), "items")
+        counts = settle(term_counts(docs, self.items), "term-counts")
+        self.rare = settle(rare_terms(self.items, counts, window), "rare-terms")
+        self.near = settle(near_terms(self.items, counts), "near-terms") if near else None
+        terms = self.rare.select("term").union(self.near.select("term")) if near else self.rare
+        self.postings = settle(postings(docs, terms), "postings")
+
+
+def phrase_matches(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, index: Index | None = None) -> DataFrame:
     """(id, h, item_id, start, stop): maximal runs of document words inside windows of an item that occur."""
-    docs = _keyed(documents, id_col, text)
-    items = settle(item_words(benchmark, item_col, item_text), "items")
-    terms = settle(rare_terms(items, term_counts(docs, items), window), "rare-terms")
-    index = settle(postings(docs, terms), "postings")
-    found = settle(alignments(index, terms), "alignments").join(broadcast_if_small(items, 4096), "item")
-    found = broadcast_if_small(settle(found.select("id", "h", "item_id", "item_words", "shift"), "candidates"), 1024)
-    pairs = docs.join(found, _same(docs, found)).select(docs["id"], docs["h"], "words", "item_id", "item_words", "shift")
+    index = index or Index(documents, benchmark, id_col, text, item_col, item_text, window, near=False)
+    found = settle(alignments(index.postings, index.rare), "alignments").join(broadcast_if_small(index.items), "item")
+    found = broadcast_if_small(settle(found.select("id", "h", "item_id", "item_words", "shift"), "candidates"))
+    # only texts with a candidate are split into words
+    body = F.col(text).cast("string")
+    docs = documents.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("h"), body.alias("body"))
+    pairs = docs.join(found, _same(docs, found)).select(docs["id"], docs["h"], word_list(F.col("body")).alias("words"), "item_id", "item_words", "shift")
     # words of the document under the item's first to last word, as far as the document reaches
     length, skip = F.size("item_words"), F.greatest(F.lit(0), -F.col("shift"))
     part = F.slice("words", F.greatest(F.col("shift"), F.lit(0)) + 1, F.greatest(F.lit(0), length - skip))
@@ -126,20 +154,19 @@ def phrase_matches(documents: DataFrame, benchmark: DataFrame, id_col: str = "do
     return hits.select("id", "h", "item_id", (F.col("base") + F.col("run.a")).alias("start"), (F.col("base") + F.col("run.b") + F.col("width")).alias("stop")).distinct()
 
 
-def proximity_matches(documents: DataFrame, benchmark: DataFrame, slop: int = 8, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, item_id, position, n_terms): places where at least two different rare terms of an item
-    lie within ``slop`` words of where the item has them, exact phrases or not."""
-    docs = _keyed(documents, id_col, text)
-    items = settle(item_words(benchmark, item_col, item_text), "items")
-    terms = settle(rare_terms(items, term_counts(docs, items), window), "rare-terms")
-    moved = postings(docs, terms).join(broadcast_if_small(terms, 256), "term").select("id", "h", "item", "offset", (F.col("position") - F.col("offset")).alias("shift"))
-    # an alignment and the next: two shifts within the slop share one of two neighbouring cells
-    cell = F.floor(F.col("shift") / slop)
-    spread = moved.withColumn("cell", F.explode(F.array(cell, cell + 1)))
-    near = spread.groupBy("id", "h", "item", "cell").agg(F.countDistinct("offset").alias("n_terms"), F.min("shift").alias("shift"), (F.max("shift") - F.min("shift")).alias("spread"))
-    near = near.where((F.col("n_terms") >= 2) & (F.col("spread") <= 2 * slop))
-    near = near.groupBy("id", "item", "shift").agg(F.max("n_terms").alias("n_terms"))
-    return near.join(items.select("item", "item_id"), "item").select("id", "item_id", F.greatest(F.col("shift"), F.lit(0)).alias("position"), "n_terms")
+def proximity_matches(documents: DataFrame, benchmark: DataFrame, slop: int = SLOP, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", index: Index | None = None) -> DataFrame:
+    """(id, h, item_id, position, n_terms): where enough different terms of an item lie as in the item, exact phrases or not.
+
+    A posting's shift is its position less the term's offset in the item.
+    ``position`` is a shift from which on, up to ``slop`` more, lie the shifts of
+    ``n_terms`` terms; every such shift is a match.
+    """
+    index = index or Index(documents, benchmark, id_col, text, item_col, item_text, WINDOW, near=True)
+    moved = index.postings.join(broadcast_if_small(index.near), "term").select("id", "h", "item", "need", "term", (F.col("position") - F.col("offset")).cast("long").alias("shift"))
+    onward = Window.partitionBy("id", "h", "item").orderBy("shift").rangeBetween(0, slop)
+    near = moved.withColumn("n_terms", F.size(F.collect_set("term").over(onward)).cast("long")).where("n_terms >= need")
+    named = near.join(broadcast_if_small(index.items.select("item", "item_id")), "item")
+    return named.select("id", "h", "item_id", F.col("shift").alias("position"), "n_terms").distinct()
 
 
 def hit_words(hits: DataFrame) -> DataFrame:
@@ -150,19 +177,25 @@ def hit_words(hits: DataFrame) -> DataFrame:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, h, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``documents``.
+    """(id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated, n_near) of every row of ``documents``.
 
     Contaminated: a twentieth of the words or more lie inside windows that occur.
+    ``n_near`` is the number of items with a proximity match.
     """
-    hits = settle(phrase_matches(documents, benchmark, id_col, text, item_col, item_text, window), "phrase-matches")
+    index = Index(documents, benchmark, id_col, text, item_col, item_text, window, near=True)
+    hits = settle(phrase_matches(documents, benchmark, id_col, text, item_col, item_text, window, index), "phrase-matches")
+    near = proximity_matches(documents, benchmark, SLOP, id_col, text, item_col, item_text, index)
+    near = near.groupBy("id", "h").agg(F.count_distinct("item_id").alias("n_near"))
     merged = hit_words(hits)
-    merged = broadcast_if_small(settle(merged, "hit-documents"), 512)
+    merged = merged.select("id", "h", "n_hit", "items", F.lit(0).cast("long").alias("n_near")).union(near.select("id", "h", F.lit(None).cast("long"), F.lit(None).cast("array<string>"), "n_near"))
+    merged = merged.groupBy("id", "h").agg(F.max("n_hit").alias("n_hit"), F.max("items").alias("items"), F.max("n_near").alias("n_near"))
+    merged = broadcast_if_small(settle(merged, "hit-documents"))
     docs = _keyed(documents, id_col, text).select("id", "h", F.size("words").cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return docs.join(merged, _same(docs, merged), "left").select(
         docs["id"].alias(id_col), docs["h"].alias("text_hash"), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 
@@ -173,7 +206,8 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     sizes = _keyed(documents, id_col, text).select("id", "h", F.size("words").alias("n_words"))
     near = broadcast_if_small(settle(merged.select("id", "h", "n_hit"), "hit-documents"), 64)
     bad = sizes.join(near, _same(sizes, near)).where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    bad = bad.select(sizes["id"].alias("_bad_id"), sizes["h"].alias("_bad_h")).distinct()
-    bad = broadcast_if_small(settle(bad, "contaminated"), 64)
+    bad_id, bad_h = (fresh(c, documents.columns) for c in ("bad_id", "bad_h"))
+    bad = settle(bad.select(sizes["id"].alias(bad_id), sizes["h"].alias(bad_h)).distinct(), "contaminated")
+    bad = broadcast_if_small(bad)
     own = F.xxhash64(F.coalesce(documents[text].cast("string"), F.lit("")))
-    return documents.join(bad, documents[id_col].eqNullSafe(F.col("_bad_id")) & (own == F.col("_bad_h")), "left_anti")
+    return documents.join(bad, documents[id_col].eqNullSafe(bad[bad_id]) & (own == bad[bad_h]), "left_anti")
