@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnweave.session import drop_settled, settle
+from tarnweave.session import broadcast_if_small, drop_settled, settle
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,9 +24,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before or not now[0]:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select("b", "b")).distinct()
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # minima are settled before they are joined back, so a node with very many links can be split
+        least = broadcast_if_small(settle(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = broadcast_if_small(settle(large.groupBy("a").agg(F.min("b").alias("m")), "least"))
         turned = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = settle(turned.union(least).distinct(), "links")
         drop_settled(links)

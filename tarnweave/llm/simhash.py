@@ -11,9 +11,12 @@ Distances of 64-bit hashes lie close around 32, so pivots alone leave about half
 of all pairs each and can't spread pairs over a cluster. The pairs that the
 tables are asked about come from blocks that lose no link: the bits fall into
 five groups, and of five groups at least two are equal in a linked pair. Blocks
-of more than ``BLOCK_ROWS`` are divided once more by four groups of the other
-bits, one of which must be equal. A block yields a spanning forest of its links
-and not all of them, so a dense block of n fingerprints gives at most n - 1 rows.
+of more than ``BLOCK_ROWS`` are divided by four groups of the bits that aren't fixed
+yet, one of which must be equal, and again, up to three times. Within a block the
+first pivot's distances are the order in which a fingerprint's candidates are found:
+only those within ``max_bits`` of its own are looked at. A block yields a spanning
+forest of its links and not all of them, so a dense block of n fingerprints gives at
+most n - 1 rows.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any
 other; repeated rows have one fingerprint and one component; a null id is passed
@@ -40,6 +43,8 @@ PIVOTS = 16
 GROUPS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Rows above which a block is divided.
 BLOCK_ROWS = 20_000
+#: Four groups of all bits, by every first, fourth and sixteenth bit, that blocks are divided by in turn.
+STRIPES = [[sum(1 << b for b in range(64) if b // step % 4 == q) for q in range(4)] for step in (1, 4, 16)]
 #: Blocks up to this size are compared pair by pair, larger ones by search.
 SMALL_BLOCK = 48
 #: Shingles that are hashed at once.
@@ -157,21 +162,21 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     """(a, b): links between distinct fingerprints that join all that can reach each other."""
     if max_bits > 3:
         raise ValueError("the bit groups are made for at most 3 differing bits")
-    part = lambda at, n: F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1))
-    keys = [F.xxhash64(F.lit(f"{i},{j}"), part(*GROUPS[i]), part(*GROUPS[j])) for i, j in combinations(range(5), 2)]
-    rows = settle(_with_pivots(fps), "pivots").select(F.posexplode(F.array(*keys)).alias("pair", "key"), "fp", "pivots")
-    large = settle(rows.groupBy("key").count().where(F.col("count") > BLOCK_ROWS).select("key", F.lit(True).alias("large")), "large-blocks")
-    if large.limit(1).count():
-        # three bits can't touch all of four groups of the other bits
-        finer = []
-        for i, j in combinations(range(5), 2):
-            others = [at + k for g, (at, n) in enumerate(GROUPS) if g not in (i, j) for k in range(n)]
-            masks = [sum(1 << k for k in others[q::4]) for q in range(4)]
-            masked = [F.xxhash64(F.lit(q), F.col("key"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for q, m in enumerate(masks)]
-            finer.append(F.array(*masked))
-        rows = rows.join(broadcast_if_small(large, 16), "key", "left")
-        sub = F.when(F.col("large"), F.element_at(F.array(*finer), F.col("pair") + 1)).otherwise(F.array("key"))
-        rows = rows.select(F.explode(sub).alias("key"), "fp", "pivots")
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
+    blocks = []
+    for i, j in combinations(range(5), 2):
+        fixed = sum(((1 << n) - 1) << at for at, n in (GROUPS[i], GROUPS[j]))
+        blocks.append(F.struct(F.xxhash64(F.lit(f"{i},{j}"), F.col("fp").bitwiseAND(signed(fixed))).alias("key"), signed((1 << 64) - 1 - fixed).alias("free")))
+    rows = settle(_with_pivots(fps), "pivots").select(F.explode(F.array(*blocks)).alias("block"), "fp", "pivots").select("block.key", "block.free", "fp", "pivots")
+    for stripes in STRIPES:
+        large = settle(rows.groupBy("key").count().where(F.col("count") > BLOCK_ROWS).select("key"), "large-blocks")
+        if not large.limit(1).count():
+            break
+        hinted = broadcast_if_small(large, 16)
+        # three bits can't touch all of four groups
+        finer = [F.struct(F.xxhash64(F.lit(q), "key", F.col("fp").bitwiseAND(F.col("free")).bitwiseAND(signed(m))).alias("key"), F.col("free").bitwiseAND(signed((1 << 64) - 1 - m)).alias("free")) for q, m in enumerate(stripes)]
+        divided = rows.join(hinted, "key", "left_semi").select(F.explode(F.array(*finer)).alias("block"), "fp", "pivots").select("block.key", "block.free", "fp", "pivots")
+        rows = settle(rows.join(hinted, "key", "left_anti").union(divided), "divided-blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(key, fp, flat):
@@ -213,8 +218,8 @@ def _rooted(df: DataFrame, text: str, id_col: str, max_bits: int) -> tuple[DataF
 def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", max_bits: int = 3) -> DataFrame:
     """(id, fingerprint in hex, component_id: the smallest id that links reach)."""
     rows, rooted = _rooted(df, text, id_col, max_bits)
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(least, "root").select("fp", "component_id")
+    least = settle(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least-of-component")
+    found = settle(rooted.join(broadcast_if_small(least), "root").select("fp", "component_id"), "component-of-fingerprint")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(found, "fp").select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
 
