@@ -5,26 +5,32 @@ anywhere else, in the same or another text, is removed. A suffix array over all
 bytes isn't needed for that: what counts is which suffixes agree in their first
 200 bytes. Buckets of suffixes are refined until that is known:
 
-1. Initial buckets are q-grams (``GRAM`` bytes). Of each string of 200 bytes one
-   q-gram stands for it, the one of least hash (the last of equals), so only about
-   one byte position in 75 gets a row. The strings that one position stands for
-   are neighbours and form a run. Runs whose q-gram bucket has one member are
-   settled: none of their strings repeats.
-2. Buckets are refined by what lies at later offsets, with the identifiers of
-   step 1 reused: a run's bucket is joined with the hash of all bytes that its
-   strings cover. Runs in a refined bucket of two or more are settled: all their
-   strings repeat.
+1. Initial buckets are q-grams (``GRAM`` bytes); a bucket's identifier is the hash of
+   its q-gram. Of each string of 200 bytes one q-gram stands for it, the one of least
+   identifier (the last of equals), so only about one byte position in 75 gets a row.
+   The strings that one position stands for are neighbours and form a run. Runs
+   whose q-gram bucket has one member are settled: none of their strings repeats.
+2. Buckets are refined by the identifiers of the buckets at later offsets. An
+   identifier of level j + 1 is made of the identifier of level j of a position and
+   that of the position 2^j q-grams on, so each level reuses the one before and a few
+   levels reach over any span (``Identifiers``). A run's bucket is refined by the
+   identifier of all bytes that its strings cover. Runs in a refined bucket of two or
+   more are settled: all their strings repeat.
 3. Only runs at the ends of repeats are left. They are cut into pieces of up to
    ``PIECE`` strings at fixed distances from the q-gram, so that pieces of equal
-   strings are cut alike. A piece's bucket is refined by the bytes that all its
-   strings share: a piece alone in there has no string that repeats. Pieces with
-   all bytes equal are settled, and of each such group one goes on as a model.
-4. What is left, about one piece a run, is refined once more, one row per string:
-   the identifier of a string is the pair of two independent 64-bit hashes of its
-   200 bytes. A group of two or more repeats.
+   strings are cut alike. A piece's bucket is refined by the identifier of the bytes
+   that all its strings share: a piece alone in there has no string that repeats.
+   Pieces with all bytes equal are settled, and of each such group one goes on as a model.
+4. What is left, about one piece a run, is refined once more, one row per string, by
+   two independent identifiers of its 200 bytes. A group of two or more repeats.
 
-Hot buckets are counted with partial counts and joined by keys that Spark may
-split; nothing is collected but a text's own runs.
+Identifiers are hashes of 64 bits and not ranks, so no level needs a sort of all
+positions: levels are made where the text lies, and Spark groups by them. A decision
+takes equality of two identifiers of different hashes, 128 bits.
+
+Hot buckets are counted with partial counts; the counts are settled before they are
+joined back, so that Spark may split the rows of a hot bucket. Nothing is collected
+but a text's own runs.
 
 Defined cases: a null text is empty; texts under 200 bytes lose nothing; repeated
 rows are copies of each other; an empty table gives an empty result; other columns
@@ -68,16 +74,38 @@ def _letters(base: int) -> np.ndarray:
     return mix64(np.arange(1, 257, dtype=_U) * _U(base))
 
 
-class Hashes:
-    """Hashes of any substring of one block of bytes, by prefix sums."""
+class Identifiers:
+    """Bucket identifiers of one block of bytes: of q-grams, and of longer spans by levels.
+
+    Level 0 holds the identifier of the q-gram at each position, from prefix sums
+    of its letters. Level j has that of the 2^j q-grams one after the other from a
+    position on, made of two of level j - 1. A span is named by the level that fits
+    into it: at its start, and at its end, where the two may overlap.
+    """
+
+    def __init__(self, data: np.ndarray, base: int, gram: int) -> None:
+        up, down = _powers(base, 1 << max(16, int(len(data)).bit_length()))
+        sums = np.concatenate([np.zeros(1, _U), np.cumsum(_letters(base)[data] * up[: len(data)], dtype=_U)])
+        n = len(data) - gram + 1
+        self.gram, self.base = gram, _U(base)
+        self.levels = [mix64((sums[gram:] - sums[:n]) * down[:n])]
 
-    def __init__(self, data: np.ndarray, base: int) -> None:
-        self.up, self.down = _powers(base, 1 << max(16, int(len(data)).bit_length()))
-        terms = _letters(base)[data] * self.up[: len(data)]
-        self.sums = np.concatenate([np.zeros(1, _U), np.cumsum(terms, dtype=_U)])
+    def level(self, j: int) -> np.ndarray:
+        while len(self.levels) <= j:
+            ids, step = self.levels[-1], self.gram << (len(self.levels) - 1)
+            self.levels.append(mix64(ids[: max(0, len(ids) - step)] * self.base + ids[step:]))
+        return self.levels[j]
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(_U))
+        """The identifiers of spans of a q-gram or more."""
+        size = stop - start
+        level = np.frexp(size // self.gram)[1] - 1  # the highest power of two
+        out = np.zeros(len(start), _U)
+        for j in np.unique(level):
+            at = np.flatnonzero(level == j)
+            ids, back = self.level(int(j)), stop[at] - (self.gram << int(j))
+            out[at] = mix64(ids[start[at]] * self.base + ids[back] + size[at].astype(_U))
+        return out
 
 
 def least_places(values: np.ndarray, window: int) -> np.ndarray:
@@ -99,15 +127,13 @@ def least_places(values: np.ndarray, window: int) -> np.ndarray:
 def runs_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(first, last, place, bucket, span) of the runs of one text of at least ``length`` bytes.
 
-    ``place`` is where the q-gram starts, ``bucket`` its hash, ``span`` that of all bytes of the run's strings, of another base.
+    ``place`` is where the q-gram starts, ``bucket`` its identifier, ``span`` that of all bytes of the run's strings, of another base.
     """
-    a = Hashes(data, BASES[0])
-    at = np.arange(len(data) - gram + 1)
-    grams = a.of(at, at + gram)
+    grams = Identifiers(data, BASES[0], gram).level(0)
     stands = least_places(grams, length - gram + 1)
     cut = np.flatnonzero(stands[1:] != stands[:-1]) + 1
     first, last = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(stands) - 1]])
-    return first, last, stands[first], grams[stands[first]], Hashes(data, BASES[1]).of(first, last + length)
+    return first, last, stands[first], grams[stands[first]], Identifiers(data, BASES[1], gram).of(first, last + length)
 
 
 def _parts(data: bytes, length: int, block: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray]]:
@@ -121,7 +147,7 @@ def _parts(data: bytes, length: int, block: int = BLOCK_BYTES) -> Iterator[tuple
 KEY = "k long, h long"
 
 
-def _run_rows(texts: DataFrame, length: int) -> DataFrame:
+def _run_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """(k, h, first, last, place, bucket, span) of all runs of all texts."""
     schema = f"{KEY}, first int, last int, place int, bucket long, span long"
 
@@ -136,7 +162,7 @@ def _run_rows(texts: DataFrame, length: int) -> DataFrame:
             keys, cols, held = [], [], 0
             for k, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 for at, part in _parts(text.as_py(), length):
-                    first, last, place, *rest = runs_of(part, length)
+                    first, last, place, *rest = runs_of(part, length, gram)
                     keys.append((k, h))
                     cols.append((first + at, last + at, place + at, *rest))
                     held += len(first)
@@ -194,11 +220,11 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _piece_rows(texts: DataFrame, length: int, gram: int, size: int = PIECE) -> DataFrame:
-    """(k, h, first, last, place, model, no, core, span, part): runs in pieces. ``core`` is the hash of the bytes that all
+    """(k, h, first, last, place, model, no, core, span, part): runs in pieces. ``core`` is the identifier of the bytes that all
     strings of a whole piece share, ``span`` of all their bytes; where the run has only a part of a piece, span tells it from others."""
 
     def of_runs(data: np.ndarray, runs: dict[str, np.ndarray], base: int) -> dict[str, np.ndarray]:
-        one, two = (Hashes(data, b) for b in BASES)
+        one, two = (Identifiers(data, b, gram) for b in BASES)
         place = runs["place"]
         row, no = _spread((place - runs["last"]) // size, (place - runs["first"]) // size)
         place = place[row]
@@ -216,12 +242,12 @@ def _piece_rows(texts: DataFrame, length: int, gram: int, size: int = PIECE) ->
     return rows.withColumn("span", F.when(F.col("part"), F.xxhash64("k", "h", "first")).otherwise(F.col("span")))
 
 
-def _string_rows(texts: DataFrame, length: int) -> DataFrame:
+def _string_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """(k, h, at, model, a, b) of every string of the open runs."""
 
     def of_runs(data: np.ndarray, runs: dict[str, np.ndarray], base: int) -> dict[str, np.ndarray]:
         row, at = _spread(runs["first"], runs["last"])
-        a, b = (Hashes(data, x).of(at - base, at - base + length).view(np.int64) for x in BASES)
+        a, b = (Identifiers(data, x, gram).of(at - base, at - base + length).view(np.int64) for x in BASES)
         return {"at": at.astype(np.int32), "model": runs["model"][row], "a": a, "b": b}
 
     return _open_rows(texts, length, "at int, model boolean, a long, b long", of_runs)
@@ -275,28 +301,34 @@ def _refined(rows: DataFrame, *key: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("k", "h", "first", "last", "place", "model")).alias("one"))
 
 
+def _of_those(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows with one of the keys, which are settled first: the join then reads both sides as they are and may split a hot key."""
+    keys = settle(keys, name)
+    return rows.join(broadcast_if_small(keys, 48, 400_000), keys.columns, "left_semi")
+
+
 def repeated_strings(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(k, h, first, last): where strings start that also start elsewhere. ``texts`` has (k, h, data)."""
     texts = texts.where(F.octet_length("data") >= length)
-    runs = settle(_run_rows(texts, length), "runs")
+    runs = settle(_run_rows(texts, length, gram), "runs")
     shared = runs.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    live = settle(runs.join(shared, "bucket", "left_semi").withColumn("model", F.lit(False)), "live-runs")
+    live = settle(_of_those(runs, shared, "shared-buckets").withColumn("model", F.lit(False)), "live-runs")
     drop_settled(runs)
     refined = settle(_refined(live, "bucket", "span"), "refined-buckets")
-    whole = live.join(refined.where("n > 1").select("bucket", "span"), ["bucket", "span"], "left_semi").select("k", "h", "first", "last")
+    whole = _of_those(live, refined.where("n > 1").select("bucket", "span"), "whole-buckets").select("k", "h", "first", "last")
     # a string of an open run may also start in a settled run of its bucket; one run of each refined bucket speaks for that
     opened = refined.where("n = 1").select("bucket").distinct()
-    ends = refined.join(opened, "bucket", "left_semi").select("one.k", "one.h", "one.first", "one.last", "one.place", (F.col("n") > 1).alias("model"))
+    ends = _of_those(refined, opened, "open-buckets").select("one.k", "one.h", "one.first", "one.last", "one.place", (F.col("n") > 1).alias("model"))
 
     pieces = settle(_piece_rows(_with_open(texts, ends), length, gram), "pieces")
     groups = settle(_refined(pieces, "no", "core", "span", "part"), "refined-pieces")
-    settled = pieces.where("not model").join(groups.where("n > 1").select("no", "core", "span", "part"), ["no", "core", "span", "part"], "left_semi").select("k", "h", "first", "last")
+    settled = _of_those(pieces.where("not model"), groups.where("n > 1").select("no", "core", "span", "part"), "whole-pieces").select("k", "h", "first", "last")
     several = groups.groupBy("no", "core").agg(F.count("*").alias("groups")).where("groups > 1").select("no", "core")
-    rest = groups.join(several, ["no", "core"], "left_semi").select("one.k", "one.h", "one.first", "one.last", "one.place", (F.col("one.model") | (F.col("n") > 1)).alias("model"))
+    rest = _of_those(groups, several, "open-pieces").select("one.k", "one.h", "one.first", "one.last", "one.place", (F.col("one.model") | (F.col("n") > 1)).alias("model"))
 
-    strings = settle(_string_rows(_with_open(texts, rest), length), "strings")
+    strings = settle(_string_rows(_with_open(texts, rest), length, gram), "strings")
     twice = strings.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    alone = strings.where("not model").join(twice, ["a", "b"], "left_semi").select("k", "h", F.col("at").alias("first"), F.col("at").alias("last"))
+    alone = _of_those(strings.where("not model"), twice, "repeated-strings").select("k", "h", F.col("at").alias("first"), F.col("at").alias("last"))
     return whole.union(settled).union(alone)
 
 
