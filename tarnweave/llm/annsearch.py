@@ -10,10 +10,12 @@ by the inner product in double precision.
 Codebooks are fitted on at most ``SAMPLE`` vectors (those of the smallest hash of
 the id); all vectors are indexed and all are candidates. A distance of halves is
 the negative inner product with the centroid, whose sum is the nearness sought.
-Enough entries are a share of the table (``SHARE``), as recall over vectors
-without structure depends on the share seen; queries of a stated set meet them in
-blocks of bounded size, and one cell may fill many blocks. Recall is measured in
-the tests against brute force.
+Enough entries are a share of the table, which is measured on the sample: some of its
+vectors are searched among all of them by brute force, and the share is what the walk
+must see of the sample to meet ``RECALL`` of what they found. Vectors in clusters need
+little; those without structure need about four tenths, whatever the index. Queries of
+a stated set meet the entries in blocks of bounded size, and one cell may fill many
+blocks. Recall is measured in the tests against brute force.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components
 take no part, nor do rows whose id is null (they neither ask nor are found), nor
@@ -36,11 +38,11 @@ from pyspark.sql import functions as F
 from tarnweave.session import settle
 
 #: Centroids of a half; the cells of one first centroid fit the bits of a long.
-CELLS = 32
+CELLS = 64
 #: Vectors that codebooks are fitted on at most, and rounds of fitting.
 SAMPLE, ROUNDS = 20_000, 10
-#: Share of all vectors, and least number of them, that a query reranks.
-SHARE, LEAST = 0.65, 4_000
+#: Share of the sample's nearest that must be seen, queries it is measured with, and the least number of entries seen.
+RECALL, ASKED, LEAST = 0.95, 256, 4_000
 #: Entries of one block, and queries that meet it at once.
 BLOCK, BATCH = 8_192, 256
 
@@ -76,14 +78,33 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmin((centres**2).sum(axis=1) - 2 * x @ centres.T, axis=1)
 
 
-def fit(vectors: DataFrame, cells: int = CELLS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+def sampled(vectors: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """The vectors that codebooks and share are fitted on: those of the smallest hash of the id."""
+    return np.array([r["v"] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()], np.float64)
+
+
+def fit(x: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
     """The codebooks of the two halves."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()
-    x = np.array([r["v"] for r in rows], np.float64)
     half = x.shape[1] // 2
     return _codebook(x[:, :half], cells), _codebook(x[:, half:], cells)
 
 
+def needed_share(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, recall: float = RECALL, asked: int = ASKED) -> float:
+    """The share of the rows of ``x`` that a walk must see so that it meets ``recall`` of the k nearest of some of them."""
+    half, q = books[0].shape[1], x[:: max(1, len(x) // asked)][:asked]
+    own = np.arange(len(x))[:: max(1, len(x) // asked)][:asked]
+    exact = q @ x.T
+    near = (q[:, :half] @ books[0].T)[:, _nearest(x[:, :half], books[0])] + (q[:, half:] @ books[1].T)[:, _nearest(x[:, half:], books[1])]
+    exact[np.arange(len(q)), own] = near[np.arange(len(q)), own] = -np.inf
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return 1.0
+    best = np.argpartition(-exact, k - 1, axis=1)[:, :k]
+    # entries that the walk meets no later than the best ones: their cells come at once
+    seen = [np.searchsorted(-np.sort(-row)[::-1], row[b], "left") for row, b in zip(near, best, strict=True)]
+    return float(np.quantile((len(x) - np.concatenate(seen)) / len(x), recall))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy()
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
@@ -137,7 +158,7 @@ def probes(queries: DataFrame, books: tuple[np.ndarray, np.ndarray], sizes: np.n
                         bits[i] = bits.get(i, 0) | 1 << j
                     rows += [k] * len(bits)
                     c1 += bits.keys()
-                    mask += bits.values()
+                    mask += (m - (1 << 64) if m >> 63 else m for m in bits.values())
                 took = batch.take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*took.columns, pa.array(c1, pa.int32()), pa.array(mask, pa.int64())], names=["id", "v", "c1", "mask"])
 
@@ -161,15 +182,16 @@ def _best(q_ids: np.ndarray, q: np.ndarray, mask: np.ndarray, ids: np.ndarray, c
     return out_q, out_id, out_s
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", cells: int = CELLS, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of ``queries`` (columns as ``df``) the k nearest rows found."""
+def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", cells: int = CELLS, share: float | None = None, least: int = LEAST) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row of ``queries`` (columns as ``df``) the k nearest rows found; without ``share`` it is measured."""
     schema = "query_id long, vec_id long, score double"
     spark = df.sparkSession
     vectors = prepared(df, id_col, vector)
     first = vectors.limit(1).collect()
     if not first:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    books = fit(vectors, cells)
+    x = sampled(vectors)
+    books = fit(x, cells)
     entries = settle(index(vectors, books), "multi-index")
     counted = entries.groupBy("c1", "c2").count().collect()  # one row per cell, CELLS x CELLS at most
     sizes = np.zeros((len(books[0]), len(books[1])), np.int64)
@@ -177,7 +199,9 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
         sizes[c1, c2] = n
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     asked = asked.where(F.col("id").isNotNull() & usable(F.col("v")) & (F.size("v") == len(first[0]["v"]))).groupBy("id").agg(F.min("v").alias("v"))
-    asked = settle(probes(asked, books, sizes, max(least, int(np.ceil(share * sizes.sum())))), "probes")
+    if share is None:
+        share = needed_share(x, books, max(1, round(k * len(x) / sizes.sum())))
+    asked = settle(probes(asked.repartition("id"), books, sizes, max(least, int(np.ceil(share * sizes.sum())))), "probes")
 
     # entries of a first centroid lie in blocks; each block meets all queries that visit the centroid
     n_blocks = F.element_at(F.array(*(F.lit(int(-(-n // BLOCK) or 1)) for n in sizes.sum(axis=1))), F.col("c1") + 1)
