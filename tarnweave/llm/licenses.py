@@ -74,8 +74,8 @@ def all_templates() -> dict[str, str]:
 def pairs_of(text: str) -> Iterator[tuple[str, str]]:
     """Neighbouring words, one pair after the other."""
     before = None
-    for m in WORD.finditer(text):
-        word = m[0].lower()
+    for m in WORD.finditer(text.lower()):
+        word = m[0]
         if before is not None:
             yield before, word
         before = word

@@ -19,9 +19,12 @@ def vocabulary() -> str:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "warc")
-    warc.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc.read_archive(spark, path).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages, path = table(spark, sf_dir, "pages"), scratch_path(spark, "warc")
+    archive = warc.write_archive(pages, path)
+    warc.write_warc(spark, path, f"{path}/warc")
+    kind = pages.schema["page_id"].dataType
+    found = warc.records(spark, f"{path}/warc", archive)
+    return found.select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,16 +113,22 @@ ORACLE: dict[str, str] = {
     "op2_licenses": _license_sql(),
     "op3_chatformat": """
         WITH s AS (
-          SELECT conv_id, turn, CASE WHEN trim(role) <> '' THEN trim(role) ELSE 'unknown' END AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS body FROM conversations),
-        w AS (SELECT DISTINCT conv_id, role AS perspective FROM s WHERE role <> 'system'),
-        p AS (
-          SELECT s.conv_id, perspective, CAST(floor(turn / 256) AS BIGINT) AS segment, turn, role, body, role = perspective AS own,
-                 '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head
-          FROM s JOIN w ON s.conv_id = w.conv_id),
+          SELECT conv_id, turn, CASE WHEN trim(role) <> '' THEN replace(regexp_replace(trim(role), '[\r\n]', ' ', 'g'), '<|im_', '<| im_') ELSE 'unknown' END AS role,
+                 replace(coalesce(text, ''), '<|im_', '<| im_') AS body FROM conversations),
+        r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body) - 1 AS k FROM s),
+        w AS (SELECT DISTINCT conv_id, role AS perspective FROM r WHERE role <> 'system'),
+        y AS (SELECT conv_id, arg_min(body, k) AS body FROM r WHERE role = 'system' GROUP BY conv_id),
+        p AS (SELECT r.conv_id, perspective, CAST(k // 256 AS BIGINT) AS segment, k, role, body FROM r JOIN w ON r.conv_id IS NOT DISTINCT FROM w.conv_id),
+        c AS (
+          SELECT * FROM p UNION ALL
+          SELECT DISTINCT p.conv_id, perspective, segment, -1, 'system', y.body FROM p JOIN y ON p.conv_id IS NOT DISTINCT FROM y.conv_id WHERE segment > 0),
+        h AS (
+          SELECT *, role = perspective AS own,
+                 '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head FROM c),
         q AS (
-          SELECT *, row_number() OVER o AS k, coalesce(sum(length(head) + length(body) + 11) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS a
-          FROM p WINDOW o AS (PARTITION BY conv_id, perspective, segment ORDER BY turn, role, body))
-        SELECT conv_id, perspective, segment, count(*) AS n_turns, CAST(sum(CASE WHEN own THEN 1 ELSE 0 END) AS BIGINT) AS n_own,
+          SELECT *, coalesce(sum(length(head) + length(body) + 11) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS a
+          FROM h WINDOW o AS (PARTITION BY conv_id, perspective, segment ORDER BY k))
+        SELECT conv_id, perspective, segment, count(*) FILTER (k >= 0) AS n_turns, CAST(sum(CASE WHEN own THEN 1 ELSE 0 END) AS BIGINT) AS n_own,
                string_agg(head || body || '<|im_end|>' || chr(10), '' ORDER BY k) AS rendered,
                coalesce(string_agg(CASE WHEN own THEN CAST(CAST(a AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(a + length(body) + 10 AS BIGINT) AS VARCHAR) END, ',' ORDER BY k), '') AS mask
         FROM q GROUP BY conv_id, perspective, segment
@@ -145,9 +154,20 @@ ORACLE: dict[str, str] = {
         hit AS (SELECT doc_id, dg.n AS n, i, item_id FROM dg JOIN ig ON dg.n = ig.n AND dg.g = ig.g),
         spots AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS k FROM hit),
         nh AS (SELECT doc_id, count(*) AS n_hit FROM spots GROUP BY doc_id),
+        iu AS (SELECT item, item_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT row_number() OVER () AS item, * FROM (SELECT DISTINCT item_id, ws FROM iw))),
+        io AS (SELECT item, item_id, i - 1 AS off, ws[i] AS term FROM iu),
+        du AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM dw),
+        dt AS (SELECT doc_id, i - 1 AS pos, ws[i] AS term FROM du WHERE ws[i] IN (SELECT term FROM io)),
+        tc AS (SELECT term, count(*) AS n FROM dt GROUP BY term),
+        rk AS (SELECT item, term, row_number() OVER (PARTITION BY item ORDER BY n, term) AS k, count(*) OVER (PARTITION BY item) AS m FROM (SELECT DISTINCT item, term FROM io) JOIN tc USING (term)),
+        nt AS (SELECT io.item, io.item_id, io.term, off, least(3, least(4, m)) AS need FROM io JOIN rk ON io.item = rk.item AND io.term = rk.term WHERE k <= 4 AND m > 1),
+        mv AS (SELECT doc_id, item, item_id, nt.term, need, pos - off AS shift FROM dt JOIN nt ON dt.term = nt.term),
+        pm AS (SELECT a.doc_id, a.item, a.item_id, a.shift FROM mv a JOIN mv b ON a.doc_id = b.doc_id AND a.item = b.item AND b.shift BETWEEN a.shift AND a.shift + 8
+               GROUP BY a.doc_id, a.item, a.item_id, a.shift HAVING count(DISTINCT b.term) >= max(a.need)),
+        nn AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM pm GROUP BY doc_id),
         ni AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
         SELECT dw.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-               sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-        FROM dw LEFT JOIN nh ON dw.doc_id = nh.doc_id LEFT JOIN ni ON dw.doc_id = ni.doc_id
+               sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+        FROM dw LEFT JOIN nh ON dw.doc_id = nh.doc_id LEFT JOIN ni ON dw.doc_id = ni.doc_id LEFT JOIN nn ON dw.doc_id = nn.doc_id
     """,
 }

@@ -28,32 +28,57 @@ def prose(rng, n, words=40):
 # --- op1 --------------------------------------------------------------------
 
 
-def test_warc_round_trip(spark, tmp_path):
-    big = "<p>é</p>" * 40
-    rows = [(5, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, None, "short"), (4, "u", "short"), (9, "v", None), (None, "w", big), (2, "http://b/", big)]
+def archived(spark, rows, path, kind="long"):
+    """The records of the WARC files that are written of the rows, and the archive's name."""
+    name = warc.write_archive(spark.createDataFrame(rows, f"page_id {kind}, url string, html string, digest string, seq int, first int"), path)
+    warc.write_warc(spark, path, path + "/warc", 3)
+    return sorted(((r["record_id"], r["record_type"], r["payload_bytes"], r["payload_digest"], r["refers_to"]) for r in warc.records(spark, path + "/warc", name).collect()), key=str), name
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_warc_round_trip(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(warc, "FEW_REPEATED", few)
+    big, cut = "<p>é</p>" * 40, "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\ny" * 3
+    rows = [(5, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, None, "short"), (4, "u", "short"), (9, "v", None), (None, "w", big), (2, "http://b/", big), (11, "é", cut), (12, "z", "long " * 100_000)]
     path = str(tmp_path / "a")
-    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
-    got = sorted(((r["record_id"], r["record_type"], r["payload_bytes"], r["payload_digest"], r["refers_to"]) for r in warc.read_archive(spark, path).collect()), key=str)
+    got, name = archived(spark, [(*r, "d", 1, 2) for r in rows], path)
     digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
-    want = [(2, "response", len(big.encode()), digest(big), None), (2, "revisit", len(big.encode()), digest(big), 2), (5, "revisit", len(big.encode()), digest(big), 2), (None, "revisit", len(big.encode()), digest(big), 2), (3, "response", 5, digest("short"), None), (4, "response", 5, digest("short"), None), (9, "response", 0, digest(""), None)]
+    n = len(big.encode())
+    want = [("2", "response", n, digest(big), None), ("2", "revisit", n, digest(big), "2"), ("5", "revisit", n, digest(big), "2"), (None, "revisit", n, digest(big), "2")]
+    want += [(str(i), "response", len((t or "").encode()), digest(t), None) for i, _, t in rows if t != big]
     assert got == sorted(want, key=str)
-    assert spark.read.parquet(f"{path}/payloads").count() == 3
-    out = str(tmp_path / "w")
-    warc.export_warc(spark, path, out)
-    parsed = warc.parse_warc(spark, out).collect()
-    heads = {bytes(r["header"]) for r in spark.read.parquet(f"{path}/headers").collect()}
-    assert {bytes(r["header"]) for r in parsed} == heads and len(parsed) == 7
-    assert sorted(len(r["block"]) for r in parsed) == [0, 0, 0, 0, 5, 5, len(big.encode())]
-
-
-def test_warc_damage_and_empty(spark, tmp_path):
-    warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e"))
-    assert warc.read_archive(spark, str(tmp_path / "e")).count() == 0
+    assert spark.read.parquet(f"{path}/payloads").count() == 5
+    # the files hold the exact headers, and a record's block is its payload
+    read = warc.read_warc(spark, path + "/warc", name).collect()
+    assert Counter(r["header"] for r in read) == Counter(bytes(r["header"]).decode() for r in spark.read.parquet(f"{path}/headers").collect())
+    assert Counter(bytes(r["block"]) for r in read) == Counter([big.encode(), b"short", b"short", b"", b"", b"", b"", cut.encode(), b"long " * 100_000])
+    plain = b"".join(__import__("gzip").open(f).read() for f in sorted((tmp_path / "a/warc").glob("part-*")))
+    assert sorted(bytes(r["record"]) for r in warc.reconstruct(spark, path).collect()) == sorted((r["header"].encode() + bytes(r["block"])) for r in read)
+    assert len(plain) == sum(len(r["header"].encode()) + len(r["block"]) + 4 for r in read)
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    def record(block):
+        return b"WARC/1.1\r\nWARC-Type: response\r\ncontent-length:%d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+    (tmp_path / "a.warc").write_bytes(record(b"one\r\n\r\ntwo") + record(b"") + record(b"\xff\x00"))
+    assert [bytes(r["block"]) for r in warc.read_warc(spark, str(tmp_path / "a.warc")).collect()] == [b"one\r\n\r\ntwo", b"", b"\xff\x00"]
+    (tmp_path / "b.warc").write_bytes(record(b"x\r\n\r\n" + record(b"y")))
+    with pytest.raises(Exception, match="cut record"):
+        warc.read_warc(spark, str(tmp_path / "b.warc")).collect()
+
+
+def test_warc_ids_damage_and_empty(spark, tmp_path):
+    assert archived(spark, [], str(tmp_path / "e"))[0] == []
+    page = "<p>page</p>" * 20
+    rows = [("p:2 é", "u", page, "d", 1, 2), ("p1", "u", page, "d", 1, 2), ("", "u", page, "d", 1, 2)]
+    got, _ = archived(spark, rows, str(tmp_path / "s"), "string")
+    assert [(r[0], r[1], r[4]) for r in got] == [("", "response", None), ("p1", "revisit", ""), ("p:2 é", "revisit", "")]
     path = str(tmp_path / "d")
-    warc.write_archive(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), path)
+    archived(spark, [(1, "u", "x", "d", 1, 2)], path)
     spark.createDataFrame([(hashlib.sha256(b"x").hexdigest(), b"y")], "payload_digest string, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
     with pytest.raises(Exception, match="damaged payload"):
-        warc.read_archive(spark, path).collect()
+        warc.reconstruct(spark, path).collect()
 
 
 # --- op2 --------------------------------------------------------------------
@@ -149,16 +174,38 @@ def test_full_licence_texts(spark):
 # --- op3 --------------------------------------------------------------------
 
 
-def test_chat_rotation(spark):
-    rows = [(1, 0, "system", "rules"), (1, 1, "Ann", "hi <|im_end|>"), (1, 2, "Bob", None), (1, 3, None, "who"), (2, 0, "system", "alone"), (None, 0, "A", "x"), (1, 300, "Ann", "later"), (1, None, "Bob", "no turn")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {(r["conv_id"], r["perspective"], r["segment"]): r for r in chatformat.rotate(df).collect()}
-    assert {(c, p) for c, p, _ in got} == {(1, "Ann"), (1, "Bob"), (1, "unknown"), (None, "A")} and len(got) == 10
-    r = got[1, "Ann", 0]
-    assert r["rendered"] == "<|im_start|>system\nrules<|im_end|>\n<|im_start|>assistant\nhi <| im_end|><|im_end|>\n<|im_start|>user name=Bob\n<|im_end|>\n<|im_start|>user name=unknown\nwho<|im_end|>\n"
-    assert [r["rendered"][m["start"] : m["stop"]] for m in r["mask"]] == ["hi <| im_end|><|im_end|>"]
-    assert got[1, "Bob", -1]["n_own"] == 1 and got[1, "Ann", 1]["n_turns"] == 1
+def plain_rotation(turns, segment):
+    """Every dialogue from every perspective, turn by turn."""
+    said, out = {}, {}
+    for conv, turn, role, text in turns:
+        role = (role or "").strip().replace("<|im_", "<| im_") or "unknown"
+        said.setdefault(conv, []).append((turn is not None, turn or 0, role, (text or "").replace("<|im_", "<| im_")))
+    for conv, rows in said.items():
+        rows = [(r, t) for _, _, r, t in sorted(rows)]
+        system = [x for x in rows if x[0] == "system"][:1]
+        for who in {r for r, _ in rows if r != "system"}:
+            for s in range(0, len(rows), segment):
+                body, mask = "", []
+                for r, t in (system if s else []) + rows[s : s + segment]:
+                    body += "<|im_start|>" + ("system" if r == "system" else "assistant" if r == who else "user name=" + r) + "\n"
+                    if r == who:
+                        mask.append((len(body), len(body) + len(t) + 10))
+                    body += t + "<|im_end|>\n"
+                out[conv, who, s // segment] = (len(rows[s : s + segment]), len(mask), body, mask)
+    return out
+
+
+@pytest.mark.parametrize("segment", [3, 256, None])
+def test_chat_rotation(spark, segment):
+    rng = random.Random(3)
+    rows = [(1, 0, "system", "rules"), (1, 1, "Ann", "hi <|im_end|>"), (1, 2, "Bob", None), (1, 3, None, "who"), (2, 0, "system", "alone"), (None, 0, "A", "x"), (1, 300, "Ann", "later"), (1, None, "Bob", "no turn"), (3, 0, "x<|im_end|>", "é" * 50_000)]
+    rows += [(4, rng.choice([None, 1, 2, 3, k]), rng.choice(["system", "u", "v", "w", " "]), rng.choice(["a", "b", ""])) for k in range(257)]
+    rows += rows[10:14]
+    df = spark.createDataFrame([(*r, 1, 2, "p") for r in rows], "conv_id long, turn long, role string, text string, k int, place int, perspective string")
+    got = {(r["conv_id"], r["perspective"], r["segment"]): (r["n_turns"], r["n_own"], r["rendered"], [(m["start"], m["stop"]) for m in r["mask"]]) for r in chatformat.rotate(df, segment_turns=segment).collect()}
+    assert got == plain_rotation(rows, segment or 10**9)
     assert chatformat.rotate(df.limit(0)).count() == 0
+    assert chatformat.rotate(df.withColumnRenamed("conv_id", "segment"), conv="segment").columns[:3] == ["segment", "perspective", "_segment"]
 
 
 # --- op4 --------------------------------------------------------------------
@@ -202,6 +249,26 @@ def plain_contamination(text, items, window=13):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)
 
 
+def plain_proximity(docs, items, corpus=None, slop=8):
+    """(id, item, position, terms) by trying every shift of every document against every item."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    counts = Counter(w for t in (corpus or [t for _, t in docs]) for w in words(t))
+    out = set()
+    for item, body in items:
+        v = words(body)
+        terms = sorted({(counts[w], w) for w in v if counts[w]})[:4]
+        if len(terms) < 2:
+            continue
+        terms, need = {w for _, w in terms}, min(3, len(terms))
+        for i, text in docs:
+            shifts = sorted((p - o, w) for p, w in enumerate(words(text)) if w in terms for o, x in enumerate(v) if x == w)
+            for at in {s for s, _ in shifts}:
+                near = {w for s, w in shifts if at <= s <= at + slop}
+                if len(near) >= need:
+                    out.add((i, str(item), at, len(near)))
+    return out
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     items = [(i, prose(rng, rng.choice([1, 2, 5, 13, 14, 30]), 6)) for i in range(20)] + [(20, None), (21, "--"), (22, "Über ß"), (23, "rare rare rare")]
@@ -223,8 +290,19 @@ def test_decontamination(spark):
     assert kept == Counter(i for i, x in want if not x[4])
     assert decontaminate.contamination(df, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
-    near = decontaminate.proximity_matches(table(spark, ["x " + items[3][1]]), bench).count()
-    assert near >= 0
+    got = Counter((r["id"], r["item_id"], r["position"], r["n_terms"]) for r in decontaminate.proximity_matches(df, bench).collect())
+    want = plain_proximity([(i, d) for i, d in zip([*range(len(docs) - 1), 10], docs, strict=True)], items)
+    assert len(want) > 50 and set(got) == want
+    near = Counter((r["doc_id"], r["n_near"]) for r in decontaminate.contamination(df, bench).collect())
+    assert near == Counter((i, len({(a, b) for a, b, *_ in plain_proximity([(i, d)], items, docs) if a == i})) for i, d in zip([*range(len(docs) - 1), 10], docs, strict=True))
+
+
+def test_proximity_of_a_changed_passage(spark):
+    words = [f"w{i}" for i in range(25)]
+    docs = [" ".join(words), " ".join([*words[:12], "other", *words[13:]]), " ".join(words[:10] + ["z"] * 9 + words[10:]), "w0 " + "z " * 20 + "w1"]
+    bench = spark.createDataFrame([(1, docs[0])], "item_id long, text string")
+    got = {(r["doc_id"], r["n_items"] > 0, r["n_near"]) for r in decontaminate.contamination(table(spark, docs), bench).collect()}
+    assert got == {(0, True, 1), (1, False, 1), (2, True, 1), (3, False, 0)}
 
 
 # --- op6 --------------------------------------------------------------------
@@ -249,7 +327,7 @@ def plain_lines(docs):
                 continue
             if any(w == v for v in seen):
                 out.add((d, k, "exact"))
-            elif len(w) >= 10 and any(len(v) >= 10 and near(w, v) for v in seen):
+            elif any(max(len(v), len(w)) >= 10 and near(w, v) for v in seen):
                 out.add((d, k, "near"))
             seen.append(w)
     return out
@@ -292,6 +370,13 @@ def test_line_dedup_of_repeated_rows(spark):
     assert [r["doc_id"] for r in linededup.dedup_lines(table(spark, docs, ids)).collect()] == [1, 1]
 
 
+def test_line_dedup_at_the_least_length(spark):
+    nine = " ".join(f"w{i}" for i in range(9))
+    docs = [nine, nine + " w9", nine.replace("w4", "x"), nine + " w9 w10", " ".join(f"v{i}" for i in range(10)), " ".join(f"v{i}" for i in range(9))]
+    got = {(r["id"], r["reason"]) for r in linededup.line_decisions(table(spark, docs)).collect()}
+    assert got == {(1, "near"), (3, "near"), (5, "near")}  # of nine words and nine, neither has ten
+
+
 # --- op7 --------------------------------------------------------------------
 
 
@@ -351,7 +436,7 @@ def test_simhash_links_in_dense_blocks(spark, monkeypatch):
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     want = plain_components(range(len(fps)), fps)
-    for rows in (simhash.BLOCK_ROWS, 20):
+    for rows in (simhash.BLOCK_ROWS, 20, 3):
         monkeypatch.setattr(simhash, "BLOCK_ROWS", rows)
         links = {(a & (1 << 64) - 1, b & (1 << 64) - 1) for a, b in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
         assert all((a ^ b).bit_count() <= 3 for a, b in links)
@@ -396,6 +481,36 @@ def test_ann_recall_and_cases(spark):
     assert annsearch.search(small.limit(0), small).count() == 0
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_ann_share_is_measured(spark, clustered):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(12_000, 32)) + (rng.normal(size=(30, 32)) * 3)[rng.integers(0, 30, 12_000)] * clustered
+    books = annsearch.fit(x)
+    share = annsearch.needed_share(x, books, 20)
+    assert 0.2 < share < 0.9 if not clustered else share < 0.1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in annsearch.search(df, df.where("vec_id % 100 = 0"), least=100).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -1e9
+        hits += len(found & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == 120 and hits / 2400 >= 0.9
+
+
+def test_ann_recall_on_embeddings(spark):
+    """All queries of the registered query, against brute force."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    x = {r["vec_id"]: np.array(r["embedding"]) for r in df.collect()}
+    got = {}
+    for r in annsearch.search(df, df.where("vec_id % 20 = 0"), least=0).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = sum(len(set(found) & set(sorted((i for i in x if i != q), key=lambda i: -(x[i] @ x[q]))[:20])) for q, found in got.items())
+    assert len(got) == sum(i % 20 == 0 for i in x) and hits / (20 * len(got)) >= 0.9
+
+
 def test_ann_null_ids(spark):
     rows = [(1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [0.5, 0.0]), (None, [3.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -427,6 +542,20 @@ def plain_repeats(texts, length):
     return out
 
 
+def test_identifiers_name_spans():
+    """Spans have one identifier if and only if their bytes are equal."""
+    rng = np.random.default_rng(3)
+    data = np.tile(rng.integers(97, 99, 300).astype(np.uint8), 4)
+    ids = suffixdedup.Identifiers(data, suffixdedup.BASES[0], 5)
+    start = rng.integers(0, 600, 5000)
+    stop = start + rng.integers(5, 500, 5000)
+    by_id, by_bytes = {}, {}
+    for i, (a, b) in enumerate(zip(start, stop, strict=True)):
+        by_id.setdefault(int(ids.of(start[i : i + 1], stop[i : i + 1])[0]), set()).add(i)
+        by_bytes.setdefault(data[a:b].tobytes(), set()).add(i)
+    assert sorted(map(sorted, by_id.values())) == sorted(map(sorted, by_bytes.values()))
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_suffix_dedup(spark, seed):
     rng = random.Random(seed)
@@ -477,6 +606,91 @@ def test_kth_largest(spark):
         assert quality.kth_largest(df, k) == sorted(values, reverse=True)[k - 1]
 
 
+def test_ngrams_do_not_depend_on_cuts(monkeypatch):
+    rng = random.Random(1)
+    text = "".join(rng.choice(["word ", "Abc ", "  ", "$$$ ", "12 ", "so so ", "x" * rng.randrange(30), "\n"]) for _ in range(2000)).encode()
+    flat, bounds = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    want = np.sort(quality.ngrams(flat, bounds)[0])
+    for block in (7, 64, 999):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        quality._powers.cache_clear()
+        parts = [quality.ngrams(part, ends, seen)[0] for part, ends, _, seen in quality._pieces(flat, bounds)]
+        assert len(parts) > 9 and np.array_equal(np.sort(np.concatenate(parts)), want)
+    quality._powers.cache_clear()
+
+
+def plain_ngrams(text):
+    """Buckets of a text's n-grams, word by word."""
+    kind = lambda c: "W" if c >= 128 or chr(c).isalnum() else " " if c < 33 or c == 127 else "M"
+    m = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 33
+        x = x * 0xFF51AFD7ED558CCD & m
+        x ^= x >> 33
+        x = x * 0xC4CEB9FE1A85EC53 & m
+        return x ^ x >> 33
+
+    words, data = [], text.encode()
+    for i, c in enumerate(data):
+        if kind(c) != " ":
+            if i and kind(c) == kind(data[i - 1]):
+                words[-1].append(c)
+            else:
+                words.append([c])
+    keys, shapes = [], []
+    for w in words:
+        keys.append(mix((sum((c + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(w)) + len(w)) & m))
+        caps, nums = sum(65 <= c < 91 for c in w), sum(48 <= c < 58 for c in w)
+        shape = 5 if kind(w[0]) == "M" else 4 if nums == len(w) else 3 if caps == len(w) > 1 else 2 if caps else 1
+        shapes.append(shape + 8 * (len(keys) > 1 and keys[-1] == keys[-2]))
+    pairs = [mix((a * 31 + b) & m) for a, b in zip(keys, keys[1:], strict=False)]
+    kinds = [mix(a * 64 + b + (1 << 20)) for a, b in zip(shapes, shapes[1:], strict=False)]
+    return [k >> 48 for k in keys + pairs + kinds]
+
+
+def test_quality_against_plain_arithmetic(spark):
+    rng = random.Random(11)
+    word = lambda: rng.choice(["Ab", "cd", "EF", "12", "ü", "$$", "a1", "cd cd"])
+    texts = ["".join(word() + rng.choice([" ", "", "\n"]) for _ in range(rng.randrange(40))) for _ in range(40)] + [None, "", "cd", "cd"]
+    ids = [*range(len(texts) - 1), len(texts) - 2]
+    wanted = {i: int(i % 3 > 0) for i in range(0, 40, 2)}
+    labels = spark.createDataFrame(list(wanted.items()), "doc_id long, quality int")
+    rows = quality.sample(table(spark, texts, ids), labels).collect()
+    grams = [plain_ngrams(t or "") for t in texts]
+
+    def log_model(of):
+        n = Counter(b for i, g in enumerate(grams) if of(ids[i]) for b in g)
+        total = sum(n.values()) + 65_536
+        return lambda b: np.log((n[b] + 1) / total)
+
+    target, raw = log_model(lambda i: wanted.get(i) == 1), log_model(lambda i: True)
+    weight = [float(sum(target(b) - raw(b) for b in g)) for g in grams]
+    got = sorted((r["doc_id"], r["n_grams"], round(r["log_weight"], 6)) for r in rows)
+    assert got == sorted((i, len(g), round(w, 6)) for i, g, w in zip(ids, grams, weight, strict=True))
+    # the cut: of all bins' upper ends within the slack of the best, the lowest
+    bins = {}
+    for i, w in zip(ids, weight, strict=True):
+        if i in wanted:
+            b = int(np.floor(np.sign(w) * np.log1p(abs(w)) * 256))
+            bins.setdefault(b, [0, 0])[wanted[i]] += 1
+    n = [sum(v[k] for v in bins.values()) for k in (0, 1)]
+    parted = []
+    for b in sorted(bins):
+        below = [sum(v[k] for c, v in bins.items() if c <= b) for k in (0, 1)]
+        x = (b + 1) / 256
+        parted.append((below[0] / n[0] - below[1] / n[1], np.sign(x) * np.expm1(abs(x))))
+    best = max(p for p, _ in parted)
+    cut = min(c for p, c in parted if p >= best - quality.SLACK)
+    k = sum(w >= cut for w in weight)
+    # the k largest of log weight and Gumbel noise, the noise from the hash of seed, id and weight
+    noise = {(r["i"], r["w"]): r["x"] for r in spark.createDataFrame([(i, round(w, 6)) for i, w in zip(ids, weight, strict=True)], "i long, w double").selectExpr("i", "w", "xxhash64(42, i, w) AS x").collect()}
+    keys = [w - np.log(-np.log((((noise[i, round(w, 6)] % (1 << 64)) >> 11) + 0.5) / 2**53)) for i, w in zip(ids, weight, strict=True)]
+    assert 0 < k < len(texts)
+    least = sorted(keys, reverse=True)[k - 1]
+    assert sorted((r["doc_id"], r["selected"]) for r in rows) == sorted((i, x >= least - 1e-9) for i, x in zip(ids, keys, strict=True))
+
+
 def test_ngrams_do_not_depend_on_the_block(spark):
     rng = random.Random(9)
     texts = [prose(rng, rng.randrange(50)).encode() for _ in range(30)]
