@@ -7,11 +7,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Text bytes that one numpy step works on at most; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch of long texts.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of ``BATCH_ROWS``: each batch is held several times over, by the JVM and by Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Give the memory of a task that is done back; its worker waits for the next task meanwhile."""
+    pa.default_memory_pool().release_unused()
+
+
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes as uint8, offsets as int64) of a string or binary column; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")

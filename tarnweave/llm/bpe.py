@@ -27,13 +27,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tarnweave.llm._arrow import release
 from tarnweave.llm._names import fresh
 
 #: The word pattern of byte-level BPE, a fixed value; white space is Unicode's property.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 #: Words that a task remembers before it starts anew, and the longest word that it remembers.
-CACHE_WORDS, CACHE_WORD = 131_072, 64
+CACHE_WORDS, CACHE_WORD = 65_536, 64
 #: Words of one text that are encoded at once.
 PIECE_WORDS = 32_768
 #: Rows that are encoded together.
@@ -182,6 +183,7 @@ def _mapped(df: DataFrame, vocabulary: str, column: str, fields: list[T.StructFi
                     yield pa.RecordBatch.from_arrays([*part.columns[1:], *make(bpe, part.column(0).to_pylist())], names=names)
         finally:
             bpe.cache = {}  # a reused worker keeps no words of a task that is done
+            release()
 
     given = df.select(df[column].alias(fresh("given", df.columns)), *(df[c] for c in df.columns))
     return given.mapInArrow(run, T.StructType([*df.schema.fields, *made]))

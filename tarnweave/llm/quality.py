@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnweave.llm._arrow import blocks, flat_text, mix64
+from tarnweave.llm._arrow import blocks, flat_text, mix64, release
 from tarnweave.session import settle
 
 #: Hash buckets of n-grams.
@@ -69,17 +69,18 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 def _word_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of each word's bytes and length. Prefix sums are made block by block, so a long word needs no more memory than a short one."""
     up, down = _powers()
-    places = np.unique(np.concatenate([start, end]))
+    places = np.column_stack([start, end]).ravel()
     sums, carry, scale = np.zeros(len(places), np.uint64), np.zeros(1, np.uint64), np.ones(1, np.uint64)
     for at in range(0, len(flat) + 1, BLOCK):
         part = flat[at : at + BLOCK]
-        local = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], dtype=np.uint64)])
+        local = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=local[1:])
         lo, hi = np.searchsorted(places, [at, at + BLOCK])
         sums[lo:hi] = carry + scale * local[places[lo:hi] - at]
         carry, scale = carry + scale * local[-1:], scale * up[BLOCK:]
     far = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(flat) // BLOCK, down[BLOCK], np.uint64)]))
     shift = down[start % BLOCK] * far[start // BLOCK]
-    return mix64((sums[np.searchsorted(places, end)] - sums[np.searchsorted(places, start)]) * shift + (end - start).astype(np.uint64))
+    return mix64((sums[1::2] - sums[::2]) * shift + (end - start).astype(np.uint64))
 
 
 def _words(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,10 +102,8 @@ def ngrams(flat: np.ndarray, bounds: np.ndarray, seen: int = 0) -> tuple[np.ndar
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     word = _word_hashes(flat, start, end)
     row = np.searchsorted(bounds, start, "right") - 1
-    # sums of each word and of each gap after it
-    spans = np.column_stack([start, end]).ravel()[: None if end[-1] < len(flat) else -1]
-    n_caps, n_nums = (np.add.reduceat(of[flat], spans, dtype=np.int64)[::2] for of in (_UPPER, _DIGIT))
-    # a gap of no bytes would be summed as one, but only words are read here
+    caps, nums = (np.cumsum(of[flat], dtype=np.int32) for of in (_UPPER, _DIGIT))
+    n_caps, n_nums = (n[end - 1] - n[start] + of[flat[start]] for n, of in ((caps, _UPPER), (nums, _DIGIT)))
     size = end - start
     shape = np.where(_CLASS[flat[start]] == MARK, 5, np.where(n_nums == size, 4, np.where((n_caps == size) & (size > 1), 3, np.where(n_caps > 0, 2, 1)))).astype(np.uint64)
     same = row[1:] == row[:-1]
@@ -152,6 +151,7 @@ def _counts(df: DataFrame) -> DataFrame:
             for at in range(0, len(batch), SLICE):
                 for flat, bounds, _, seen in _pieces(*flat_text(batch.column(0).slice(at, SLICE))):
                     total += np.bincount(ngrams(flat, bounds, seen)[0], minlength=BUCKETS)
+        release()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["bucket", "n"])
 
@@ -198,6 +198,7 @@ def scores(docs: DataFrame, ratio: np.ndarray, text: str = "text", id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, _row_scores(batch.column(1), shared.value))], names=["id", "log_weight", "n_grams"])
+        release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string")).mapInArrow(run, f"id {kind}, log_weight double, n_grams long")

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnweave.llm._arrow import release
 from tarnweave.llm._graph import components
 from tarnweave.session import broadcast_if_small, settle
 
@@ -92,6 +93,7 @@ def fingerprints(df: DataFrame, text: str = "text", id_col: str = "doc_id", shin
         for batch in batches:
             fp = np.array([fingerprint((t or "").encode(), shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:1], batch.column(2), pa.array(fp.view(np.int64))], names=["id", "h", "fp"])
+        release()
 
     kind = df.schema[id_col].dataType.simpleString()
     body = F.col(text).cast("string")
