@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnweave.llm import bpe, decontaminate, linededup, quality, simhash
+from tarnweave.llm._arrow import small_batches
 from tarnweave.llm.queries import vocabulary
 from tarnweave.session import settle, table
 
@@ -32,6 +33,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality.keep_selected(docs, table(spark, sf_dir, "labels"))
 
 
@@ -44,6 +46,7 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -52,6 +55,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bpe.tokenise(docs, vocabulary()).drop("text")
 
 
