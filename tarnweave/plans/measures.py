@@ -173,7 +173,8 @@ def sess_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir.rstrip("/"))
+    # by the folder's listing, so that the table may be one file or, as Spark writes it, a folder of files
+    return spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{sf_dir.rstrip('/')}/[e]vents.parquet")
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,13 +58,13 @@ def limiter(events: DataFrame, key: str, limit: int, ts: str = "ts", event: str
             return
         starts, counts = (list(x) for x in state.get) if state.exists else ([], [])
         held = dict(zip(starts, counts, strict=True))
-        for part in parts:
-            seconds = (part["ts"].astype("int64") // {"ns": 10**9, "us": 10**6, "ms": 10**3, "s": 1}[part["ts"].dt.unit]).astype("int64")
-            part = part.assign(start=seconds // width * width).sort_values(["ts", "event"])
-            n = part.groupby("start").cumcount() + 1 + part["start"].map(held).fillna(0).astype("int64")
-            for start, most in n.groupby(part["start"]).max().items():
-                held[int(start)] = int(most)
-            yield pd.DataFrame({key: [str(k[0])] * len(part), event: part["event"].to_numpy(), "start": part["start"].to_numpy(), "n": n.to_numpy(), "allowed": (n <= limit).to_numpy()})
+        # a key's rows of the batch come in several parts in any order, and are numbered as one
+        whole = pd.concat([part[["ts", "event"]] for part in parts], ignore_index=True).sort_values(["ts", "event"])
+        seconds = (whole["ts"].astype("int64") // {"ns": 10**9, "us": 10**6, "ms": 10**3, "s": 1}[whole["ts"].dt.unit]).astype("int64")
+        start = seconds // width * width
+        n = whole.groupby(start).cumcount() + 1 + start.map(held).fillna(0).astype("int64")
+        held |= {int(at): int(most) for at, most in n.groupby(start).max().items()}
+        yield pd.DataFrame({key: [str(k[0])] * len(whole), event: whole["event"].to_numpy(), "start": start.to_numpy(), "n": n.to_numpy(), "allowed": (n <= limit).to_numpy()})
         newest = max(held, default=0)
         held = {s: c for s, c in held.items() if s > newest - 2 * width}
         state.update((list(held), list(held.values())))
