@@ -481,27 +481,22 @@ def rewrite_queries(queries: DataFrame, lexicon: DataFrame, populations: DataFra
     """Queries with their topics, terms, populations and variants from lexicon tables.
 
     ``lexicon``: (place, topic, triggers, zh_terms, en_terms); ``populations``:
-    (place, population, triggers); ``compatible``: (topic, topics). Lexicons are
-    lists that people keep; where one is over the size of a broadcast, the join
-    goes through the words of triggers and queries instead of meeting all rows.
+    (place, population, triggers); ``compatible``: (topic, topics), whose lists are
+    joined where a topic has several. Lexicons are lists that people keep: each is
+    gathered whole into one row, whatever its length, that every query meets.
     """
     q = queries.withColumn("cleaned_query", text.collapse_space(F.col(query)))
-    low = F.lower("cleaned_query")
-    hit = lambda t: F.exists(F.col("e.triggers"), lambda x: F.contains(low, F.lower(x)))
-    spark = queries.sparkSession
-
-    def entries(df: DataFrame, name: str) -> DataFrame:
-        rows = df.orderBy("place").limit(10_001).collect()
-        if len(rows) > 10_000:
-            raise ValueError("a lexicon of over 10,000 entries should be joined by words")
-        listed = spark.createDataFrame([(rows,)], f"{name} array<{df.schema.simpleString()}>") if rows else None
-        return listed
-
-    out = q
-    for df, name in ((lexicon, "lexicon"), (populations, "people")):
-        listed = entries(df, name) if df is not None else None
-        matched = F.filter(name, lambda e: F.exists(e["triggers"], lambda t: F.contains(F.lower("cleaned_query"), F.lower(t))))
-        out = out.join(F.broadcast(listed)).withColumn(name, matched) if listed is not None else out.withColumn(name, F.array().cast("array<struct<topic:string,population:string,zh_terms:array<string>,en_terms:array<string>>>"))
+    struct = "array<struct<topic:string,population:string,zh_terms:array<string>,en_terms:array<string>>>"
+
+    def met(out: DataFrame, df: DataFrame | None, name: str) -> DataFrame:
+        """Every query with the entries of a list that one of their triggers brings up, in the list's order."""
+        if df is None:
+            return out.withColumn(name, F.array().cast(struct))
+        listed = df.agg(F.array_sort(F.collect_list(F.struct("place", *(c for c in df.columns if c != "place")))).alias(name))
+        hit = F.filter(name, lambda e: F.exists(e["triggers"], lambda t: F.contains(F.lower("cleaned_query"), F.lower(t))))
+        return out.crossJoin(broadcast_if_small(settle(listed, name))).withColumn(name, hit)  # one row
+
+    out = met(met(q, lexicon, "lexicon"), populations, "people")
     pick = lambda source, f: text.distinct_ignoring_case(F.transform(source, lambda e: e[f]))
     terms = lambda f: text.distinct_ignoring_case(F.flatten(F.transform("lexicon", lambda e: e[f])))
     out = out.withColumns({"matched_topics": pick("lexicon", "topic"), "zh_terms": terms("zh_terms"), "en_terms": terms("en_terms"), "populations": pick("people", "population")}).drop("lexicon", "people")
@@ -513,11 +508,12 @@ def rewrite_queries(queries: DataFrame, lexicon: DataFrame, populations: DataFra
     topics = F.transform("matched_topics", text.metadata_key)
     if compatible is None:
         return out.withColumns({"primary_topics": F.slice(topics, 1, 1), "desired_topics": topics})
-    pairs = {r["topic"]: list(r["topics"]) for r in compatible.limit(10_000).collect()}
-    table = F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), _strings(v)))) if pairs else F.create_map().cast("map<string,array<string>>")
-    more = lambda t: F.concat(F.array(t), F.coalesce(table[t], F.array().cast("array<string>")))
+    pairs = compatible.groupBy("topic").agg(F.array_distinct(F.flatten(F.collect_list("topics"))).alias("topics"))
+    pairs = pairs.agg(F.map_from_entries(F.collect_list(F.struct("topic", "topics"))).alias("_goes_with"))
+    out = out.crossJoin(broadcast_if_small(settle(pairs, "compatible-topics")))  # one row
+    more = lambda t: F.concat(F.array(t), F.coalesce(F.col("_goes_with")[t], F.array().cast("array<string>")))
     desired = F.array_distinct(F.flatten(F.transform(topics, more)))
-    return out.withColumns({"primary_topics": F.array_distinct(F.flatten(F.transform(F.slice(topics, 1, 1), more))), "desired_topics": desired})
+    return out.withColumns({"primary_topics": F.array_distinct(F.flatten(F.transform(F.slice(topics, 1, 1), more))), "desired_topics": desired}).drop("_goes_with")
 
 
 def expand_aliases(tags: Column, aliases: Mapping[str, Sequence[str]]) -> Column:
@@ -533,6 +529,46 @@ def search_text(fields: Sequence[str], topics: Column, populations: Column, topi
     return F.concat_ws(" ", *parts, F.array_join(expand_aliases(topics, topic_aliases), " "), F.array_join(expand_aliases(populations, population_aliases), " "))
 
 
+#: Values of a context that say nothing. Fixed values.
+SILENT = ("", "neutral", "general", "low", "unknown")
+
+
+def context_terms(context: Mapping[str, Column], terms: Mapping[str, Sequence[str]]) -> Column:
+    """The search terms of a context's emotion, cause, strategy and risk_level, in that order; values that say nothing have none."""
+    table = F.create_map(*(x for k, v in terms.items() for x in (F.lit(k), _strings(list(v))))) if terms else F.create_map().cast("map<string,array<string>>")
+    values = [F.lower(text.strip(context[k])) for k in ("emotion", "cause", "strategy", "risk_level") if k in context]
+    of = lambda v: F.when(~v.isin(*SILENT), F.coalesce(table[v], F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.array(*map(of, values))) if values else F.array().cast("array<string>")
+
+
+def in_domain(query: Column, terms: Sequence[str], context: Sequence[Column] = ()) -> Column:
+    """Whether a query belongs here: one of the terms in it, or a context that says something."""
+    said = (~F.lower(text.strip(c)).isin(*SILENT, "supportive_listening") for c in context)
+    return reduce(lambda a, b: a | b, said, text.contains_any(F.lower(query), terms))
+
+
+def expanded_query(query: Column, expansions: Mapping[str, Sequence[str]], most: int = 6) -> Column:
+    """The cleaned query and the first ``most`` expansions of the keys that it contains, in the keys' order."""
+    cleaned = text.collapse_space(query)
+    of = (F.when(F.contains(cleaned, F.lit(k)), _strings(list(v))).otherwise(F.array().cast("array<string>")) for k, v in expansions.items())
+    return F.concat_ws(" ", cleaned, F.array_join(F.slice(F.flatten(F.array(*of)), 1, most), " ")) if expansions and most else cleaned
+
+
+#: What a case's mode adds to its query, and the collections it may use. Fixed values.
+MODE_WORDS = {"safety_only": "safety planning crisis referral", "psychoeducation_only": "psychoeducation professional help"}
+ORDINARY = ("interventions", "professional_knowledge", "campus_support")
+MODE_COLLECTIONS = {"safety_only": ("safety",), "psychoeducation_only": ("professional_knowledge",)}
+
+
+def case_request(query: Column, modes: Column, topics: Column, guarded: Column | None = None) -> tuple[Column, Column]:
+    """(query, collections) that a case is run with: its mode's words and first five topics, and its mode's collections."""
+    chain, allowed = F, F
+    for mode, words in MODE_WORDS.items():
+        chain = chain.when(F.array_contains(modes, mode), text.strip(F.concat_ws(" ", query, F.lit(words), F.array_join(F.slice(topics, 1, 5), " "))))
+        allowed = allowed.when(F.array_contains(modes, mode) & ~(F.lit(False) if guarded is None else guarded), _strings(MODE_COLLECTIONS[mode]))
+    return chain.otherwise(query), allowed.otherwise(_strings(ORDINARY))
+
+
 # --- the whole chain --------------------------------------------------------
 
 

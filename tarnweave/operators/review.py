@@ -86,11 +86,12 @@ def automatic_issues(rows: DataFrame, required: Sequence[str] = REQUIRED, least:
     return F.array_compact(F.array(*rules))
 
 
-def quality_issues(rows: DataFrame, required: Sequence[str], limit: int = 200, id_col: str = "chunk_id") -> DataFrame:
-    """(id, issues) of the first ``limit`` rows with an issue: a report."""
+def quality_issues(rows: DataFrame, required: Sequence[str], limit: int | None = 200, id_col: str = "chunk_id") -> DataFrame:
+    """(id, issues) of the first ``limit`` rows with an issue, a report; of all of them with ``limit=None``."""
     n = F.length(text.text_or_empty(F.col("content")))
     rules = [*(F.when(blank(rows, c), f"missing:{c}") for c in required), F.when(n < 80, "too_short"), F.when(n > 2500, "too_long"), F.when(F.contains("content", F.lit("�")), "replacement_character"), F.when(unsafe_detail(F.col("content")), "unsafe_operational_detail")]
-    return rows.select(id_col, F.array_compact(F.array(*rules)).alias("issues")).where(F.size("issues") > 0).orderBy(id_col).limit(limit)
+    found = rows.select(id_col, F.array_compact(F.array(*rules)).alias("issues")).where(F.size("issues") > 0)
+    return found if limit is None else found.orderBy(id_col).limit(limit)
 
 
 def decide(rows: DataFrame, cond: Column, decision: str, reviewed_by: str, comment: str = "", reason: str = "") -> DataFrame:
@@ -237,3 +238,26 @@ def merge_registry(base: DataFrame, added: DataFrame, key: str = "source_id", ke
 
 def any_of(*conds: Column) -> Column:
     return reduce(lambda a, b: a | b, conds, F.lit(False))
+
+
+def source_with_chunks(sources: DataFrame, chunks: DataFrame, key: str = "source_id", order: str = "chunk_index", columns: Sequence[str] = ("chunk_id", "section", "content")) -> DataFrame:
+    """Each source with its chunks in order, as an array of struct(order, columns). A source is a document: its chunks fit one row."""
+    nested = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("chunks"))
+    none = F.array().cast(nested.schema["chunks"].dataType)
+    return sources.join(nested, key, "left").withColumn("chunks", F.coalesce("chunks", none))
+
+
+def lowest_selected(selected: DataFrame, score: str = "final_score", id_col: str = "source_id", most: int = 100) -> DataFrame:
+    """The ``most`` selected rows of the least score, for a person to look at."""
+    return selected.orderBy(score, id_col).limit(most)
+
+
+def manual_rows(candidates: DataFrame) -> DataFrame:
+    """What a person must fetch or look at: candidates that can't be downloaded by themselves, with a priority by their score."""
+    flag = lambda c, d: F.coalesce(F.col(c).cast("boolean"), F.lit(d))
+    alone = flag("downloadable", False) & flag("auto_download", True) & ~F.col("decision").eqNullSafe("manual_review")
+    joined = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    return candidates.where(~alone).select(
+        "title", F.col("organization").alias("source"), "official_url", F.coalesce("decision_reason", F.lit("")).alias("why_useful"), joined("population").alias("population"), joined("topics").alias("topic"),
+        F.coalesce("license", F.lit("")).alias("license"), F.lit("manual_review_or_manual_download").alias("access_type"), F.when(F.coalesce("source_quality_score", F.lit(0)) >= 65, "P1").otherwise("P2").alias("priority"),
+    )

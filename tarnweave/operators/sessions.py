@@ -228,3 +228,21 @@ def session_report(rows: DataFrame, key: str, means: Sequence[str], item: str, t
     w = Window.partitionBy(key).orderBy(F.desc("_n"), item)
     best = counts.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", item))), lambda x: x[item]).alias("top"))
     return rows.groupBy(key).agg(F.count("*").alias("n"), *(F.round(F.avg(c), 2).alias(c) for c in means)).join(best, key, "left")
+
+
+def own_recent(feedback: DataFrame, conversations: DataFrame, owner: str, key: str = "session_id", order: Sequence[str] = ("created_at",), most: int = 20) -> DataFrame:
+    """(owner, rank, feedback columns): of each owner the latest ``most`` feedback rows on their own conversations."""
+    rows = feedback.join(conversations.select(key, owner).distinct(), key)
+    w = Window.partitionBy(owner).orderBy(*(F.desc(c) for c in order))
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def latest_rows(rows: DataFrame, order: Sequence[str], most: int) -> DataFrame:
+    """The latest ``most`` rows of a log, newest first: runs, cases or metrics of a report."""
+    return rows.orderBy(*(F.desc(c) for c in order)).limit(most)
+
+
+def latest_run_cases(runs: DataFrame, cases: DataFrame, order: Sequence[str], case_order: str, run: str = "run_id", most: int = 100) -> DataFrame:
+    """The first ``most`` cases of the latest run."""
+    newest = runs.agg(F.max_by(run, F.struct(*order)).alias(run))
+    return cases.join(F.broadcast(newest), run, "left_semi").orderBy(case_order).limit(most)  # one row
