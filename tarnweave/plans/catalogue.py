@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnweave.plans import dialogues, measures, rules, search, texts
+from tarnweave.plans import dialogues, measures, rules, search, steps, texts
 
-_MODULES = (texts, dialogues, search, measures, rules)
+_MODULES = (texts, dialogues, search, measures, rules, steps)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
