@@ -59,6 +59,8 @@ PIECE = 10
 #: Two odd bases of polynomial hashes modulo 2^64.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _U = np.uint64
+#: Positions up to which all identifiers of a level are made, and not only those asked for.
+FEW_PLACES = 8_192
 
 
 @lru_cache(maxsize=16)
@@ -84,28 +86,45 @@ class Identifiers:
     """
 
     def __init__(self, data: np.ndarray, base: int, gram: int) -> None:
-        up, down = _powers(base, 1 << max(16, int(len(data)).bit_length()))
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(_letters(base)[data] * up[: len(data)], dtype=_U)])
-        n = len(data) - gram + 1
-        self.gram, self.base = gram, _U(base)
-        self.levels = [mix64((sums[gram:] - sums[:n]) * down[:n])]
+        self.up, self.down = _powers(base, 1 << max(16, int(len(data)).bit_length()))
+        self.sums = np.zeros(len(data) + 1, _U)
+        np.cumsum(_letters(base)[data] * self.up[: len(data)], out=self.sums[1:])
+        self.n, self.gram, self.base = len(data) - gram + 1, gram, base
+        self.levels: list[np.ndarray] = []
+
+    def _factor(self, j: int) -> np.uint64:
+        """What the first half of a level is multiplied by; it differs by level, so no two of its q-grams can change places."""
+        return _U(pow(self.base, 1 << (j - 1), 1 << 64))
 
     def level(self, j: int) -> np.ndarray:
+        """The identifiers of one level at all positions."""
         while len(self.levels) <= j:
+            if not self.levels:
+                self.levels.append(mix64((self.sums[self.gram :] - self.sums[: self.n]) * self.down[: self.n]))
+                continue
             ids, step = self.levels[-1], self.gram << (len(self.levels) - 1)
-            self.levels.append(mix64(ids[: max(0, len(ids) - step)] * self.base + ids[step:]))
+            self.levels.append(ids[: max(0, len(ids) - step)] * self._factor(len(self.levels)) + ids[step:])
         return self.levels[j]
 
+    def at(self, j: int, places: np.ndarray) -> np.ndarray:
+        """The identifiers of one level at some positions."""
+        if j == 0:
+            return mix64((self.sums[places + self.gram] - self.sums[places]) * self.down[places])
+        return self.at(j - 1, places) * self._factor(j) + self.at(j - 1, places + (self.gram << (j - 1)))
+
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """The identifiers of spans of a q-gram or more."""
         size = stop - start
         level = np.frexp(size // self.gram)[1] - 1  # the highest power of two
-        out = np.zeros(len(start), _U)
-        for j in np.unique(level):
-            at = np.flatnonzero(level == j)
-            ids, back = self.level(int(j)), stop[at] - (self.gram << int(j))
-            out[at] = mix64(ids[start[at]] * self.base + ids[back] + size[at].astype(_U))
-        return out
+        dense = self.n <= FEW_PLACES or 4 * len(start) > self.n
+        out = np.empty(len(start), _U)
+        low, high = int(level.min(initial=99)), int(level.max(initial=-1))
+        for j in range(low, high + 1):
+            own = slice(None) if low == high else np.flatnonzero(level == j)
+            first, back = start[own], stop[own] - (self.gram << j)
+            one, two = (self.level(j)[first], self.level(j)[back]) if dense else (self.at(j, first), self.at(j, back))
+            out[own] = one * _U(BASES[1]) + two
+        return mix64(out * _U(BASES[0]) + size.astype(_U))
 
 
 def least_places(values: np.ndarray, window: int) -> np.ndarray:
@@ -302,9 +321,12 @@ def _refined(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def _of_those(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
-    """The rows with one of the keys, which are settled first: the join then reads both sides as they are and may split a hot key."""
+    """The rows with one of the keys, which are settled first: the join then reads both sides as they are and may split a hot key.
+
+    Keys grow with the corpus, so they are never broadcast, and all sizes are joined alike.
+    """
     keys = settle(keys, name)
-    return rows.join(broadcast_if_small(keys, 48, 400_000), keys.columns, "left_semi")
+    return rows.join(keys.hint("merge"), keys.columns, "left_semi")
 
 
 def repeated_strings(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
