@@ -201,7 +201,9 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
     asked = asked.where(F.col("id").isNotNull() & usable(F.col("v")) & (F.size("v") == len(first[0]["v"]))).groupBy("id").agg(F.min("v").alias("v"))
     if share is None:
         share = needed_share(x, books, max(1, round(k * len(x) / sizes.sum())))
-    asked = settle(probes(asked.repartition("id"), books, sizes, max(least, int(np.ceil(share * sizes.sum())))), "probes")
+    # walks are Python loops: a stated number of tasks, which isn't coalesced
+    asked = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    asked = settle(probes(asked, books, sizes, max(least, int(np.ceil(share * sizes.sum())))), "probes")
 
     # entries of a first centroid lie in blocks; each block meets all queries that visit the centroid
     n_blocks = F.element_at(F.array(*(F.lit(int(-(-n // BLOCK) or 1)) for n in sizes.sum(axis=1))), F.col("c1") + 1)
