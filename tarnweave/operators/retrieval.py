@@ -140,58 +140,77 @@ def hashed_embedding(c: Column, dimensions: int = 384) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, measure: str = "dot", id_col: str = "vec_id", vector: str = "embedding", partition: str | None = None, block: int = 1024) -> DataFrame:
     """(query_id, doc_id, score, rank[, partition]): the k nearest vectors of each query row, exactly.
 
-    ``queries`` is a stated set (columns as ``vectors``); it is met in blocks of
-    ``block`` rows, each sent to all tasks, and every task keeps k rows a
-    query, so what is shuffled doesn't grow with the table's rows. ``measure``:
-    ``dot`` (above zero only) or ``l2`` (score 1 / (1 + distance)). A row isn't its
-    own neighbour. With ``partition``, ranks are by query and that column.
+    ``queries`` is a stated set (columns as ``vectors``). Queries are dealt by hash to
+    blocks of about ``block`` rows, vectors to blocks of four times as many, and each
+    pair of blocks meets in one group: its queries are held, its vectors pass by in
+    slices, and k rows a query and slice go on. Nothing goes through the driver but
+    two counts. ``measure``: ``dot`` (above zero only) or ``l2`` (score 1 / (1 + distance)).
+    A row isn't its own neighbour. With ``partition``, ranks are by query and that
+    column. Vectors that are null or hold null or non-finite components take no
+    part, and those of another length don't meet a query; of query rows that repeat
+    an id the one of the least vector asks.
     """
-    spark = vectors.sparkSession
-    keys = queries.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    keys = settle(keys.withColumn("block", F.floor((F.row_number().over(Window.orderBy("id")) - 1) / block)), "query-vectors") if queries.limit(block + 1).count() > block else settle(keys.withColumn("block", F.lit(0)), "query-vectors")
-    n_blocks = (keys.agg(F.max("block")).first()[0] or 0) + 1
     extra = [partition] if partition else []
     kind = vectors.schema[id_col].dataType.simpleString()
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), *(F.col(p).cast("string").alias("part") for p in extra)).where("v is not null")
     schema = f"query_id {kind}, doc_id {kind}, score double" + ", part string" * bool(extra)
-    found = None
-    for b in range(int(n_blocks)):
-        asked = keys.where(F.col("block") == b).collect()  # at most ``block`` rows
-        if not asked:
-            continue
-        shared = spark.sparkContext.broadcast(([r["id"] for r in asked], np.array([r["v"] for r in asked], np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q_ids, q = shared.value
-            for whole in batches:
-                for at in range(0, len(whole), 4096):
-                    batch = whole.slice(at, 4096)
-                    x = np.array(batch.column(1).flatten().to_numpy()).reshape(len(batch), -1)
-                    if x.shape[1] != q.shape[1] or not len(x):
+    part = F.col(partition).cast("string") if partition else F.lit(None).cast("string")
+    usable = F.forall("v", lambda c: c.isNotNull() & (F.abs(c) < float("inf")))  # NaN is above infinity
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), part.alias("part")).where(usable)
+    asked = queries.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(usable)
+    asked = settle(asked.groupBy("id").agg(F.min("v").alias("v")), "query-vectors")
+    n_asked, n_rows = (F.lit(max(1, -(-df.count() // size))) for df, size in ((asked, block), (rows, 4 * block)))
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    held = asked.select(dealt(n_asked, "id").alias("qb"), every(n_rows).alias("vb"), F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("string").alias("part"))
+    passing = rows.select(every(n_asked).alias("qb"), dealt(n_rows, "id", "v").alias("vb"), F.lit(1).alias("kind"), "id", "v", "part")
+
+    def scored(q_ids: list, q: np.ndarray, ids: list, x: np.ndarray, parts: np.ndarray) -> list[tuple]:
+        score = q @ x.T
+        if measure == "l2":
+            score = 1 / (1 + np.sqrt(np.maximum((q * q).sum(1)[:, None] - 2 * score + (x * x).sum(1)[None, :], 0)))
+        out: list[tuple] = []
+        for p in set(parts):
+            inside = np.flatnonzero(np.array([o == p for o in parts]))
+            for i, qid in enumerate(q_ids):
+                s = score[i, inside]
+                best = np.argpartition(-s, k)[: k + 1] if len(s) > k + 1 else np.arange(len(s))
+                least = s[best].min() - 2e-6 if len(s) > k + 1 else -np.inf  # rounding can make ties
+                for j in np.flatnonzero(s >= least):
+                    if ids[inside[j]] != qid and (measure != "dot" or s[j] > 0):
+                        out.append((qid, ids[inside[j]], float(s[j]), *([p] if extra else [])))
+        return out
+
+    def by_length(ids: list, lists: list[list]) -> dict[int, tuple[list, np.ndarray, list[int]]]:
+        of: dict[int, list[int]] = {}
+        for at, v in enumerate(lists):
+            of.setdefault(len(v), []).append(at)
+        return {n: ([ids[at] for at in ats], np.array([lists[at] for at in ats], np.float64).reshape(len(ats), n), ats) for n, ats in of.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, lists, asking = None, [], [], None
+        names = ["query_id", "doc_id", "score", *(["part"] if extra else [])]
+        for whole in batches:
+            for at in range(0, len(whole), 4096):
+                batch = whole.slice(at, 4096)
+                types = [batch.column(3).type, batch.column(3).type, pa.float64(), *([pa.string()] if extra else [])]
+                marks = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+                cuts = np.flatnonzero((np.diff(marks, axis=0) != 0).any(axis=1)) + 1
+                for lo, hi in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+                    if key != tuple(marks[lo, :2]):
+                        key, ids, lists, asking = tuple(marks[lo, :2]), [], [], None
+                    own_ids, own = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in (3, 4))
+                    if marks[lo, 2] == 0:
+                        ids, lists = ids + own_ids, lists + own
                         continue
-                    score = q @ x.T
-                    if measure == "l2":
-                        score = 1 / (1 + np.sqrt(np.maximum((q * q).sum(1)[:, None] - 2 * score + (x * x).sum(1)[None, :], 0)))
-                    ids = batch.column(0).to_pylist()
-                    parts = np.array(batch.column(2).to_pylist()) if extra else np.zeros(len(ids), int)
-                    out: list[tuple] = []
-                    for p in np.unique(parts):
-                        inside = np.flatnonzero(parts == p)
-                        for i, qid in enumerate(q_ids):
-                            s = score[i, inside]
-                            best = np.argpartition(-s, k)[: k + 1] if len(s) > k + 1 else np.arange(len(s))
-                            least = s[best].min() - 2e-6 if len(s) > k + 1 else -np.inf  # rounding can make ties
-                            for j in np.flatnonzero(s >= least):
-                                if ids[inside[j]] != qid and (measure != "dot" or s[j] > 0):
-                                    out.append((qid, ids[inside[j]], float(s[j]), *([str(p)] if extra else [])))
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["query_id", "doc_id", "score", *(["part"] if extra else [])])
-
-        part = rows.mapInArrow(run, schema)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    found = found.withColumn("score", F.round("score", 6))
+                    asking = by_length(ids, lists) if asking is None else asking
+                    parts = batch.column(5).slice(lo, hi - lo).to_pylist()
+                    for n, (found_ids, x, ats) in by_length(own_ids, own).items():
+                        out = scored(*asking[n][:2], found_ids, x, [parts[a] for a in ats]) if n in asking else []
+                        if out:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    met = held.union(passing).repartition("qb", "vb").sortWithinPartitions("qb", "vb", "kind")
+    found = met.mapInArrow(run, schema).withColumn("score", F.round("score", 6))
     best = top_k(found, "score", k, ("query_id", *(["part"] if extra else [])))
     return best.withColumnRenamed("part", partition) if partition else best
 

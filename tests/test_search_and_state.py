@@ -58,6 +58,16 @@ def test_nearest_in_blocks(spark):
     assert retrieval.nearest(df.limit(0), df, 3).count() == 0 and retrieval.nearest(df, df.limit(0), 3).count() == 0
 
 
+def test_nearest_of_odd_vectors(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [1.0]), ("d", None), ("e", [None, 1.0]), ("f", [float("nan"), 1.0]), ("g", [float("inf"), 1.0]), ("h", []), (None, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>").withColumn("kind", F.when(F.col("vec_id") != "b", "k"))
+    asked = df.where("vec_id in ('a', 'd', 'f')").union(df.where("vec_id = 'a'"))
+    found = [(r["query_id"], r["doc_id"], r["rank"]) for r in retrieval.nearest(df, asked, 5, block=1).collect()]
+    assert sorted(found, key=lambda r: r[2]) == [("a", "b", 1), ("a", None, 2)]
+    parted = {(r["doc_id"], r["kind"], r["rank"]) for r in retrieval.nearest(df, asked, 5, "l2", partition="kind").collect()}
+    assert parted == {("b", None, 1), (None, None, 2)}
+
+
 def test_populations(spark):
     cases = [(["parents"], ["adults"], True, False), (["children"], ["adults"], False, False), (["children"], ["workers"], False, True), ([], ["x"], True, False), (["workers"], ["young adults"], True, False), (["a"], [], False, False)]
     df = spark.createDataFrame([(d, c) for d, c, *_ in cases], "d array<string>, c array<string>")
