@@ -49,8 +49,8 @@ STRETCHES = 8
 
 def words_of(line: Column) -> Column:
     """The lower-case words; the single blank, by which Spark splits fastest, suffices for lines without other white space."""
-    low = F.lower(line)
-    return F.array_remove(F.when(low.rlike(r"[\t\r\f\x0B]"), F.split(low, r"\s+")).otherwise(F.split(low, " ")), "")
+    low, other = F.lower(line), line.contains("\t") | line.contains("\r") | line.contains("\f") | line.contains("\x0B")
+    return F.array_remove(F.when(other, F.split(low, r"\s+")).otherwise(F.split(low, " ")), "")
 
 
 def lines_of(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -75,9 +75,13 @@ def thinned_keys(hashes: Column, n: Column) -> Column:
 
     def of(few: Column, c: Column) -> Column:
         # the words' hashes by exclusive or, so that leaving one out is a single step; the order doesn't count yet
+        # a key is that value and a salt of class and length, by exclusive or again: a word costs no further hash
         def keyed(total: Column) -> Column:
-            unsampled = F.when(F.size(few) < n, F.array(F.xxhash64(c, n - 1, total))).otherwise(none)
-            return F.concat(F.array(F.xxhash64(c, n, total)), unsampled, F.transform(few, lambda w: F.xxhash64(c, n - 1, total.bitwiseXOR(w))))
+            def with_shorter(shorter: Column) -> Column:
+                unsampled = F.when(F.size(few) < n, F.array(shorter)).otherwise(none)
+                return F.concat(F.array(F.xxhash64(c, n).bitwiseXOR(total)), unsampled, F.transform(few, lambda w: shorter.bitwiseXOR(w)))
+
+            return let(F.xxhash64(c, n - 1).bitwiseXOR(total), with_shorter)
 
         return let(F.aggregate(few, F.lit(0).cast("bigint"), lambda t, w: t.bitwiseXOR(w)), keyed)
 
