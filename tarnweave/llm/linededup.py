@@ -129,14 +129,19 @@ def _suspect_lines(documents: DataFrame, lines: DataFrame, firsts: DataFrame, id
 
 def stretch_keys(hashes: Column) -> Column:
     """Keys of a line with each of ``STRETCHES`` stretches left out, as the longer and as the shorter of two lines."""
-    length = F.size(hashes)
+    length, xor = F.size(hashes), lambda seq: F.aggregate(seq, F.lit(0).cast("bigint"), lambda t, w: t.bitwiseXOR(w))
 
-    def left_out(n: Column, j: Column) -> Column:
-        start, stop = F.floor(j * n / STRETCHES).cast("int"), F.floor((j + 1) * n / STRETCHES).cast("int")
-        return F.xxhash64(n, j, F.slice(hashes, 1, start), F.slice(hashes, length - (n - stop) + 1, n - stop))
+    def of(total: Column, longer: int) -> Column:
+        # the words outside the stretch, by exclusive or; a line that is one word longer has one more in its stretch
+        n = length - longer
 
-    of = lambda n: F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda j: left_out(n, j))
-    return F.concat(of(length), of(length - 1))
+        def left_out(j: Column) -> Column:
+            start, stop = F.floor(j * n / STRETCHES).cast("int"), F.floor((j + 1) * n / STRETCHES).cast("int")
+            return F.xxhash64(n, j).bitwiseXOR(total).bitwiseXOR(xor(F.slice(hashes, start + 1, stop - start + longer)))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), left_out)
+
+    return let(xor(hashes), lambda total: F.concat(of(total, 0), of(total, 1)))
 
 
 def still_suspect(suspect_lines: DataFrame) -> DataFrame:
