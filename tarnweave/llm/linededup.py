@@ -10,14 +10,11 @@ The neighbourhood of a line is the line itself and each line that leaves one wor
 out; two lines within one edit have a variant in common. Variants are keyed by
 hashes, equal keys are joined, and the edit is verified on the words themselves:
 
-1. As nearly all lines have no near copy, a thinned neighbourhood finds those that
-   may: it holds only the words whose hash ends in a number of zero bits that
-   grows with the line's length (so about 6 to 12 words), together with the
-   variant's full length. One edit changes at most one of these words, so lines
-   within one edit still share a key.
-   Of the lines that share a key, a coarse neighbourhood leaves out a stretch of
-   words, an eighth of the line, at a time; one edit lies within one stretch, so
-   those that share such a key again are the suspects.
+1. As nearly all lines have no near copy, coarse neighbourhoods find those that
+   may. They leave out not a word but a stretch of words at a time; one edit lies
+   within one stretch, so lines within one edit still share a key. First a half of
+   the line is left out, then, of the lines that share such a key, an eighth; those
+   that share a key again are the suspects.
 2. Suspects get their full neighbourhood. Its
    keys also hold the place of the word left out, so a group of equal keys is
    within one edit pairwise and its earliest line answers for all: a group never
@@ -39,11 +36,9 @@ from tarnweave.session import broadcast_if_small, settle
 
 #: Words that the longer of two near copies has at least.
 NEAR_WORDS = 10
-#: Words up to which all words count in the first step, and the factor between classes.
-FULL_WORDS, CLASS = 12, 2  # the sampling below counts on 2, one bit a class
 #: Words up to which a line's variants are made inside its row.
 ROW_WORDS = 48
-#: Parts of a line that are left out as a whole.
+#: Parts of a line, one of which is left out as a whole, in the second step; the first one leaves out halves.
 STRETCHES = 8
 
 
@@ -59,39 +54,20 @@ def lines_of(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -
     return documents.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def _class(n: Column) -> Column:
-    """0 up to FULL_WORDS, then one more for each factor CLASS."""
-    return F.greatest(F.lit(0), F.ceil(F.log(n / F.lit(float(FULL_WORDS))) / F.log(F.lit(float(CLASS))) - 1e-9)).cast("int")
-
-
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once per row, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def thinned_keys(hashes: Column, n: Column) -> Column:
-    """Keys of a line's thinned neighbourhood; lines within one edit have one in common."""
-    none = F.array().cast("array<bigint>")
-
-    def of(few: Column, c: Column) -> Column:
-        # the words' hashes by exclusive or, so that leaving one out is a single step; the order doesn't count yet
-        # a key is that value and a salt of class and length, by exclusive or again: a word costs no further hash
-        def keyed(total: Column) -> Column:
-            def with_shorter(shorter: Column) -> Column:
-                unsampled = F.when(F.size(few) < n, F.array(shorter)).otherwise(none)
-                return F.concat(F.array(F.xxhash64(c, n).bitwiseXOR(total)), unsampled, F.transform(few, lambda w: shorter.bitwiseXOR(w)))
-
-            return let(F.xxhash64(c, n - 1).bitwiseXOR(total), with_shorter)
+def _left_out(items: Column, length: Column, n: Column, j: Column, parts: int) -> Column:
+    """The key of a line without the ``j``-th of ``parts`` stretches, where the shorter of two lines (or both) has ``n`` words."""
+    start, stop = F.floor(j * n / parts).cast("int"), F.floor((j + 1) * n / parts).cast("int")
+    return F.xxhash64(n, j, F.slice(items, 1, start), F.slice(items, length - (n - stop) + 1, n - stop))
 
-        return let(F.aggregate(few, F.lit(0).cast("bigint"), lambda t, w: t.bitwiseXOR(w)), keyed)
 
-    def all_classes(hs: Column) -> Column:
-        mask = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c) - 1
-        sampled = lambda c: F.when(c == 0, hs).otherwise(let(mask(c), lambda m: F.filter(hs, lambda w: w.bitwiseAND(m) == 0)))
-        classes = F.array_distinct(F.array(_class(n), _class(n - 1), _class(n + 1)))
-        return F.array_distinct(F.flatten(F.transform(classes, lambda c: let(sampled(c), lambda few: of(few, c)))))
-
-    return let(hashes, all_classes)
+def half_keys(words: Column, n: Column) -> Column:
+    """Keys of a line with each half left out, as the shorter and as the longer of two lines; without lambdas, as all lines get them."""
+    return F.array(*(_left_out(words, n, shorter, F.lit(j), 2) for shorter in (n, n - 1) for j in (0, 1)))
 
 
 def _order() -> Column:
@@ -100,15 +76,15 @@ def _order() -> Column:
 
 
 def line_table(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, h, line_no, n, lh, keys): n words, their hash, and the thinned keys."""
+    """(id, h, line_no, n, lh, keys): n words, their hash, and the keys of both halves."""
     rows = lines_of(documents, id_col, text).select("id", "h", "line_no", words_of(F.col("line")).alias("words"))
-    rows = rows.select("id", "h", "line_no", F.size("words").alias("n"), F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit("line"), "words").alias("b")).alias("lh"), F.when(F.size("words") >= NEAR_WORDS - 1, F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"))
-    keys = F.when(F.col("n") >= NEAR_WORDS - 1, thinned_keys(F.col("hashes"), F.col("n"))).otherwise(F.array().cast("array<bigint>"))
+    rows = rows.select("id", "h", "line_no", "words", F.size("words").alias("n"), F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit("line"), "words").alias("b")).alias("lh"))
+    keys = F.when(F.col("n") >= NEAR_WORDS - 1, half_keys(F.col("words"), F.col("n"))).otherwise(F.array().cast("array<bigint>"))
     return rows.select("id", "h", "line_no", "n", "lh", keys.alias("keys"))
 
 
 def suspects(lines: DataFrame) -> DataFrame:
-    """(lh): lines that share a thinned key with a line of other words."""
+    """(lh): lines that share a half's key with a line of other words."""
     keyed = lines.select(F.explode("keys").alias("key"), F.col("lh.a").alias("a"))
     shared = keyed.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low < high").select("key")
     shared = broadcast_if_small(settle(shared, "shared-keys"), 32, 1_000_000)
@@ -128,14 +104,9 @@ def _suspect_lines(documents: DataFrame, lines: DataFrame, firsts: DataFrame, id
 
 
 def stretch_keys(hashes: Column) -> Column:
-    """Keys of a line with each of ``STRETCHES`` stretches left out, as the longer and as the shorter of two lines."""
+    """Keys of a line with each of ``STRETCHES`` stretches left out, as the shorter and as the longer of two lines."""
     length = F.size(hashes)
-
-    def left_out(n: Column, j: Column) -> Column:
-        start, stop = F.floor(j * n / STRETCHES).cast("int"), F.floor((j + 1) * n / STRETCHES).cast("int")
-        return F.xxhash64(n, j, F.slice(hashes, 1, start), F.slice(hashes, length - (n - stop) + 1, n - stop))
-
-    of = lambda n: F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda j: left_out(n, j))
+    of = lambda n: F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda j: _left_out(hashes, length, n, j, STRETCHES))
     return F.concat(of(length), of(length - 1))
 
 
