@@ -95,7 +95,11 @@ def _suspect_lines(documents: DataFrame, lines: DataFrame, firsts: DataFrame, id
     """(sid, lh, words): the first occurrence of each suspect, once even if its row is repeated; sid grows with its order."""
     found = suspects(lines).join(firsts, "lh").select("lh", "first.id", "first.h", "first.line_no")
     found = broadcast_if_small(settle(found, "suspects"), 64, 500_000)
-    rows = lines_of(documents, id_col, text)
+    # only the texts that hold a suspect are split again
+    holders = broadcast_if_small(found.select(F.col("id").alias("_holder"), F.col("h").alias("_text")).distinct(), 64, 500_000)
+    slim = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    slim = slim.join(holders, slim["id"].eqNullSafe(holders["_holder"]) & (F.xxhash64(slim["text"]) == holders["_text"]), "left_semi")
+    rows = lines_of(slim, "id", "text")
     same = rows["id"].eqNullSafe(found["id"]) & (rows["h"] == found["h"]) & (rows["line_no"] == found["line_no"])
     rows = rows.join(found, same).select("lh", rows["id"], rows["h"], rows["line_no"], words_of(F.col("line")).alias("words"))
     rows = rows.dropDuplicates(["lh"])  # rows that repeat id and text are one document, or a line would be near its own copy
