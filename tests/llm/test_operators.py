@@ -377,6 +377,21 @@ def test_line_dedup_at_the_least_length(spark):
     assert got == {(1, "near"), (3, "near"), (5, "near")}  # of nine words and nine, neither has ten
 
 
+def test_coarse_keys_lose_no_edit(spark):
+    pairs = []
+    for n in (9, 10, 11, 16, 17, 33):
+        line = [f"w{i}" for i in range(n)]
+        for at in range(n + 1):
+            pairs.append((line, line[:at] + ["x"] + line[at:]))
+            if at < n:
+                pairs += [(line, line[:at] + line[at + 1 :]), (line, line[:at] + ["x"] + line[at + 1 :])]
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
+    halves = lambda c: linededup.half_keys(F.col(c), F.size(c))
+    eighths = lambda c: linededup.stretch_keys(F.transform(c, lambda w: F.xxhash64(w)))
+    for keys in (halves, eighths):
+        assert df.where(~F.arrays_overlap(keys("a"), keys("b"))).count() == 0
+
+
 # --- op7 --------------------------------------------------------------------
 
 
