@@ -7,7 +7,7 @@ by people and small. What is here is how they are weighed.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column
@@ -65,6 +65,8 @@ class RiskLexicon:
     phrases: tuple[str, ...] = ()
     negations: tuple[str, ...] = NEGATIONS
     near_negations: tuple[str, ...] = NEGATIONS[:3]
+    #: Terms that only these phrases deny, wherever in the text they are.
+    denials: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
 
 
 def reported(c: Column, lex: RiskLexicon) -> Column:
@@ -76,18 +78,27 @@ def assess_risk(sources: Mapping[str, Column], lex: RiskLexicon) -> Column:
     """struct(level, action, context, matched_terms, matched_sources, dimensions, evidence) over several texts of a row.
 
     High terms that aren't negated decide; where all texts that have one tell of
-    others, the level is medium; medium terms come next.
+    others, the level is medium; medium terms come next, and denied high terms
+    say something only where neither is: beside a medium term nothing counts as
+    negated, so that a threat to others isn't lost.
     """
     body = F.array_join(F.filter(F.array(*(text.strip(c) for c in sources.values())), lambda t: t != ""), "\n")
     low = F.lower(body)
     how = {"words": lex.negations, "phrases": lex.phrases, "before": lex.near_negations}
-    hits = F.filter(_terms(lex.high), lambda t: _found(low, t) & ~negated(low, F.lower(t), **how))
-    denied = F.filter(_terms(lex.high), lambda t: _found(low, t) & negated(low, F.lower(t), **how))
+
+    def deny(t: Column) -> Column:
+        usual = negated(low, F.lower(t), **how)
+        own = [F.when(t == term, text.contains_any(low, phrases)) for term, phrases in lex.denials.items()]
+        return F.coalesce(*own, usual) if own else usual
+
+    hits = F.filter(_terms(lex.high), lambda t: _found(low, t) & ~deny(t))
+    denied = F.filter(_terms(lex.high), lambda t: _found(low, t) & deny(t))
     medium = F.filter(_terms(lex.medium), lambda t: F.contains(body, t))
     named = F.array(*(F.struct(F.lit(n).alias("source"), text.strip(c).alias("content"), reported(c, lex).alias("reported")) for n, c in sources.items()))
     by = lambda terms: F.filter(named, lambda s: F.exists(terms, lambda t: _found(F.lower(s["content"]), t)))
     told = F.forall(by(hits), lambda s: s["reported"])
-    high, mid, no = F.size(hits) > 0, F.size(medium) > 0, (F.size(hits) == 0) & (F.size(denied) > 0)
+    high, mid = F.size(hits) > 0, F.size(medium) > 0
+    no = ~high & ~mid & (F.size(denied) > 0)
     terms = F.when(high, hits).when(mid, medium).otherwise(F.array().cast("array<string>"))
     has = lambda group: text.contains_any(low, group)
     dimensions = F.struct(
@@ -101,7 +112,7 @@ def assess_risk(sources: Mapping[str, Column], lex: RiskLexicon) -> Column:
     snippets = F.filter(F.transform(by(shown), lambda s: F.struct(s["source"].alias("source"), evidence(s["content"], shown).alias("content"))), lambda e: e["content"].isNotNull())
     return F.struct(
         level.alias("level"), F.when(level == "high", "crisis_referral").when(level == "medium", "support_with_monitoring").otherwise("normal_support").alias("action"),
-        F.when(high & told, "reported_or_quoted").when(no & ~mid, "negated_high_risk").otherwise("none").alias("context"),
+        F.when(high & told, "reported_or_quoted").when(no, "negated_high_risk").otherwise("none").alias("context"),
         terms.alias("matched_terms"), F.transform(by(terms), lambda s: s["source"]).alias("matched_sources"), dimensions.alias("dimensions"), snippets.alias("evidence"),
     )
 

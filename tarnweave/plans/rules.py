@@ -25,11 +25,21 @@ def class_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "c.category", F.array_join("c.evidence_terms", "|").alias("terms"))
 
 
+#: Terms of the invented prose; "the" and "und" deny what follows them.
+RISK = classify.RiskLexicon(
+    high=("tion", "keit", "ment"), medium=("ing", "eur"), report=("and ", "les "), fiction=("zu ",), intent=("to ",), plan=("ver",), time=("an",), means=("is",), others=("er",),
+    phrases=("with",), negations=("the ", "und "), near_negations=("nicht",), denials={"ment": ("les ", "que ")},
+)
+
+
 def class_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dialogue turns against a lexicon of the invented prose; negation and reports are held against fixed cases in the tests."""
-    lex = classify.RiskLexicon(high=("euxau", "nthare"), medium=("ingea",), report=("and",), fiction=("zzz",), intent=("is",), negations=("not ",), near_negations=("not ",))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", classify.assess_risk({"text": F.col("text")}, lex).alias("r"))
-    return rows.select("conv_id", "turn", "r.level", "r.context", F.array_join("r.matched_terms", ",").alias("terms"))
+    """Dialogue turns against a lexicon of the invented prose: level, terms, dimensions, evidence."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", classify.assess_risk({"text": F.col("text")}, RISK).alias("r"))
+    seen = F.coalesce(F.get("r.evidence", F.lit(0))["content"], F.lit(""))
+    return rows.select(
+        "conv_id", "turn", "r.level", "r.action", "r.context", F.array_join("r.matched_terms", ",").alias("terms"), F.size("r.matched_sources").alias("n_sources"), "r.dimensions.ideation", "r.dimensions.plan",
+        "r.dimensions.timeframe_present", "r.dimensions.means_access", "r.dimensions.immediacy", "r.dimensions.harm_to_others", "r.dimensions.negated", "r.dimensions.third_party_report", seen.alias("evidence"),
+    )
 
 
 def class_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +124,25 @@ _n = lambda terms, c="text": "(" + " + ".join(f"CAST(contains({c}, '{t}') AS INT
 _e = "round(least(5.0, greatest(1.0, 2.2 + {e} * 0.55 + {r} * 0.25)), 2)".format(e=_n(TERMS["empathy"]), r=_n(TERMS["reflection"]))
 _host = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"
 
+_win = "substr(low, greatest(1, instr(low, t) - 8), instr(low, t) - greatest(1, instr(low, t) - 8) + length(t) + 8)"
+_deny = f"CASE WHEN t = 'ment' THEN contains(low, 'les ') OR contains(low, 'que ') ELSE contains({_win}, 'the ' || t) OR contains({_win}, 'und ' || t) OR contains(left({_win}, 8), 'nicht') OR contains({_win}, 'with') END"
+RISK_SQL = f"""
+    WITH b AS (SELECT conv_id, turn, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS body, lower(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13))) AS low FROM conversations),
+    h AS (SELECT *, list_filter(['tion', 'keit', 'ment'], lambda t: contains(low, t) AND NOT ({_deny})) AS hits, list_filter(['tion', 'keit', 'ment'], lambda t: contains(low, t) AND ({_deny})) AS denied,
+                 list_filter(['ing', 'eur'], lambda t: contains(body, t)) AS medium, (contains(low, 'and ') OR contains(low, 'les ')) AND (contains(low, 'zu ') OR NOT contains(low, 'to ')) AS told FROM b),
+    r AS (SELECT *, len(hits) > 0 AS high, len(medium) > 0 AS mid, len(hits) = 0 AND len(medium) = 0 AND len(denied) > 0 AS no FROM h),
+    s AS (SELECT *, CASE WHEN high AND told THEN 'medium' WHEN high THEN 'high' WHEN mid THEN 'medium' ELSE 'low' END AS level, CASE WHEN high THEN hits WHEN mid THEN medium ELSE [] END AS terms,
+                 (CASE WHEN high THEN hits WHEN mid THEN medium ELSE denied END)[1] AS shown FROM r)
+    SELECT conv_id, turn, level, CASE level WHEN 'high' THEN 'crisis_referral' WHEN 'medium' THEN 'support_with_monitoring' ELSE 'normal_support' END AS action,
+           CASE WHEN high AND told THEN 'reported_or_quoted' WHEN no THEN 'negated_high_risk' ELSE 'none' END AS context, array_to_string(terms, ',') AS terms, CAST(len(terms) > 0 AS INT) AS n_sources, high AS ideation,
+           high AND contains(low, 'ver') AS plan, high AND contains(low, 'an') AS timeframe_present, CASE WHEN NOT high THEN 'none' WHEN contains(low, 'is') THEN 'present' ELSE 'unknown' END AS means_access,
+           CASE WHEN high AND contains(low, 'an') THEN 'high' WHEN high THEN 'medium' ELSE 'low' END AS immediacy, contains(low, 'er') AND NOT no AS harm_to_others, no AS negated, high AND told AS third_party_report,
+           coalesce(substr(body, greatest(1, instr(low, shown) - 30), instr(low, shown) - greatest(1, instr(low, shown) - 30) + length(shown) + 30), '') AS evidence
+    FROM s
+"""
+
 ORACLE = {
+    "class_risk": RISK_SQL,
     "class_labels": "WITH f AS (SELECT doc_id, " + ", ".join(f"list_filter({list(v)!r}, lambda t: contains(lower(text), t)) AS l{i}" for i, v in enumerate(LEX.values())) + " FROM documents), "
     "s AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS place, '{k}' AS label, l{i} AS ev, len(l{i}) AS n, length(array_to_string(l{i}, '')) AS size FROM f" for i, k in enumerate(LEX)) + "), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, size DESC, place) AS r FROM s) SELECT doc_id, CASE WHEN n > 0 THEN label ELSE 'none' END AS label, CASE WHEN n > 0 THEN round(least(0.58 + n * 0.12, 0.9), 2) ELSE 0.35 END AS confidence, array_to_string(list_slice(ev, 1, 5), '|') AS evidence FROM r WHERE r = 1",

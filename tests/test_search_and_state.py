@@ -95,6 +95,15 @@ def test_risk(spark, said, level, plan, negated):
         assert r["dimensions"]["timeframe_present"] and r["dimensions"]["means_access"] == "present" and r["evidence"]
 
 
+def test_denied_term_beside_a_medium_one(spark):
+    """Beside a medium term nothing is negated, and harm to others isn't lost."""
+    lex = classify.RiskLexicon(("自杀", "不想活"), ("崩溃",), others=("砍人",), denials={"不想活": ("没有不想活",)})
+    said = ["我没有自杀的想法，但是快崩溃了，想砍人", "我没有自杀的想法，想砍人", "我没有不想活", "我没事，就是不想活"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select("i", classify.assess_risk({"t": F.col("t")}, lex).alias("r")).orderBy("i").collect()
+    got = [(r["r"]["level"], r["r"]["context"], r["r"]["dimensions"]["negated"], r["r"]["dimensions"]["harm_to_others"]) for r in rows]
+    assert got == [("medium", "none", False, True), ("low", "negated_high_risk", True, False), ("low", "negated_high_risk", True, False), ("high", "none", False, False)]
+
+
 def test_emotion_and_plan(spark):
     lex = {"joy": ("happy",), "anxiety": ("exam", "worry"), "sadness": ("sad",)}
     df = spark.createDataFrame([("exam worry sad", 8), ("lonely and sad", None), ("nothing", None), ("hopeless", 3)], "t string, s int")
