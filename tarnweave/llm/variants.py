@@ -3,14 +3,15 @@
 A word's anagram key is the sum of the fifth powers of its letters' code points,
 so words of the same letters in any order share it, and one letter more, less
 or another changes it by a known value. A word emits its key less each letter
-that may differ: two words that differ by a replacement meet where their keys
-less one letter each are equal, and a word meets a shorter one at the key that
-the shorter has as a whole. As one difference lies in one half of a word only,
-the other half's hash is part of what is joined; it drops the anagrams of
-concatenated parts and loses no pair. What meets is verified by edit distance.
+that may differ, and its key as it is: two words that differ by a replacement meet
+where their keys less one letter each are equal, and a word meets a shorter one at
+the key that the shorter has as a whole. As one difference lies on one side of a
+cut only, a hash of the other side is part of what is joined; it drops the
+anagrams of concatenated parts and loses no pair. What meets is verified by edit
+distance, so that nothing depends on hashes.
 
-A word emits at most a row for each different letter and half, so groups need
-no cap; rows carry hashes of words and not the words, which may be long.
+A word emits at most a row for each different letter and side, however long it
+is, so groups need no cap; rows carry hashes of words and not the words.
 
 Cases: null and empty texts have no words. A null id counts as the empty text.
 Rows that are repeated count as often as they are there. Other columns are left
@@ -53,8 +54,8 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
-def _power(letter: Column) -> Column:
-    return F.pow(F.ascii(letter).cast("double"), F.lit(POWER)).cast("long")
+def _power(point: Column) -> Column:
+    return F.pow(point.cast("double"), F.lit(POWER)).cast("long")
 
 
 def _letters(c: Column) -> Column:
@@ -62,41 +63,46 @@ def _letters(c: Column) -> Column:
 
 
 def anagram_key(c: Column) -> Column:
-    return F.aggregate(_letters(c), F.lit(0).cast("long"), lambda acc, x: (acc + _power(x)) % MODULUS)
+    return F.aggregate(_letters(c), F.lit(0).cast("long"), lambda acc, x: (acc + _power(F.ascii(x))) % MODULUS)
 
 
-def _less_one(words: DataFrame, cuts: Column) -> DataFrame:
-    """(id, key, half, size, side, gone): for each cut (kept, changed, size, side) of a word its key less each letter of the changed part."""
-    rows = words.select("id", "key", F.explode(cuts).alias("x"))
-    rows = rows.select("id", "key", F.xxhash64("x.kept").alias("half"), "x.size", "x.side", F.explode(F.array_distinct(_letters(F.col("x.changed")))).alias("gone"))
-    return rows.withColumn("key", F.pmod(F.col("key") - _power(F.col("gone")), F.lit(MODULUS)))
+def _middle(n: Column) -> Column:
+    """Where a word is cut: the middle of the word that is one letter shorter."""
+    return F.floor((n - 1) / 2).cast("int")
 
 
 def candidate_pairs(words: DataFrame) -> DataFrame:
-    """(a, b): hashes of words that may be near, each pair once. ``words``: (word, id, key)."""
+    """(a, b, side): hashes of words that may be near. ``words``: (word, id, key).
+
+    A pair meets in side 0 if the letter in question lies behind the cut, and may
+    meet in side 1 if it lies before it. ``a`` is the longer word.
+    """
     n = F.length("word")
     head, tail = (lambda size: F.substring("word", F.lit(1), size)), (lambda start: F.substring("word", start + 1, n))
-    cut = lambda kept, changed, size, side: F.struct(kept.alias("kept"), changed.alias("changed"), size.alias("size"), F.lit(side).alias("side"))
-    # a replaced letter lies in the second half of both words or in the first half of both
-    half = F.floor(n / 2).cast("int")
-    swaps = _less_one(words, F.array(cut(head(half), tail(half), n, 0), cut(tail(half), head(half), n, 1)))
-    on = ["key", "half", "size", "side"]
-    other = swaps.select(*on, F.col("id").alias("b"), F.col("gone").alias("gone_b"))
-    exchanged = swaps.join(other, on).where((F.col("gone") != F.col("gone_b")) & (F.col("id") <= F.col("b"))).select(F.col("id").alias("a"), "b")
-    # the longer word's letter lies behind the shorter word's middle or before it
-    middle = F.floor((n - 1) / 2).cast("int")
-    longer = _less_one(words, F.array(cut(head(middle), tail(middle), n - 1, 0), cut(tail(middle + 1), head(middle), n - 1, 1)))
-    parts = F.explode(F.array(F.struct(F.xxhash64(head(half)).alias("half"), F.lit(0).alias("side")), F.struct(F.xxhash64(tail(half)).alias("half"), F.lit(1).alias("side"))))
-    shorter = words.select(F.col("id").alias("b"), "key", n.alias("size"), parts.alias("x")).select("b", "key", "size", "x.half", "x.side")
-    added = longer.join(shorter, on).select(F.col("id").alias("a"), "b")
-    return exchanged.union(added).distinct()
+    cut = lambda kept, changed, side: F.struct(F.xxhash64(kept).alias("half"), changed.alias("changed"), F.lit(side).alias("side"))
+    middle, whole = _middle(n), _middle(n + 1)
+    # a word less one letter, of the part that isn't kept; words of one length meet here
+    less = words.select("id", "key", n.alias("size"), F.explode(F.array(cut(head(middle), tail(middle), 0), cut(tail(middle + 1), head(middle), 1))).alias("x"))
+    less = less.select("id", "key", "size", "x.half", "x.side", F.explode(F.transform(F.array_distinct(_letters(F.col("x.changed"))), F.ascii)).alias("gone"))
+    less = less.withColumn("key", F.pmod(F.col("key") - _power(F.col("gone")), F.lit(MODULUS)))
+    # a word as it is, which words that are one letter longer meet
+    asis = words.select("id", "key", (n + 1).alias("size"), F.explode(F.array(cut(head(whole), F.lit(""), 0), cut(tail(whole), F.lit(""), 1))).alias("x"))
+    asis = asis.select("id", "key", "size", "x.half", "x.side", F.lit(0).alias("gone"))
+    rows = less.union(asis).select(F.xxhash64("key", "half", "size", "side").alias("meet"), "id", "side", F.col("gone").cast("short").alias("gone"))
+    other = rows.select("meet", F.col("id").alias("b"), F.col("gone").alias("gone_b"))
+    longer = F.col("gone_b") == 0
+    swapped = (F.col("gone_b") != F.col("gone")) & (F.col("id") <= F.col("b"))
+    return rows.join(other, "meet").where((F.col("gone") != 0) & (longer | swapped)).select(F.col("id").alias("a"), "b", "side")
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """(word, other, other_n): both directions of every link. ``words``: (word, n, id, key), settled."""
+    """(word, other, other_n): both directions of every link, once each. ``words``: (word, n, id, key), settled."""
     side = lambda x: words.select(F.col("id").alias(x), F.col("word").alias(f"word_{x}"), F.col("n").alias(f"n_{x}"))
     pairs = candidate_pairs(words).join(side("a"), "a").join(side("b"), "b")
-    links = pairs.where(F.levenshtein("word_a", "word_b", 1) == 1)
+    cut = _middle(F.greatest(F.length("word_a"), F.length("word_b")))
+    # of words that agree before the cut, the pair of side 0 counts
+    once = (F.col("side") == 0) | (F.substring("word_a", F.lit(1), cut) != F.substring("word_b", F.lit(1), cut))
+    links = pairs.where((F.levenshtein("word_a", "word_b", 1) == 1) & once)
     both = F.array(*(F.struct(F.col(f"word_{x}").alias("word"), F.col(f"word_{y}").alias("other"), F.col(f"n_{y}").alias("other_n")) for x, y in ("ab", "ba")))
     return links.select(F.explode(both).alias("x")).select("x.*")
 
