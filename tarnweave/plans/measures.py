@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnweave.operators import evaluation, retrieval, sessions
 from tarnweave.session import scratch_path, settle, table
-from tarnweave.streaming import stateful
+from tarnweave.streaming import ordered, stateful
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -193,14 +195,41 @@ def stream_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.latest(spark, out, ["user_id"]).select("user_id", "event_id", "event_type")
 
 
+def _clock(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """A stream of one tick, a second and the lateness after the last event, that comes when ``_tick`` has written it."""
+    return spark.readStream.schema("ts timestamp").parquet(f"{path}-clock")
+
+
+def _tick(spark: SparkSession, sf_dir: str, path: str) -> None:
+    end = F.date_trunc("second", F.max("ts")) + F.expr(f"INTERVAL 1 SECOND + INTERVAL {ordered.LATENESS}")
+    table(spark, sf_dir, "events").agg(end.cast("timestamp").alias("ts")).where("ts is not null").write.mode("append").parquet(f"{path}-clock")
+
+
+def _through(spark: SparkSession, sf_dir: str, name: str, make: Callable[[DataFrame, DataFrame], DataFrame], mode: str, key: str | None = None) -> str:
+    """The folder of what a stream makes of all events: first of these, then, by the clock, of the last ones."""
+    out = scratch_path(spark, name)
+    spark.createDataFrame([], "ts timestamp").write.parquet(f"{out}-clock")
+    for last in (False, True):
+        if last:
+            _tick(spark, sf_dir, out)
+        rows = make(_stream(spark, sf_dir), _clock(spark, sf_dir, out))
+        where = {"sink": stateful.upsert_sink(out, key)} if key else {"path": out}
+        stateful.run_available(rows, f"{out}-check", mode, large_state=True, **where)
+    return out
+
+
 def stream_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A decision for every event: two a minute and type."""
-    out = scratch_path(spark, "limiter")
-    rows = stateful.limiter(_stream(spark, sf_dir), "event_type", 2)
-    stateful.run_available(rows, f"{out}-check", path=out)
+    out = _through(spark, sf_dir, "limiter", lambda rows, clock: ordered.limiter(rows, "event_type", 2, clock=clock), "append")
     return spark.read.parquet(out).select("event_type", "event_id", "n", "allowed")
 
 
+def stream_limiter_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decision for every event: two a day, user and type."""
+    out = _through(spark, sf_dir, "limiter-daily", lambda rows, clock: ordered.limiter(rows, ["user_id", "event_type"], 2, width=86_400, clock=clock), "append")
+    return spark.read.parquet(out).select("event_id", F.col("user_id").cast("long").alias("user_id"), "n", "allowed", "retry_after", "late")
+
+
 def stream_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a user and type while the watermark holds the key."""
     out = scratch_path(spark, "first")
@@ -210,19 +239,19 @@ def stream_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scratch_path(spark, "jobs")
+    """Users as jobs whose events move them on; half a day of silence is a failure."""
     kind = F.col("event_type")
     status = F.when(kind == "signup", "queued").when(kind == "click", "validating").when(kind == "view", "processing").when(kind == "purchase", "completed").otherwise("cancelled")
-    rows = _stream(spark, sf_dir).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), status.alias("status"), F.col("value").alias("progress"))
-    stateful.run_available(stateful.job_machine(rows), f"{out}-check", "update", stateful.upsert_sink(out, "job_id"))
-    return stateful.latest(spark, out, ["job_id"]).select(F.col("job_id").cast("long").alias("job_id"), "status")
+    jobs = lambda rows: rows.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 != 0, "validating").otherwise(status).alias("status"), F.floor("value").alias("progress"), "ts")
+    out = _through(spark, sf_dir, "jobs", lambda rows, clock: ordered.job_machine(jobs(rows), timeout=43_200, keep=5_000_000, clock=clock), "update", "job_id")
+    return stateful.latest(spark, out, ["job_id"]).select(F.col("job_id").cast("long").alias("job_id"), "status", "progress", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         eval_retrieval, eval_classification, eval_confusion, eval_labels, eval_safety, eval_safety_misses, eval_latency, eval_scores, eval_delta, eval_macro, eval_digest, sess_recent, sess_sequence, sess_summary, sess_empty, sess_page,
-        sess_budget, sess_limits, sess_memory, sess_jobs, sess_lifecycle, sess_upsert, sess_rolling, stream_tumbling, stream_memory, stream_limiter, stream_first, stream_jobs,
+        sess_budget, sess_limits, sess_memory, sess_jobs, sess_lifecycle, sess_upsert, sess_rolling, stream_tumbling, stream_memory, stream_limiter, stream_limiter_daily, stream_first, stream_jobs,
     )
 }
 
@@ -283,5 +312,18 @@ ORACLE = {
     "stream_tumbling": "SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY ALL",
     "stream_memory": "SELECT user_id, last(event_id ORDER BY ts, event_id) AS event_id, last(event_type ORDER BY ts, event_id) AS event_type FROM events GROUP BY user_id",
     "stream_limiter": "SELECT event_type, event_id, n, n <= 2 AS allowed FROM (SELECT *, row_number() OVER (PARTITION BY event_type, date_trunc('minute', ts) ORDER BY ts, event_id) AS n FROM events)",
+    "stream_limiter_daily": """SELECT event_id, user_id, n, n <= 2 AS allowed, CASE WHEN n <= 2 THEN 0 ELSE 86400 - CAST(epoch(date_trunc('second', ts)) AS BIGINT) % 86400 END AS retry_after, false AS late
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, date_trunc('day', ts) ORDER BY ts, event_id) AS n FROM events)""",
+    "stream_jobs": """
+        WITH e AS (SELECT user_id AS job_id, event_id AS seq, ts, CAST(floor(value) AS INT) AS progress,
+                     CASE WHEN event_id % 4 <> 0 THEN 'validating' WHEN event_type = 'signup' THEN 'queued' WHEN event_type = 'click' THEN 'validating' WHEN event_type = 'view' THEN 'processing' WHEN event_type = 'purchase' THEN 'completed' ELSE 'cancelled' END AS status FROM events),
+        o AS (SELECT *, coalesce(lag(ts) OVER w + INTERVAL 12 HOURS < ts, false) AS broke, row_number() OVER w AS k FROM e WINDOW w AS (PARTITION BY job_id ORDER BY ts, seq)),
+        s AS (SELECT job_id, min(k) FILTER (broke) AS broke, min(k) FILTER (status IN ('completed', 'cancelled')) AS ended FROM o GROUP BY job_id),
+        l AS (SELECT o.*, s.ended, s.broke FROM o JOIN s ON o.job_id = s.job_id WHERE k < coalesce(s.broke, 1e9) AND k <= coalesce(s.ended, 1e9)),
+        f AS (SELECT job_id, arg_max(progress, k) AS progress, max(ts) AS ts, max(k) AS k, any_value(ended) AS ended, any_value(broke) AS broke, arg_max(status, k) AS last, bool_or(status = 'processing') AS p, bool_or(status = 'validating') AS v FROM l GROUP BY job_id),
+        t AS (SELECT *, ts + INTERVAL 12 HOURS <= (SELECT date_trunc('second', max(ts)) + INTERVAL 1 SECOND FROM events) AS silent FROM f)
+        SELECT job_id, CASE WHEN k = ended THEN last WHEN broke IS NOT NULL OR silent THEN 'failed' WHEN p THEN 'processing' WHEN v THEN 'validating' ELSE 'queued' END AS status, greatest(0, least(100, progress)) AS progress,
+               strftime(CASE WHEN coalesce(k = ended, false) OR NOT (broke IS NOT NULL OR silent) THEN ts ELSE ts + INTERVAL 12 HOURS END, '%Y-%m-%d %H:%M:%S.%f') AS at FROM t
+    """,
     "stream_first": "SELECT DISTINCT user_id, event_type FROM events",
 }

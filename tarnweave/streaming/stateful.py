@@ -1,23 +1,20 @@
-"""Streams: counters, deduplication, keyed state, job machines and upserts as Structured Streaming plans.
+"""Streams: counters, deduplication, keyed state and upserts as Structured Streaming plans.
 
-The lateness of watermarks is the limiter's own horizon of two minutes. State
-is bounded by watermarks or timeouts; every sink that isn't append-only is
-idempotent by key, so a batch that is run again changes nothing.
+State is bounded by watermarks; every sink that isn't append-only is idempotent
+by key, so a batch that is run again changes nothing. Limiters and job machines,
+which need a key's events in order, are in ``ordered``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tarnweave.operators import sessions
+from tarnweave.streaming.ordered import LATENESS, STATE_STORE
 
-LATENESS = "2 minutes"
 
 
 def timed(events: DataFrame, ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
@@ -48,64 +45,6 @@ def first_by_key(rows: DataFrame, keys: Sequence[str], ts: str = "ts", lateness:
     return timed(rows, ts, lateness).dropDuplicatesWithinWatermark(list(keys))
 
 
-def limiter(events: DataFrame, key: str, limit: int, ts: str = "ts", event: str = "event_id", width: int = 60) -> DataFrame:
-    """(key, event, start, n, allowed): a decision for every event; a key's counters are dropped two windows later."""
-    out = f"{key} string, {event} long, start long, n long, allowed boolean"
-
-    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        starts, counts = (list(x) for x in state.get) if state.exists else ([], [])
-        held = dict(zip(starts, counts, strict=True))
-        # a key's rows of the batch come in several parts in any order, and are numbered as one
-        whole = pd.concat([part[["ts", "event"]] for part in parts], ignore_index=True).sort_values(["ts", "event"])
-        seconds = (whole["ts"].astype("int64") // {"ns": 10**9, "us": 10**6, "ms": 10**3, "s": 1}[whole["ts"].dt.unit]).astype("int64")
-        start = seconds // width * width
-        n = whole.groupby(start).cumcount() + 1 + start.map(held).fillna(0).astype("int64")
-        held |= {int(at): int(most) for at, most in n.groupby(start).max().items()}
-        yield pd.DataFrame({key: [str(k[0])] * len(whole), event: whole["event"].to_numpy(), "start": start.to_numpy(), "n": n.to_numpy(), "allowed": (n <= limit).to_numpy()})
-        newest = max(held, default=0)
-        held = {s: c for s, c in held.items() if s > newest - 2 * width}
-        state.update((list(held), list(held.values())))
-        state.setTimeoutTimestamp(max((newest + 2 * width) * 1000, state.getCurrentWatermarkMs() + 1))
-
-    rows = timed(events.select(F.col(key).cast("string").alias(key), F.col(event).alias("event"), F.col(ts).alias("ts")))
-    return rows.groupBy(key).applyInPandasWithState(run, out, "starts array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def job_machine(events: DataFrame, key: str = "job_id", ts: str | None = None, timeout_ms: int = 3_600_000) -> DataFrame:
-    """(job, status, progress): states after each batch; a cancelled, completed or failed job takes no more events.
-
-    ``events``: (job_id, seq, status, progress). With an event time ``ts``, a job
-    that the watermark leaves ``timeout_ms`` behind fails.
-    """
-    order = {"queued": 0, "validating": 1, "processing": 2, "completed": 3, "failed": 3, "cancelled": 3}
-
-    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, progress = state.get if state.exists else ("queued", 0)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({key: [str(k[0])], "status": ["failed"], "progress": [progress]})
-            return
-        rows = pd.concat(list(parts)).sort_values("seq")
-        for new, p in zip(rows["status"], rows["progress"], strict=True):
-            if status in sessions.TERMINAL:
-                break
-            if order.get(new, -1) >= order[status]:
-                status = new
-            progress = int(min(100, max(0, p)))
-        state.update((status, progress))
-        if ts and status not in sessions.TERMINAL:
-            state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000) + timeout_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [str(k[0])], "status": [status], "progress": [progress]})
-
-    rows = events.select(F.col(key).cast("string").alias(key), "seq", "status", F.col("progress").cast("int").alias("progress"), *([F.col(ts).alias("ts")] if ts else []))
-    rows = timed(rows) if ts else rows
-    wait = GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} string, status string, progress int", "status string, progress int", "update", wait)
-
-
 def last_by_key(rows: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     """The last row of each key so far, for update mode."""
     names = [c for c in rows.columns if c not in key]
@@ -145,8 +84,23 @@ def turn_ingestion(paths: dict[str, str], steps: dict[str, Callable[[DataFrame],
     return write
 
 
-def run_available(stream: DataFrame, checkpoint: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None, path: str | None = None, **options: Any) -> None:
-    """Take all that is there now, then stop: the form of queue workers, clean-up loops and batched embedding."""
+def run_available(stream: DataFrame, checkpoint: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None, path: str | None = None, large_state: bool = False, **options: Any) -> None:
+    """Take all that is there now, then stop: the form of queue workers, clean-up loops and batched embedding.
+
+    ``large_state``: keep state beside the heap, as the operators of ``ordered``
+    need; the session's own setting is as before when the stream has started.
+    """
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).options(**options)
     writer = writer.foreachBatch(sink) if sink else writer.format("parquet").option("path", path)
-    writer.start().awaitTermination()
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name, None)
+    if large_state:
+        conf.set(name, STATE_STORE)
+    try:
+        query = writer.start()
+    finally:
+        if large_state and before is None:
+            conf.unset(name)
+        elif large_state:
+            conf.set(name, before)
+    query.awaitTermination()
