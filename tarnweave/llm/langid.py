@@ -3,7 +3,7 @@
 Two texts are alike by the number of n-grams of one to three letters that occur
 in both, how often doesn't matter, over the root of both texts' numbers. A model
 is learned from a bounded sample: for every language at most ``SAMPLE`` different
-texts, those of smallest hash. From the sample come the alphabet, the n-grams
+texts, those of smallest hash in each of ``SHARES`` classes of hashes. From the sample come the alphabet, the n-grams
 that are counted (``GRAMS``), the landmarks (``LANDMARKS`` texts, as many of each
 language) and, added up over the sample in Spark tasks, the normal equations of
 ridge regression on the texts' kernel values with the landmarks. What comes to
@@ -43,6 +43,8 @@ from tarnweave.session import broadcast_if_small, settle
 
 #: Different texts of a language that a model is learned from.
 SAMPLE = 1_000
+#: Classes of hashes that a language's sample is taken from, in equal shares.
+SHARES = 16
 #: Letters told apart; all rarer ones are one more symbol.
 ALPHABET = 120
 #: N-grams that are counted, those of most sampled texts.
@@ -156,12 +158,15 @@ def _texts(batch: pa.RecordBatch, name: str, size: int = 1 << 20) -> Iterator[tu
 
 
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE) -> DataFrame:
-    """(lang, rank, text): of each language the different texts of smallest hash, with their rank; held-out documents are left out."""
+    """(lang, rank, text): of each language and class of hashes the different texts of smallest hash; held-out documents are left out.
+
+    Only hashes are ranked, and no task ranks all hashes of a language.
+    """
     usable = (~held_out(F.col(id_col))) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")
     rows = docs.where(usable).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    order = Window.partitionBy("lang").orderBy("h")
-    ranked = rows.select("lang", "h").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-    chosen = settle(ranked, "sampled-hashes")
+    share = Window.partitionBy("lang", F.pmod("h", F.lit(SHARES))).orderBy("h")
+    few = rows.select("lang", "h").distinct().withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= max(1, per_language // SHARES))
+    chosen = settle(few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))), "sampled-hashes")
     return rows.join(broadcast_if_small(chosen), ["lang", "h"]).groupBy("lang", "h", "rank").agg(F.min("text").alias("text")).select("lang", "rank", "text")
 
 
