@@ -170,32 +170,33 @@ def proximity_matches(documents: DataFrame, benchmark: DataFrame, slop: int = SL
 
 
 def hit_words(hits: DataFrame) -> DataFrame:
-    """(id, h, n_hit, items): how many words the intervals of a document cover together."""
+    """(id, h, n_hit, items): how many words the intervals of a document cover together; a null item id is an item of its own."""
     before = F.max("stop").over(Window.partitionBy("id", "h").orderBy("start", "stop", "item_id").rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), F.coalesce(before, F.lit(0))))
-    return hits.withColumn("new", new).groupBy("id", "h").agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    return hits.withColumn("new", new).groupBy("id", "h").agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_set(F.struct("item_id"))).alias("items"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated, n_near) of every row of ``documents``.
 
     Contaminated: a twentieth of the words or more lie inside windows that occur.
-    ``n_near`` is the number of items with a proximity match.
+    ``n_near`` is the number of items with a proximity match. Items without an id
+    count, as one, and are no part of ``items_sha256``.
     """
     index = Index(documents, benchmark, id_col, text, item_col, item_text, window, near=True)
     hits = settle(phrase_matches(documents, benchmark, id_col, text, item_col, item_text, window, index), "phrase-matches")
     near = proximity_matches(documents, benchmark, SLOP, id_col, text, item_col, item_text, index)
-    near = near.groupBy("id", "h").agg(F.count_distinct("item_id").alias("n_near"))
+    near = near.groupBy("id", "h").agg(F.count_distinct(F.struct("item_id")).alias("n_near"))
     merged = hit_words(hits)
-    merged = merged.select("id", "h", "n_hit", "items", F.lit(0).cast("long").alias("n_near")).union(near.select("id", "h", F.lit(None).cast("long"), F.lit(None).cast("array<string>"), "n_near"))
+    merged = merged.select("id", "h", "n_hit", "items", F.lit(0).cast("long").alias("n_near")).union(near.select("id", "h", F.lit(None).cast("long"), F.lit(None).cast("array<struct<item_id:string>>"), "n_near"))
     merged = merged.groupBy("id", "h").agg(F.max("n_hit").alias("n_hit"), F.max("items").alias("items"), F.max("n_near").alias("n_near"))
     merged = broadcast_if_small(settle(merged, "hit-documents"))
     docs = _keyed(documents, id_col, text).select("id", "h", F.size("words").cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    items = F.coalesce("items", F.array().cast("array<string>"))
+    items = F.coalesce("items", F.array().cast("array<struct<item_id:string>>"))
     return docs.join(merged, _same(docs, merged), "left").select(
         docs["id"].alias(id_col), docs["h"].alias("text_hash"), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+        F.sha2(F.array_join(F.transform(items, lambda i: i["item_id"]), ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 

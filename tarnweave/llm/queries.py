@@ -181,7 +181,7 @@ ORACLE: dict[str, str] = {
         mv AS (SELECT doc_id, item, item_id, nt.term, need, pos - off AS shift FROM dt JOIN nt ON dt.term = nt.term),
         pm AS (SELECT a.doc_id, a.item, a.item_id, a.shift FROM mv a JOIN mv b ON a.doc_id = b.doc_id AND a.item = b.item AND b.shift BETWEEN a.shift AND a.shift + 8
                GROUP BY a.doc_id, a.item, a.item_id, a.shift HAVING count(DISTINCT b.term) >= max(a.need)),
-        nn AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM pm GROUP BY doc_id),
+        nn AS (SELECT doc_id, count(*) AS n_near FROM (SELECT DISTINCT doc_id, item_id FROM pm) GROUP BY doc_id),
         ni AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
         SELECT dw.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
