@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnweave.functions import numbers, text
+from tarnweave.operators import selection
 from tarnweave.session import broadcast_if_small, drop_settled, settle
 
 # Role names in use, and the patterns of the reject rules. All can be replaced through ``Rules``.
@@ -368,23 +369,10 @@ def top_pool(recs: DataFrame, limit: int, per_label: int = 5, id_col: str = "con
 
 
 def select_balanced(pool: DataFrame, target: int, id_col: str = "conv_id") -> DataFrame:
-    """(id): ``target`` records of a pool, balanced over labels.
-
-    A part of six tenths keeps the strata's shares; the rest goes, one by one,
-    to what covers most labels not covered yet; labels are capped at 1.8 times
-    their even share and high severity at 12 %. Each choice depends on those
-    before it, so the greedy part runs in one task, on ids, labels and scores
-    of the pool, which ``top_pool`` bounds; texts aren't moved.
-    """
-    slim = pool.select(F.col(id_col).alias("id"), "group", "problem", "severity", F.array_distinct(F.transform(label_pairs(), lambda p: F.concat_ws("\x1f", p["field"], p["value"]))).alias("labels"), "coverage_score", "final_score")
-    kind = pool.schema[id_col].dataType.simpleString()
-
-    def choose(pdf):
-        from tarnweave.operators._balance import balanced
-
-        return pdf.iloc[balanced(pdf, target)][["id"]]
-
-    return slim.withColumn("pool", F.lit(1)).groupBy("pool").applyInPandas(choose, f"id {kind}").withColumnRenamed("id", id_col)
+    """(id): ``target`` records of a pool, balanced over labels as ``selection`` says; texts aren't moved."""
+    slim = pool.select(F.col(id_col).alias("id"), "group", "problem", "coverage_score", "final_score")
+    labels = pool.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(label_pairs())).alias("p")).select("id", "p.field", "p.value")
+    return selection.balanced(slim, labels, target).withColumnRenamed("id", id_col)
 
 
 def manifest(recs: DataFrame, candidates: DataFrame, selected: DataFrame, id_col: str = "conv_id") -> DataFrame:
@@ -438,7 +426,21 @@ def chat_rows(recs: DataFrame, system_prompt: str) -> DataFrame:
 
 
 def structure_errors(recs: DataFrame, id_col: str = "conv_id", show: int = 20) -> DataFrame:
-    """(rows, bad, errors): how many rows aren't system, ..., assistant with three messages or more, and the first of them."""
+    """(rows, bad, errors): how many rows aren't system, ..., assistant with three messages or more, and the first ``show`` of them.
+
+    ``structure_problems`` has a row for each of them.
+    """
+    rows = _structure(recs, id_col)
+    first = rows.where("error is not null").orderBy("id").limit(show).agg(F.array_sort(F.collect_list(F.struct("id", "error"))).alias("errors"))
+    return rows.agg(F.count("*").alias("rows"), F.count("error").alias("bad")).join(F.broadcast(first))
+
+
+def structure_problems(recs: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """(id, error) of every row that isn't system, ..., assistant with three messages or more."""
+    return _structure(recs, id_col).where("error is not null")
+
+
+def _structure(recs: DataFrame, id_col: str) -> DataFrame:
     m = F.col("messages")
     problem = (
         F.when(F.coalesce(F.size(m), F.lit(0)) < 3, "too_few_messages").when(F.get(m, F.lit(0))["role"] != "system", "first_not_system")
@@ -446,6 +448,4 @@ def structure_errors(recs: DataFrame, id_col: str = "conv_id", show: int = 20) -
         .when(F.exists(m, lambda x: ~F.coalesce(x["role"].isin("system", "user", "assistant"), F.lit(False))), "invalid_role")
         .when(F.exists(m, lambda x: text.is_blank(x["content"])), "empty_content")
     )
-    rows = recs.select(F.col(id_col).alias("id"), problem.alias("error"))
-    first = rows.where("error is not null").orderBy("id").limit(show).agg(F.array_sort(F.collect_list(F.struct("id", "error"))).alias("errors"))
-    return rows.agg(F.count("*").alias("rows"), F.count("error").alias("bad")).join(F.broadcast(first))
+    return recs.select(F.col(id_col).alias("id"), problem.alias("error"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnweave.operators import curation
+from tarnweave.operators import curation, selection
 from tarnweave.plans.common import PROSE
 from tarnweave.session import table
 
@@ -69,8 +69,38 @@ def conv_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conv_curate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chain with a target of a tenth of the smallest corpus; selection is greedy and has no SQL."""
-    return curation.curate(table(spark, sf_dir, "conversations"), 10, 20, PROSE)
+    """The whole chain, 400 dialogues of 800 candidates; the selection is held against a plain version in the tests."""
+    return curation.curate(table(spark, sf_dir, "conversations"), 400, 800, PROSE)
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records with labels and scores: sources as groups, a quarter of high severity."""
+    c = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        c, F.col("source").alias("group"), F.col("lang").alias("problem"), F.concat(F.lit("c"), (c % 7).cast("string")).alias("cause"), F.concat(F.lit("f"), (c % 11).cast("string")).alias("support_focus"),
+        F.when(c % 4 == 0, "high").when(c % 4 == 1, "medium").otherwise("low").alias("severity"), F.array(F.concat(F.lit("s"), (c % 13).cast("string")), F.concat(F.lit("s"), (c % 17).cast("string"))).alias("strategy_path"),
+        (c % 20).cast("double").alias("coverage_score"), ((c * 37 % 1_000) / 10).alias("final_score"),
+    )
+
+
+def conv_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotas of the sources for a target of 400."""
+    by = F.struct((-F.col("final_score")).alias("f"), "doc_id")
+    strata = _labelled(spark, sf_dir).groupBy(F.col("group").alias("stratum")).agg(F.count("*").alias("n"), F.min(by).alias("at"))
+    return selection.quotas(strata, int(400 * selection.KEPT_SHARE))
+
+
+def conv_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Caps of the labels for a target of 400."""
+    pairs = _labelled(spark, sf_dir).select(F.explode(curation.label_pairs()).alias("p")).select("p.field", "p.value")
+    caps = selection.label_caps(pairs, 400)
+    part = lambda k: F.element_at(F.split("key", "\x1f"), k)
+    return caps.select(part(1).alias("field"), part(2).alias("value"), "cap")
+
+
+def conv_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """400 documents of the best 2,000, balanced over labels."""
+    return curation.select_balanced(curation.top_pool(_labelled(spark, sf_dir), 2_000, id_col="doc_id"), 400, "doc_id")
 
 
 def conv_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +112,7 @@ def conv_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.structure_errors(curation.chat_rows(_records(spark, sf_dir), "Be kind.")).select("rows", "bad", F.to_json("errors").alias("errors"))
 
 
-QUERIES = {f.__name__: f for f in (conv_records, conv_metrics, conv_labels, conv_reject_reason, conv_reject_counts, conv_label_counts, conv_distribution, conv_percentiles, conv_scores, conv_duplicates, conv_curate, conv_chat, conv_structure)}
+QUERIES = {f.__name__: f for f in (conv_records, conv_metrics, conv_labels, conv_reject_reason, conv_reject_counts, conv_label_counts, conv_distribution, conv_percentiles, conv_scores, conv_duplicates, conv_curate, conv_quotas, conv_caps, conv_select, conv_chat, conv_structure)}
 
 _CLEAN = r"""trim(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), ' ' || chr(9) || chr(10))"""
 _EMAIL = r"regexp_replace(regexp_replace({}, '(?i)https?://\S+|www\.\S+', '[URL]', 'g'), '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}', '[EMAIL]', 'g')"
@@ -138,6 +168,19 @@ PAIRS = """
 _METRIC_NAMES = "conv_id, turn_count, assistant_turns, user_turns, characters, estimated_tokens, assistant_mean_chars, low_information_ratio, repeated_assistant_ratio, high_risk_user, safety_adequate, high_risk_immediate_safety, flags"
 
 ORACLE = {
+    "conv_quotas": """
+        WITH s AS (SELECT source AS stratum, count(*) AS n, -max((doc_id * 37 % 1000) * 100000000 - doc_id) AS top FROM documents GROUP BY source),
+        w AS (SELECT stratum, top, greatest(1, CAST(round_even(n / (SELECT sum(n) FROM s) * 240, 0) AS BIGINT)) AS want FROM s),
+        v AS (SELECT coalesce(max(k), 1) AS level FROM range(1, 241) t(k) WHERE (SELECT sum(least(want, k)) FROM w) <= 240),
+        r AS (SELECT *, row_number() OVER (PARTITION BY want > level ORDER BY top DESC) AS late, greatest(0, 240 - sum(least(want, level)) OVER ()) AS spare FROM w, v)
+        SELECT stratum, CAST(CASE WHEN (SELECT sum(want) FROM w) <= 240 THEN want ELSE least(want, level) + CASE WHEN want > level AND late <= spare THEN 1 ELSE 0 END END AS BIGINT) AS quota FROM r
+    """,
+    "conv_caps": """
+        WITH p AS (SELECT 'group' AS field, source AS value FROM documents UNION SELECT 'problem', lang FROM documents UNION SELECT 'cause', 'c' || doc_id % 7 FROM documents
+                   UNION SELECT 'support_focus', 'f' || doc_id % 11 FROM documents UNION SELECT 'strategy', 's' || doc_id % 13 FROM documents UNION SELECT 'strategy', 's' || doc_id % 17 FROM documents),
+        n AS (SELECT *, count(*) OVER (PARTITION BY field) AS n FROM p)
+        SELECT field, value, CAST(greatest(3, ceil(400 / n * 1.8::DOUBLE)) AS BIGINT) AS cap FROM n WHERE n >= 3 UNION ALL SELECT 'severity', 'high', 48
+    """,
     "conv_records": f"""WITH {RECORDS} SELECT stats.conv_id, CAST(count(run) AS INT) AS n_messages, coalesce(string_agg(role, ',' ORDER BY run), '') AS roles, sha256(coalesce(string_agg(content, chr(10) ORDER BY run), '')) AS digest,
         empty_raw_messages, unknown_role_messages, source_system_messages FROM stats LEFT JOIN msgs ON stats.conv_id = msgs.conv_id GROUP BY ALL""",
     "conv_metrics": f"WITH {METRICS} SELECT {_METRIC_NAMES} FROM met",

@@ -109,7 +109,8 @@ def flatten_metrics(rows: DataFrame, column: str = "summary") -> DataFrame:
     return rows.select(F.explode(F.from_json(column, "map<string,string>")).alias("metric", "value"))
 
 
-def markdown_table(rows: DataFrame, columns: Sequence[str], limit: int = 200) -> str:
-    """A report of a few aggregated rows as a Markdown table."""
-    body = ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.select(*columns).limit(limit).collect()]
+def markdown_table(rows: DataFrame, columns: Sequence[str], limit: int | None = None) -> str:
+    """A report of a few aggregated rows as a Markdown table; the first ``limit`` of them where one is given."""
+    shown = rows.select(*columns) if limit is None else rows.select(*columns).limit(limit)
+    body = ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in shown.toLocalIterator()]
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *body])
