@@ -726,6 +726,15 @@ def test_no_python_in_native_operators(spark):
         assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_items_without_id_count(spark):
+    """Items without an id count as one item, as in the query's SQL, and are no part of the digest."""
+    docs = table(spark, ["one two three", "four five", "six"])
+    bench = spark.createDataFrame([("a", "one two"), (None, "two three"), (None, "one two three"), (None, "five")], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontaminate.contamination(docs, bench).collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {0: (3, 2, digest("a")), 1: (1, 1, digest("")), 2: (0, 0, digest(""))}
+
+
 def test_null_ids_are_kept_apart(spark):
     docs = table(spark, ["a b c", None], [None, None])
     assert linededup.summarise(docs).count() == 2
