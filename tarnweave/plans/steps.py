@@ -9,7 +9,7 @@ from tarnweave.functions import classify, numbers, text
 from tarnweave.operators import evaluation, retrieval, review, sessions
 from tarnweave.plans import common
 from tarnweave.session import scratch_path, table
-from tarnweave.sources import files, plugins, sinks
+from tarnweave.sources import files, json_arrays, plugins, sinks
 
 QUERIES, ORACLE = {}, {}
 
@@ -37,13 +37,30 @@ def file_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.jsonl(spark, path, "doc_id long, text string, lang string").select("doc_id", "lang", text.sha256(F.col("text")).alias("digest"))
 
 
-@query("SELECT n_nationkey, n_name FROM nation")
+@query("SELECT doc_id, lang, sha256(coalesce(text, '')) AS digest FROM documents")
 def file_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as one JSON array in a file, read record by record."""
+    """Documents as JSON arrays, one a file, read in blocks of a quarter of a megabyte; some records and strings span them."""
     path = scratch_path(spark, "json-array")
-    listed = table(spark, sf_dir, "nation").agg(F.to_json(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))).alias("value"))
-    listed.write.text(path)
-    return files.json_records(spark, path, "n_nationkey int, n_name string").select("n_nationkey", "n_name")
+    docs = table(spark, sf_dir, "documents")
+    lists = docs.groupBy(F.pmod("doc_id", F.lit(1 + docs.count() // 2_000)).alias("k")).agg(F.to_json(F.collect_list(F.struct("doc_id", "lang", "text"))).alias("value"))
+    lists.select("value").repartition(F.col("value")).write.option("maxRecordsPerFile", 1).text(path)
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(1 << 18))
+    try:
+        rows = json_arrays.json_records(spark, path, "doc_id long, lang string, text string")
+    finally:
+        spark.conf.set(name, before)
+    return rows.select("doc_id", "lang", text.sha256(F.col("text")).alias("digest"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def file_json_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as one JSON object of records, read record by record."""
+    path = scratch_path(spark, "json-object")
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("nation, "), "n_nationkey"), F.struct("n_nationkey", "n_name")))))
+    table(spark, sf_dir, "nation").agg(F.to_json(entries).alias("value")).write.text(path)
+    return json_arrays.json_records(spark, path, "n_nationkey int, n_name string").select("n_nationkey", "n_name")
 
 
 @query("SELECT c_custkey, c_name, length(c_name) > 10 AS cut FROM customer")

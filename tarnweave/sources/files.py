@@ -36,19 +36,6 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFra
     return spark.read.schema(schema).json(path)
 
 
-def json_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """The records of files that hold one JSON array, or one object of records; the raw JSON of each is kept as ``_raw``.
-
-    Such a file can't be split, so it is one task; large corpora should come as lines.
-    """
-    whole = spark.read.text(path, wholetext=True).select(text.strip(F.replace("value", F.lit("﻿"), F.lit(""))).alias("v"))
-    listed = F.from_json("v", "array<string>")
-    mapped = F.map_values(F.from_json("v", "map<string,string>"))
-    rows = whole.select(F.posexplode(F.when(F.col("v").startswith("["), listed).otherwise(mapped)).alias("place", "_raw"))
-    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    return rows.select("place", "_raw", F.from_json("_raw", kind).alias("r")).select("place", "_raw", "r.*")
-
-
 def text_items(spark: SparkSession, path: str, keys: Sequence[str] = ("text", "content", "input", "output", "question", "answer", "query"), least: int = 20) -> DataFrame:
     """(path, line, text): values of the given keys at any depth of JSON, and blocks between empty lines of other texts."""
     wanted = frozenset(keys)

@@ -66,7 +66,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for key, _, values in _runs(batches):
         data = b",".join(values) + b","
         state = seen.setdefault(key, [b"", 0, 0, 0, _NEVER, _NEVER])
-        state[0] = state[0] or data.lstrip(b"\xef\xbb\xbf \t\r\n")[:1]
+        state[0] = state[0] or data[:-1].lstrip(b"\xef\xbb\xbf \t\r\n")[:1]
         flips = 0
         for k in (0, 1):
             opened, depth = _structure(data, bool((k + state[1]) % 2))

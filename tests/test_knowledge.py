@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnweave.functions import text
 from tarnweave.operators import knowledge, leakage
-from tarnweave.sources import files
+from tarnweave.sources import files, json_arrays
 
 
 def test_clean_documents(spark):
@@ -96,7 +96,7 @@ def test_unsafe_zip(spark, tmp_path):
 def test_json_scans(spark, tmp_path):
     (tmp_path / "list.json").write_text('﻿[{"a": 1}, {"a": 2}]')
     (tmp_path / "map.json").write_text('{"x": {"a": 3}}')
-    assert sorted(r["a"] for r in files.json_records(spark, str(tmp_path), "a int").collect()) == [1, 2, 3]
+    assert sorted(r["a"] for r in json_arrays.json_records(spark, str(tmp_path), "a int").collect()) == [1, 2, 3]
     assert files.jsonl(spark, str(tmp_path / "none"), "a int").count() == 0
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "x.json").write_text(json.dumps({"q": [{"text": "a text of twenty signs or more"}], "text": "short"}))
