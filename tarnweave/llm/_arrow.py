@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame
 
 #: Text bytes that one numpy step works on at most; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -17,9 +18,22 @@ BLOCK_BYTES = 1 << 20
 BATCH_ROWS = 1_000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Send texts to Python in batches of ``BATCH_ROWS``: each batch is held several times over, by the JVM and by Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` in a session of its own that sends ``BATCH_ROWS`` texts at once to Python, for each batch is held several times over.
+
+    All other settings are the caller's, whose own session stays as it is.
+    """
+    spark, name = df.sparkSession, f"texts_{uuid.uuid4().hex}"
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.createGlobalTempView(name)
+    try:
+        return own.table(f"{own.conf.get('spark.sql.globalTempDatabase')}.{name}")
+    finally:
+        spark.catalog.dropGlobalTempView(name)
 
 
 def release() -> None:

@@ -44,3 +44,22 @@ def test_columns_and_empty(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(5), SF).columns == docs.columns, name
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_odd_rows_and_settings(spark):
+    """Nulls, empty and very long texts, repeats and clashing names pass every stage; the caller's settings stay."""
+    prose = " ".join(f"word{i % 97} and{i % 31}" for i in range(40))
+    texts = [None, "", " \n ", prose, prose, prose + " more", "one\ntwo\none", "x" * 300_000, "\n".join(f"line {i} of a long text" for i in range(20_000)), "é" * 50]
+    rows = [(i if i != 3 else None, t, "en", "s", None if t is None else len(t), "a", 1, "w") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[4], rows[0]], "doc_id long, text string, lang string, source string, n_chars long, id string, h int, words string")
+    before = dict(spark.conf.getAll)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert [c for c in out.columns if c not in ("ids", "decodes", "n_tokens")] == [c for c in docs.columns if c in out.columns], name
+        found = out.collect()
+        assert len(found) <= 12 and {r["doc_id"] for r in found} <= {r[0] for r in rows}, name
+        if name in ("decontamination", "tokens"):
+            assert len(found) == 12, name
+        if name == "near_duplicates":
+            assert sum(r["doc_id"] == 4 for r in found) <= 1 and {r["doc_id"] for r in found} >= {7, 8}
+    assert {k: v for k, v in dict(spark.conf.getAll).items() if k != "spark.checkpoint.dir"} == {k: v for k, v in before.items() if k != "spark.checkpoint.dir"}
