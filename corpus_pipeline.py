@@ -33,8 +33,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    return quality.keep_selected(docs, table(spark, sf_dir, "labels"))
+    docs = small_batches(docs)
+    return quality.keep_selected(docs, table(docs.sparkSession, sf_dir, "labels"))
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,7 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    return simhash.keep_one(docs)
+    return simhash.keep_one(small_batches(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +54,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    return bpe.tokenise(docs, vocabulary()).drop("text")
+    return bpe.tokenise(small_batches(docs), vocabulary()).drop("text")
 
 
 STAGES: list[tuple[str, Stage]] = [
