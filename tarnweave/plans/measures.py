@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnweave.operators import evaluation, retrieval, sessions
 from tarnweave.session import scratch_path, settle, table
-from tarnweave.streaming import ordered, stateful
+from tarnweave.streaming import keyed, ordered, stateful
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -183,16 +183,18 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts per type and hour, kept by an idempotent sink in update mode."""
     out = scratch_path(spark, "tumbling")
     counts = stateful.tumbling_counts(_stream(spark, sf_dir), ["event_type"], width="1 hour")
-    stateful.run_available(counts, f"{out}-check", "update", stateful.upsert_sink(out, "event_type"))
-    return stateful.latest(spark, out, ["event_type", "start"])
+    kept = keyed.KeyedTable(out, ("event_type", "start"))
+    stateful.run_available(counts, f"{out}-check", "update", keyed.keyed_sink(kept))
+    return kept.read(spark)
 
 
 def stream_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of each user by a stateful aggregate in update mode."""
     out = scratch_path(spark, "memory")
     rows = _stream(spark, sf_dir).select("user_id", F.struct("ts", "event_id").alias("at"), "event_id", "event_type")
-    stateful.run_available(stateful.last_by_key(rows, ["user_id"], "at"), f"{out}-check", "update", stateful.upsert_sink(out, "user_id"))
-    return stateful.latest(spark, out, ["user_id"]).select("user_id", "event_id", "event_type")
+    kept = keyed.KeyedTable(out, ("user_id",))
+    stateful.run_available(stateful.last_by_key(rows, ["user_id"], "at"), f"{out}-check", "update", keyed.keyed_sink(kept))
+    return kept.read(spark).select("user_id", "event_id", "event_type")
 
 
 def _clock(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
@@ -213,7 +215,7 @@ def _through(spark: SparkSession, sf_dir: str, name: str, make: Callable[[DataFr
         if last:
             _tick(spark, sf_dir, out)
         rows = make(_stream(spark, sf_dir), _clock(spark, sf_dir, out))
-        where = {"sink": stateful.upsert_sink(out, key)} if key else {"path": out}
+        where = {"sink": keyed.keyed_sink(keyed.KeyedTable(out, (key,)))} if key else {"path": out}
         stateful.run_available(rows, f"{out}-check", mode, large_state=True, **where)
     return out
 
@@ -230,6 +232,20 @@ def stream_limiter_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("event_id", F.col("user_id").cast("long").alias("user_id"), "n", "allowed", "retry_after", "late")
 
 
+def stream_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in six batches, one of them twice: the last order of each customer and the count of each status under one epoch."""
+    out = scratch_path(spark, "keyed")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
+    own = lambda name, key, order: keyed.KeyedTable(f"{out}/{name}", key, order, buckets=4, merge_every=2, commits=f"{out}/commits")
+    last, seen = own("last", ("o_custkey",), "o_orderkey"), own("seen", ("o_orderstatus", "part"), None)
+    step = lambda b: b.groupBy("o_orderstatus", (F.col("o_orderkey") % 6).alias("part")).agg(F.count("*").alias("n"))
+    take = keyed.joint_sink({"last": (last, lambda b: b), "seen": (seen, step)})
+    for epoch in (0, 1, 2, 1, 3, 4, 0, 5):
+        take(rows.where(F.col("o_orderkey") % 6 == epoch), epoch)
+    counts = seen.read(spark).groupBy("o_orderstatus").agg(F.sum("n").alias("of_status"))
+    return last.read(spark).join(counts, "o_orderstatus").select("o_custkey", "o_orderkey", "o_orderstatus", "of_status")
+
+
 def stream_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a user and type while the watermark holds the key."""
     out = scratch_path(spark, "first")
@@ -244,14 +260,14 @@ def stream_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(kind == "signup", "queued").when(kind == "click", "validating").when(kind == "view", "processing").when(kind == "purchase", "completed").otherwise("cancelled")
     jobs = lambda rows: rows.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 != 0, "validating").otherwise(status).alias("status"), F.floor("value").alias("progress"), "ts")
     out = _through(spark, sf_dir, "jobs", lambda rows, clock: ordered.job_machine(jobs(rows), timeout=43_200, keep=5_000_000, clock=clock), "update", "job_id")
-    return stateful.latest(spark, out, ["job_id"]).select(F.col("job_id").cast("long").alias("job_id"), "status", "progress", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+    return keyed.KeyedTable(out, ("job_id",)).read(spark).select(F.col("job_id").cast("long").alias("job_id"), "status", "progress", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         eval_retrieval, eval_classification, eval_confusion, eval_labels, eval_safety, eval_safety_misses, eval_latency, eval_scores, eval_delta, eval_macro, eval_digest, sess_recent, sess_sequence, sess_summary, sess_empty, sess_page,
-        sess_budget, sess_limits, sess_memory, sess_jobs, sess_lifecycle, sess_upsert, sess_rolling, stream_tumbling, stream_memory, stream_limiter, stream_limiter_daily, stream_first, stream_jobs,
+        sess_budget, sess_limits, sess_memory, sess_jobs, sess_lifecycle, sess_upsert, sess_rolling, stream_tumbling, stream_memory, stream_limiter, stream_limiter_daily, stream_keyed, stream_first, stream_jobs,
     )
 }
 
@@ -312,6 +328,8 @@ ORACLE = {
     "stream_tumbling": "SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY ALL",
     "stream_memory": "SELECT user_id, last(event_id ORDER BY ts, event_id) AS event_id, last(event_type ORDER BY ts, event_id) AS event_type FROM events GROUP BY user_id",
     "stream_limiter": "SELECT event_type, event_id, n, n <= 2 AS allowed FROM (SELECT *, row_number() OVER (PARTITION BY event_type, date_trunc('minute', ts) ORDER BY ts, event_id) AS n FROM events)",
+    "stream_keyed": """WITH l AS (SELECT o_custkey, arg_max(o_orderkey, o_orderkey % 6 * 1000000000000 + o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey)
+        SELECT l.o_custkey, l.o_orderkey, o.o_orderstatus, (SELECT count(*) FROM orders x WHERE x.o_orderstatus = o.o_orderstatus) AS of_status FROM l JOIN orders o ON l.o_orderkey = o.o_orderkey""",
     "stream_limiter_daily": """SELECT event_id, user_id, n, n <= 2 AS allowed, CASE WHEN n <= 2 THEN 0 ELSE 86400 - CAST(epoch(date_trunc('second', ts)) AS BIGINT) % 86400 END AS retry_after, false AS late
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, date_trunc('day', ts) ORDER BY ts, event_id) AS n FROM events)""",
     "stream_jobs": """

@@ -1,8 +1,8 @@
-"""Streams: counters, deduplication, keyed state and upserts as Structured Streaming plans.
+"""Streams: counters, deduplication and keyed state as Structured Streaming plans.
 
-State is bounded by watermarks; every sink that isn't append-only is idempotent
-by key, so a batch that is run again changes nothing. Limiters and job machines,
-which need a key's events in order, are in ``ordered``.
+State is bounded by watermarks. Limiters and job machines, which need a key's
+events in order, are in ``ordered``; sinks of one row a key, for which a batch that
+is run again changes nothing, in ``keyed``.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnweave.streaming.ordered import LATENESS, STATE_STORE
@@ -56,34 +56,6 @@ def memory_upserts(rows: DataFrame, key: Sequence[str] = ("session_id", "key"))
     return rows.groupBy(*key).agg(F.max_by("value", "updated_at").alias("value"), F.max("confidence").alias("confidence"), F.bool_or("confirmed").alias("confirmed"))
 
 
-def upsert_sink(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that keeps one row a key: each batch is a folder of its own, written again if the batch is.
-
-    ``latest`` reads the newest row of each key.
-    """
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
-
-    return write
-
-
-def latest(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
-    rows = spark.read.parquet(path).drop("batch")
-    names = [c for c in rows.columns if c not in key]
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*names), "epoch").alias("r")).select(*key, "r.*").drop("epoch")
-
-
-def turn_ingestion(paths: dict[str, str], steps: dict[str, Callable[[DataFrame], DataFrame]]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink with several keyed outputs of one batch, each idempotent by its epoch's folder."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        for name, step in steps.items():
-            step(batch).write.mode("overwrite").parquet(f"{paths[name]}/batch={epoch}")
-
-    return write
-
-
 def run_available(stream: DataFrame, checkpoint: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None, path: str | None = None, large_state: bool = False, **options: Any) -> None:
     """Take all that is there now, then stop: the form of queue workers, clean-up loops and batched embedding.
 

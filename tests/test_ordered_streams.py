@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tarnweave.streaming import ordered, stateful
+from tarnweave.streaming import keyed, ordered, stateful
 
 DAY = dt.datetime(2024, 5, 1)
 
@@ -42,9 +42,9 @@ class Feed:
         rows = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).parquet(f"{self.root}/in")
         clock = self.spark.readStream.schema("ts timestamp").parquet(f"{self.root}/clock")
         out = f"{self.root}/out"
-        where = {"sink": stateful.upsert_sink(out, key)} if key else {"path": out}
+        where = {"sink": keyed.KeyedTable(out, (key,), buckets=2).write} if key else {"path": out}
         stateful.run_available(make(rows, clock), f"{self.root}/{check}", mode, large_state=True, **where)
-        return stateful.latest(self.spark, out, [key]).collect() if key else self.spark.read.parquet(out).collect()
+        return keyed.KeyedTable(out, (key,), buckets=2).read(self.spark).collect() if key else self.spark.read.parquet(out).collect()
 
 
 def test_limiter_in_ten_shuffled_files(spark, tmp_path):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarnweave.functions import classify
 from tarnweave.operators import evaluation, retrieval, review, sessions
 from tarnweave.sources import plugins, sinks
-from tarnweave.streaming import stateful
+from tarnweave.streaming import keyed, stateful
 
 
 def test_bm25_against_plain(spark):
@@ -174,8 +174,8 @@ def test_stream_restart_is_idempotent(spark, tmp_path):
     for i, v in enumerate("ab"):
         row(v, i).write.mode("append").parquet(src)
         stream = stateful.memory_upserts(spark.readStream.schema(schema).parquet(src))
-        stateful.run_available(stream, check, "update", stateful.upsert_sink(out, "session_id"))
-    assert [r["value"] for r in stateful.latest(spark, out, ["session_id", "key"]).collect()] == ["b"]
+        stateful.run_available(stream, check, "update", keyed.KeyedTable(out, ("session_id", "key")).write)
+    assert [r["value"] for r in keyed.KeyedTable(out, ("session_id", "key")).read(spark).collect()] == ["b"]
 
 
 def test_empty_tables(spark):
