@@ -292,13 +292,12 @@ def duplicates(recs: DataFrame, id_col: str = "conv_id") -> DataFrame:
     near = both.join(kept.select(F.col("node").alias("b"), F.col("at").alias("other")), "b").join(nodes.select(F.col("node").alias("a"), "at"), "a").where("other < at")
     band = F.least(*(F.when(F.shiftright(F.col("a").bitwiseXOR(F.col("b")), 8 * i).bitwiseAND(F.lit(255)) == 0, i).otherwise(9) for i in range(4)))
     close = near.groupBy(F.col("a").alias("fp")).agg(F.min(F.struct(band.alias("band"), "other")).alias("m")).select("fp", F.col("m.other").alias("close_to"))
-    first_of = lambda key, name: rows.groupBy(key).agg(F.min("id").alias(name))
-    found = rows.join(first_of("exact_hash", "exact"), "exact_hash").join(first_of("normalized_hash", "same"), "normalized_hash").join(first_of("fp", "first"), "fp").join(broadcast_if_small(settle(close, "close-records"), 32), "fp", "left")
-    # a fingerprint with a kept neighbour loses all its records to that one
+    # of a fingerprint without a kept neighbour the first record is kept, and it alone: the others repeat it in one way or another
+    first = rows.groupBy("fp").agg(F.min_by(F.struct("id", "exact_hash", "normalized_hash"), "id").alias("first"))
+    found = rows.join(settle(first, "first-records"), "fp").join(broadcast_if_small(settle(close, "close-records"), 32), "fp", "left")
+    how = F.when(F.col("first.exact_hash") == F.col("exact_hash"), "exact_hash").when(F.col("first.normalized_hash") == F.col("normalized_hash"), "normalized_hash").otherwise("fingerprint")
     target = F.when(F.col("close_to").isNotNull(), F.struct(F.col("close_to").alias("of"), F.lit("fingerprint").alias("method")))
-    target = target.when(F.col("exact") < F.col("id"), F.struct(F.col("exact").alias("of"), F.lit("exact_hash").alias("method")))
-    target = target.when(F.col("same") < F.col("id"), F.struct(F.col("same").alias("of"), F.lit("normalized_hash").alias("method")))
-    target = target.when(F.col("first") < F.col("id"), F.struct(F.col("first").alias("of"), F.lit("fingerprint").alias("method")))
+    target = target.when(F.col("first.id") < F.col("id"), F.struct(F.col("first.id").alias("of"), how.alias("method")))
     return found.select("id", target.alias("t")).where(F.col("t").isNotNull()).select(F.col("id").alias(id_col), F.col("t.of").alias("duplicate_of"), F.col("t.method").alias("method"))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tarnweave.operators import curation, selection
 from tarnweave.plans.common import PROSE
-from tarnweave.session import table
+from tarnweave.session import scratch_path, table
+from tarnweave.streaming import duplicates as stream
 
 _P = PROSE
 
@@ -68,6 +69,16 @@ def conv_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.duplicates(curation.with_hashes(docs))
 
 
+def stream_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream: documents in three batches, the second one twice (held against ``conv_duplicates`` in the tests)."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), F.array(F.struct(F.lit("user").alias("role"), F.coalesce("text", F.lit("")).alias("content"))).alias("messages"))
+    end, path = docs.agg(F.max("conv_id")).first()[0] or 0, scratch_path(spark, "duplicates")
+    take = stream.duplicates_sink(path)
+    for epoch in (0, 1, 1, 2):
+        take(docs.where((F.col("conv_id") * 3 >= epoch * (end + 1)) & (F.col("conv_id") * 3 < (epoch + 1) * (end + 1))), epoch)
+    return stream.tables(path)[1].read(spark)
+
+
 def conv_curate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain, 400 dialogues of 800 candidates; the selection is held against a plain version in the tests."""
     return curation.curate(table(spark, sf_dir, "conversations"), 400, 800, PROSE)
@@ -112,7 +123,7 @@ def conv_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.structure_errors(curation.chat_rows(_records(spark, sf_dir), "Be kind.")).select("rows", "bad", F.to_json("errors").alias("errors"))
 
 
-QUERIES = {f.__name__: f for f in (conv_records, conv_metrics, conv_labels, conv_reject_reason, conv_reject_counts, conv_label_counts, conv_distribution, conv_percentiles, conv_scores, conv_duplicates, conv_curate, conv_quotas, conv_caps, conv_select, conv_chat, conv_structure)}
+QUERIES = {f.__name__: f for f in (conv_records, stream_duplicates, conv_metrics, conv_labels, conv_reject_reason, conv_reject_counts, conv_label_counts, conv_distribution, conv_percentiles, conv_scores, conv_duplicates, conv_curate, conv_quotas, conv_caps, conv_select, conv_chat, conv_structure)}
 
 _CLEAN = r"""trim(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), ' ' || chr(9) || chr(10))"""
 _EMAIL = r"regexp_replace(regexp_replace({}, '(?i)https?://\S+|www\.\S+', '[URL]', 'g'), '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}', '[EMAIL]', 'g')"

@@ -5,7 +5,8 @@ from pathlib import Path
 
 import pytest
 
-from tarnweave.streaming import keyed
+from tarnweave.operators import curation
+from tarnweave.streaming import duplicates, keyed
 
 ROWS = "k string, v long, at long"
 
@@ -63,3 +64,20 @@ def test_a_batch_counts_for_all_tables_or_none(spark, tmp_path):
     broken[0] = False
     take(spark.createDataFrame([("x", 2, 0)], ROWS), 1)
     assert values() == [2, 2]
+
+
+@pytest.mark.parametrize("cuts", [(0, 40), (0, 7, 8, 23, 40)])
+def test_duplicates_in_any_split(spark, tmp_path, cuts):
+    rng = random.Random(9)
+    base = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "rho"]) + str(rng.randrange(9)) for _ in range(40)) for _ in range(6)]
+    said = [rng.choice([b, b.upper(), b + "!", b.replace("alpha1", "alpha2", 1), b[:-1]]) for b in (rng.choice(base) for _ in range(40))]
+    recs = spark.createDataFrame([(i, [("user", t)]) for i, t in enumerate(said)], "conv_id long, messages array<struct<role string, content string>>")
+    whole = {(r["conv_id"], r["duplicate_of"], r["method"]) for r in curation.duplicates(curation.with_hashes(recs)).collect()}
+    take = duplicates.duplicates_sink(str(tmp_path / "d"))
+    for epoch, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        take(recs.where(f"conv_id >= {a} and conv_id < {b}"), epoch)
+        if epoch == 2:
+            take(recs.where(f"conv_id >= {a} and conv_id < {b}"), epoch)  # once more
+    kept, told = duplicates.tables(str(tmp_path / "d"))
+    assert {(r["conv_id"], r["duplicate_of"], r["method"]) for r in told.read(spark).collect()} == whole and len(whole) > 20
+    assert kept.read(spark).count() == 40 - len(whole)
