@@ -10,7 +10,7 @@ go to the smaller chunk id; empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,6 +23,8 @@ from tarnweave.functions import numbers, text
 from tarnweave.session import broadcast_if_small, settle
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Pairs of a query's word and a posting that are added up without bounds.
+FEW_POSTINGS = 50_000_000
 
 
 # --- the lexical index ------------------------------------------------------
@@ -30,13 +32,17 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass
 class LexicalIndex:
-    """postings (term, doc_id, tf), docs (doc_id, dl) and terms (term, df, idf), with the mean length."""
+    """postings (term, doc_id, tf), docs (doc_id, dl) and terms (term, df, idf, most), with the mean and the least length.
+
+    ``most`` is a term's largest tf, which bounds what a text can gain by it.
+    """
 
     postings: DataFrame
     docs: DataFrame
     terms: DataFrame
     n_docs: int
     mean_length: float
+    least_length: int
 
 
 def build_index(chunks: DataFrame, id_col: str = "chunk_id", body: str = "content") -> LexicalIndex:
@@ -48,14 +54,14 @@ def build_index(chunks: DataFrame, id_col: str = "chunk_id", body: str = "conten
 
 
 def _with_terms(postings: DataFrame, docs: DataFrame) -> LexicalIndex:
-    n, mean = docs.agg(F.count("*"), F.avg("dl")).first()
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    n, mean, least = docs.agg(F.count("*"), F.avg("dl"), F.min("dl")).first()
+    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("most"))
     raw = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     terms = settle(df.withColumn("raw", raw), "index-terms")
     mean_idf = terms.agg(F.avg("raw")).first()[0] or 0.0
     # a word of more than half of the texts weighs a share of the mean, not less than nothing
     idf = F.when(F.col("raw") < 0, F.lit(EPSILON * mean_idf)).otherwise(F.col("raw"))
-    return LexicalIndex(postings, docs, terms.select("term", "df", idf.alias("idf")), n, mean or 0.0)
+    return LexicalIndex(postings, docs, terms.select("term", "df", "most", idf.alias("idf")), n, mean or 0.0, least or 0)
 
 
 def save_index(index: LexicalIndex, path: str) -> dict:
@@ -74,23 +80,59 @@ def index_healthy(spark: SparkSession, path: str, expected: int) -> tuple[bool,
     return (True, "ok") if n == expected else (False, f"expected {expected} documents, found {n}")
 
 
-def bm25(index: LexicalIndex, queries: DataFrame, k: int = 5, id_col: str = "query_id", query: str = "query") -> DataFrame:
+def bm25(index: LexicalIndex, queries: DataFrame, k: int = 5, id_col: str = "query_id", query: str = "query", seeds: int = 64, few: int = FEW_POSTINGS) -> DataFrame:
     """(query_id, doc_id, raw_score, score, rank): the k best of each query; score is the share of the query's best.
 
     Where no score of a query is above zero, the number of its words that a
     text has counts instead.
+
+    Up to ``few`` pairs of a query's word and a posting are simply added up. Beyond that,
+    postings of common words are met by few texts only: a query's rarest words (those
+    that ``seeds`` times k postings reach) give k texts and with them a score that
+    the k best have at least. Words that couldn't make up that score together, whatever the
+    text, bring in no text by themselves: they are looked up for the texts that the
+    other words bring in and that they could still lift to that score. The rows are those of a full search.
     """
     asked = queries.select(F.col(id_col).alias("query_id"), F.explode(text.lexical_tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    asked = settle(asked.join(index.terms, "term"), "query-terms")
-    hits = index.postings.join(broadcast_if_small(asked, 96), "term").join(index.docs, "doc_id")
-    length = F.lit(1 - B) + F.lit(B / max(index.mean_length, 1e-9)) * F.col("dl")
-    gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
-    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), 9).alias("bm25"), F.count("*").alias("overlap"))
+    relative = lambda dl: F.lit(1 - B) + F.lit(B / max(index.mean_length, 1e-9)) * dl
+    saturated = lambda tf, dl: tf * (K1 + 1) / (tf + K1 * relative(dl))
+    asked = asked.join(index.terms, "term").withColumn("weight", F.col("qtf") * F.col("idf"))
+    asked = asked.withColumn("bound", F.col("weight") * saturated(F.col("most"), F.lit(index.least_length)))
+    rising = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    asked = settle(asked.withColumn("seed", F.coalesce(F.sum("df").over(rising), F.lit(0)) < seeds * k), "query-terms")
+    gain = F.sum(F.col("weight") * saturated(F.col("tf"), F.col("dl")))
+
+    def found(terms: DataFrame) -> DataFrame:
+        hits = index.postings.join(broadcast_if_small(terms.select("query_id", "term", "weight"), 96), "term").join(index.docs, "doc_id")
+        return hits.groupBy("query_id", "doc_id").agg(gain.alias("gain"), F.count("*").alias("overlap"))
+
+    met = asked.agg(F.sum("df")).first()[0] or 0
+    scored = _added(found(asked)) if met <= few else _added(_pruned(index, asked, found, gain, k))
     flat = F.max("bm25").over(Window.partitionBy("query_id")) <= 0
     scored = scored.withColumn("raw_score", F.when(flat, F.col("overlap").cast("double")).otherwise(F.col("bm25")))
     return top_k(scored.where("raw_score > 0"), "raw_score", k).select("query_id", "doc_id", "raw_score", share_of_best("raw_score").alias("score"), "rank")
 
 
+def _added(gains: DataFrame) -> DataFrame:
+    return gains.groupBy("query_id", "doc_id").agg(F.round(F.sum("gain"), 9).alias("bm25"), F.sum("overlap").alias("overlap"))
+
+
+def _pruned(index: LexicalIndex, asked: DataFrame, found: Callable[[DataFrame], DataFrame], gain: Column, k: int) -> DataFrame:
+    """(query_id, doc_id, gain, overlap), to be added up, of all texts that may be among a query's k best."""
+    # a score of k texts by some of the words; no lower limit where a word may weigh less than nothing
+    least = top_k(found(asked.where("seed")), "gain", k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("gain")).alias("least"))
+    free = asked.groupBy("query_id").agg((F.min("weight") >= 0).alias("free"))
+    limits = free.join(least, "query_id", "left").select("query_id", F.when(F.col("free"), F.col("least") - 1e-6).alias("least"))
+    upward = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    asked = asked.join(limits, "query_id").withColumn("late", F.coalesce(F.sum("bound").over(upward) < F.col("least"), F.lit(False)))
+    asked = settle(asked.withColumn("rest", F.sum(F.when(F.col("late"), F.col("bound")).otherwise(0.0)).over(Window.partitionBy("query_id"))), "query-terms")
+    near = found(asked.where("not late")).join(asked.select("query_id", "least", "rest").distinct(), "query_id")
+    near = settle(near.where(F.col("least").isNull() | (F.col("gain") + F.col("rest") >= F.col("least"))).select("query_id", "doc_id", "gain", "overlap"), "near-texts")
+    wanted = settle(near.select("query_id", "doc_id").join(asked.where("late").select("query_id", "term", "weight"), "query_id"), "late-words")
+    more = index.postings.join(broadcast_if_small(wanted, 96), ["term", "doc_id"]).join(index.docs, "doc_id").groupBy("query_id", "doc_id").agg(gain.alias("gain"), F.count("*").alias("overlap"))
+    return near.union(more)
+
+
 def top_k(rows: DataFrame, score: str, k: int, by: Sequence[str] = ("query_id",), tie: str = "doc_id") -> DataFrame:
     """The k best rows of each group, with rank from 1; Spark cuts each task's rows to k before the shuffle."""
     order = Window.partitionBy(*by).orderBy(F.desc(score), tie)

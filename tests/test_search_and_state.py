@@ -27,6 +27,20 @@ def test_bm25_against_plain(spark):
         assert got == {(d, k) for k, d in enumerate(want, 1)}
 
 
+def test_bounds_drop_postings_and_no_text(spark):
+    """The pruned search gives the rows of the whole one, ties and queries of common, rare and unknown words included."""
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(12_000)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 60)))) for i in range(400)]
+    docs += [(400 + i, docs[7][1]) for i in range(4)] + [(404, None), (405, "")]
+    index = retrieval.build_index(spark.createDataFrame(docs, "chunk_id long, content string"))
+    asked = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 20)))) for i in range(40)] + [(40, docs[7][1]), (41, "unknown"), (42, None), (43, "w1 w1 w1")]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    rows = lambda **how: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["raw_score"], 7), r["score"]) for r in retrieval.bm25(index, queries, 3, **how).collect())
+    whole = rows()
+    assert len(whole) > 100 and rows(few=0, seeds=2) == whole and rows(few=0, seeds=10_000) == whole
+
+
 def test_index_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, "beta")], "chunk_id long, content string")
     meta = retrieval.save_index(retrieval.build_index(docs), str(tmp_path / "i"))
