@@ -20,9 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnweave.functions import numbers, text
+from tarnweave.operators import lexicon as lexicons
 from tarnweave.session import broadcast_if_small, settle
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Entries of a lexicon that every query meets in one row.
+LISTED = 1_000
 #: Pairs of a query's word and a posting that are added up without bounds.
 FEW_POSTINGS = 50_000_000
 
@@ -538,13 +541,14 @@ def score_gate(min_relevance: float = 0.26, min_vector: float = 0.46) -> Column:
 # --- rewriting --------------------------------------------------------------
 
 
-def rewrite_queries(queries: DataFrame, lexicon: DataFrame, populations: DataFrame | None = None, compatible: DataFrame | None = None, id_col: str = "query_id", query: str = "query") -> DataFrame:
+def rewrite_queries(queries: DataFrame, lexicon: DataFrame, populations: DataFrame | None = None, compatible: DataFrame | None = None, id_col: str = "query_id", query: str = "query", listed: int = LISTED) -> DataFrame:
     """Queries with their topics, terms, populations and variants from lexicon tables.
 
     ``lexicon``: (place, topic, triggers, zh_terms, en_terms); ``populations``:
     (place, population, triggers); ``compatible``: (topic, topics), whose lists are
-    joined where a topic has several. Lexicons are lists that people keep: each is
-    gathered whole into one row, whatever its length, that every query meets.
+    joined where a topic has several. A lexicon of up to ``listed`` entries is
+    gathered into one row that every query meets; of a larger one only the entries
+    meet a query that share a gram with it.
     """
     q = queries.withColumn("cleaned_query", text.collapse_space(F.col(query)))
     struct = "array<struct<topic:string,population:string,zh_terms:array<string>,en_terms:array<string>>>"
@@ -553,9 +557,11 @@ def rewrite_queries(queries: DataFrame, lexicon: DataFrame, populations: DataFra
         """Every query with the entries of a list that one of their triggers brings up, in the list's order."""
         if df is None:
             return out.withColumn(name, F.array().cast(struct))
-        listed = df.agg(F.array_sort(F.collect_list(F.struct("place", *(c for c in df.columns if c != "place")))).alias(name))
+        if df.limit(listed + 1).count() > listed:
+            return lexicons.entries_met(out, df, name, "cleaned_query")
+        whole = df.agg(F.array_sort(F.collect_list(F.struct("place", *(c for c in df.columns if c != "place")))).alias(name))
         hit = F.filter(name, lambda e: F.exists(e["triggers"], lambda t: F.contains(F.lower("cleaned_query"), F.lower(t))))
-        return out.crossJoin(broadcast_if_small(settle(listed, name))).withColumn(name, hit)  # one row
+        return out.crossJoin(broadcast_if_small(settle(whole, name))).withColumn(name, hit)  # one row
 
     out = met(met(q, lexicon, "lexicon"), populations, "people")
     pick = lambda source, f: text.distinct_ignoring_case(F.transform(source, lambda e: e[f]))

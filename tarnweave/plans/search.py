@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnweave.operators import evaluation, retrieval, review
+from tarnweave.operators import evaluation, lexicon, retrieval, review
 from tarnweave.plans import common
 from tarnweave.session import settle, table
 
@@ -72,6 +72,12 @@ def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("query_id", F.array_join("matched_topics", ",").alias("topics"), F.array_join("en_terms", ",").alias("en_terms"), F.array_join("populations", ",").alias("populations"), F.size("query_variants").alias("n_variants"), "contains_cjk")
 
 
+def lexicon_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents hold each word of the benchmark, as a part of whatever."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("term"))
+    return lexicon.matches(table(spark, sf_dir, "documents"), words).groupBy("term").agg(F.count("*").alias("n_docs"))
+
+
 def retrieve_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole hybrid chain; a chain of rounded scores without SQL, whose steps are tested one by one."""
     chunks = settle(common.chunks(spark, sf_dir).where(retrieval.eligible_for_index()), "chunks")
@@ -200,7 +206,7 @@ def review_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_search, bm25_terms, knn_dot, knn_l2, fuse_merge, fuse_rrf, query_rewrite, retrieve_chain, index_eligible, policy_filter, ranked_dedupe, search_min_max, review_counts, review_top_values,
+        bm25_search, bm25_terms, knn_dot, knn_l2, fuse_merge, fuse_rrf, query_rewrite, lexicon_matches, retrieve_chain, index_eligible, policy_filter, ranked_dedupe, search_min_max, review_counts, review_top_values,
         review_issues, review_quality_report, review_sources, review_balance, review_bulk, review_eligibility, review_coverage, review_topics, review_missing, review_duplicates, review_lengths,
         review_complete, review_ready, review_queues, review_history,
     )
@@ -239,6 +245,8 @@ _COUNTED = """
 
 ORACLE = {
     "bm25_terms": f"WITH {_TERMS} SELECT term, df, round(idf, 6) AS idf FROM idf",
+    "lexicon_matches": """WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM benchmark)
+        SELECT term, count(DISTINCT doc_id) AS n_docs FROM t JOIN documents ON contains(lower(documents.text), term) GROUP BY term""",
     "bm25_search": f"""WITH {_TERMS},
         qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM benchmark) GROUP BY ALL),
         s AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 / mean * dl))), 9) AS s FROM qt JOIN idf USING (term) JOIN post USING (term) JOIN dl USING (doc_id), n GROUP BY query_id, doc_id),

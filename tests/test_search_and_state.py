@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnweave.functions import classify
-from tarnweave.operators import evaluation, retrieval, review, sessions
+from tarnweave.operators import evaluation, lexicon, retrieval, review, sessions
 from tarnweave.sources import plugins, sinks
 from tarnweave.streaming import keyed, stateful
 
@@ -41,6 +41,21 @@ def test_bounds_drop_postings_and_no_text(spark):
     assert len(whole) > 100 and rows(few=0, seeds=2) == whole and rows(few=0, seeds=10_000) == whole
 
 
+def test_large_lexicons(spark):
+    """Terms of any length by their grams; a lexicon beyond the list gives what the list gives."""
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcé她x ") for _ in range(n))
+    terms = [word(rng.randrange(1, 9)) for _ in range(500)] + ["", None, "(.*)", "ABC"]
+    texts = [(i, word(rng.randrange(60)).upper()) for i in range(60)] + [(None, "abc abc"), (3, "abcabc"), (61, None), (62, ""), (63, "x(.*)\nabcab")]
+    got = {(r["doc_id"], r["term"]) for r in lexicon.matches(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
+    assert got == {(i, t.lower()) for i, x in texts for t in terms if t and t.lower() in (x or "").lower()}
+    entries = [(k, f"t{k % 40}", [word(3), word(4)], [f"z{k % 7}"], [f"e{k % 5}"]) for k in range(60)]
+    lex = spark.createDataFrame(entries, "place int, topic string, triggers array<string>, zh_terms array<string>, en_terms array<string>")
+    asked = spark.createDataFrame([(i, t) for i, t in texts if t is not None] + [(1, texts[1][1])], "query_id long, query string")
+    rows = lambda n: sorted(map(str, retrieval.rewrite_queries(asked, lex, listed=n).select("query_id", "cleaned_query", "matched_topics", "en_terms", "query_variants").collect()))
+    assert rows(10) == rows(1_000)
+
+
 def test_index_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, "beta")], "chunk_id long, content string")
     meta = retrieval.save_index(retrieval.build_index(docs), str(tmp_path / "i"))
