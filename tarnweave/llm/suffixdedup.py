@@ -354,11 +354,24 @@ def repeated_strings(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     return whole.union(settled).union(alone)
 
 
+#: Keys of texts that are sent to all tasks at most; beyond that all texts are joined by a shuffle.
+FEW_KEYS = 500_000
+
+
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, keep: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row."""
     data = F.coalesce(F.encode(F.col(text), "UTF-8") if dict(documents.dtypes)[text] == "string" else F.col(text), F.lit(b""))
-    rows = documents.select(F.col(id_col), data.alias("data"))
     # two hashes tell rows apart; rows that agree in both repeat id and text, and repeat each other's strings
-    rows = rows.select(id_col, "data", F.xxhash64("data").alias("k"), F.xxhash64(F.lit("id"), F.col(id_col)).alias("h"))
-    gone = repeated_strings(rows, length).groupBy("k", "h").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
-    return _cut_texts(rows.join(gone, ["k", "h"], "left"), documents.schema[id_col], length, keep)
+    rows = documents.select(F.col(id_col).alias("row_id"), data.alias("data")).withColumns({"k": F.xxhash64("data"), "h": F.xxhash64(F.lit("id"), "row_id")})
+    # settled, so that copies of one id and text needn't meet in the task that has gathered their runs
+    gone = settle(repeated_strings(rows, length).groupBy("k", "h").agg(F.collect_list(F.struct("first", "last")).alias("gone")), "removals")
+    keys = gone.select("k", "h")
+    if keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
+        # only texts that lose something are moved
+        keys = broadcast_if_small(keys, 32, FEW_KEYS)
+        cut = rows.join(keys, ["k", "h"], "left_semi").join(gone, ["k", "h"])
+        marked = cut.unionByName(rows.join(keys, ["k", "h"], "left_anti").withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType)))
+    else:
+        marked = rows.join(gone, ["k", "h"], "left")
+    id_field = T.StructField("row_id", documents.schema[id_col].dataType)
+    return _cut_texts(marked, id_field, length, keep).withColumnRenamed("row_id", id_col)

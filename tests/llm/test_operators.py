@@ -726,6 +726,20 @@ def test_no_python_in_native_operators(spark):
         assert not re.search("Python|Arrow|Pandas", plan)
 
 
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_repeats_of_ids_with_any_name(spark, monkeypatch, few):
+    """Id columns named as columns inside, texts of several parts, and both ways to bring removals to texts."""
+    monkeypatch.setattr(suffixdedup, "FEW_KEYS", few)
+    rng = random.Random(12)
+    big = "".join(rng.choice("abcdefgh") for _ in range(1_200_000))
+    texts = {1: big, 2: "x" + big[1_040_000:1_050_000] + "y", 3: "short", 4: None, 5: big[:150]}
+    kept = {1: big[:1_040_000] + big[1_050_000:], 2: "xy", 3: "short", 4: "", 5: big[:150]}
+    for name in ("k", "data") if few else ("h",):
+        found = suffixdedup.remove_repeats(spark.createDataFrame(list(texts.items()), f"{name} long, text string"), name)
+        assert found.columns == [name, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        assert {r[name]: r["kept_sha256"] for r in found.collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items()}
+
+
 def test_items_without_id_count(spark):
     """Items without an id count as one item, as in the query's SQL, and are no part of the digest."""
     docs = table(spark, ["one two three", "four five", "six"])
