@@ -179,6 +179,9 @@ PAIRS = """
 _METRIC_NAMES = "conv_id, turn_count, assistant_turns, user_turns, characters, estimated_tokens, assistant_mean_chars, low_information_ratio, repeated_assistant_ratio, high_risk_user, safety_adequate, high_risk_immediate_safety, flags"
 
 ORACLE = {
+    "conv_structure": f"""WITH {RECORDS}, c AS (SELECT stats.conv_id, count(run) + 1 AS n FROM stats LEFT JOIN msgs ON stats.conv_id = msgs.conv_id AND regexp_matches(content, '\\S') GROUP BY stats.conv_id),
+        er AS (SELECT *, CASE WHEN n < 3 THEN 'too_few_messages' END AS error, row_number() OVER (PARTITION BY n < 3 ORDER BY conv_id) AS k FROM c)
+        SELECT count(*) AS rows, count(error) AS bad, coalesce(CAST(to_json(list(struct_pack(id := conv_id, error := error) ORDER BY conv_id) FILTER (error IS NOT NULL AND k <= 20)) AS VARCHAR), '[]') AS errors FROM er""",
     "conv_quotas": """
         WITH s AS (SELECT source AS stratum, count(*) AS n, -max((doc_id * 37 % 1000) * 100000000 - doc_id) AS top FROM documents GROUP BY source),
         w AS (SELECT stratum, top, greatest(1, CAST(round_even(n / (SELECT sum(n) FROM s) * 240, 0) AS BIGINT)) AS want FROM s),

@@ -82,6 +82,13 @@ def leak_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.against_corpora(table(spark, sf_dir, "benchmark"), {"documents": docs.select(F.col("doc_id").alias("id"), "text"), "lines": lines})
 
 
+def leak_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the benchmark: each is found as itself, and so are its copies."""
+    docs = _docs(spark, sf_dir)
+    lines = docs.select(F.col("doc_id").alias("id"), F.explode(F.split("text", "\n")).alias("text"))
+    return leakage.against_corpora(docs, {"documents": docs.select(F.col("doc_id").alias("id"), "text"), "lines": lines}, "doc_id")
+
+
 def leak_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.substrings(table(spark, sf_dir, "benchmark"), _docs(spark, sf_dir))
 
@@ -97,7 +104,7 @@ def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).groupBy("lang").agg(p.alias("p")).select("lang", *(F.round(F.col("p")[f"p{k}"], 2).alias(f"p{k}") for k in (1, 5, 50, 90, 95, 99)))
 
 
-QUERIES = {f.__name__: f for f in (text_clean, text_tokens, text_keys, text_traits, text_urls, text_snippets, text_pages, kb_clean, kb_sections, kb_windows, kb_chunks, kb_equal_files, leak_exact, leak_substring, leak_leading, length_stats)}
+QUERIES = {f.__name__: f for f in (text_clean, text_tokens, text_keys, text_traits, text_urls, text_snippets, text_pages, kb_clean, kb_sections, kb_windows, kb_chunks, kb_equal_files, leak_exact, leak_copies, leak_substring, leak_leading, length_stats)}
 
 WS = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _strip = lambda c: f"trim({c}, {WS})"
@@ -172,3 +179,4 @@ ORACLE = {
     """,
     "length_stats": "SELECT lang, " + ", ".join(f"round(quantile_cont(n_chars, {p / 100}), 2) AS p{p}" for p in (1, 5, 50, 90, 95, 99)) + " FROM documents GROUP BY lang",
 }
+ORACLE["leak_copies"] = ORACLE["leak_exact"].replace("item_id", "doc_id").replace("FROM benchmark", "FROM documents")
