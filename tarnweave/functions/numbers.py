@@ -35,11 +35,6 @@ def percentiles(c: Column, at: Sequence[float] = (1, 5, 50, 90, 95, 99), digits:
     return F.map_from_arrays(F.array(*(F.lit(f"p{p:g}") for p in at)), F.transform(values, lambda v: F.round(v, digits)))
 
 
-def nearest_rank(c: Column, share: float) -> Column:
-    """The value at place round((n - 1) * share) of the sorted values of a bounded group."""
-    return F.element_at(F.array_sort(F.collect_list(c)), (F.rint((F.count(c) - 1) * share) + 1).cast("int"))
-
-
 def bits_apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnweave.functions import text
+from tarnweave.operators import ranks
 from tarnweave.operators.knowledge import unsafe_detail
+from tarnweave.session import settle
 
 STATUSES = ("pending", "approved", "rejected")
 # Topics that one person can't pass for a whole source.
@@ -212,11 +214,15 @@ def duplicate_content(rows: DataFrame, key: str = "content_sha256", id_col: str
 
 
 def char_stats(rows: DataFrame, column: str = "char_count") -> DataFrame:
-    """(mean, median, p95) of lengths, p95 at place int(n * 0.95) of the sorted values, from counts per value."""
-    counts = rows.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    upto = counts.withColumns({"upto": F.sum("n").over(Window.orderBy("v")), "all": F.sum("n").over(Window.partitionBy())})
-    p95 = upto.agg(F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.floor(F.col("all") * 0.95)), F.col("v"))).alias("p95"))
-    return rows.agg(F.round(F.avg(column), 2).alias("mean"), F.median(column).alias("median")).join(F.broadcast(p95))
+    """(mean, median, p95) of lengths, p95 at place int(n * 0.95) of the sorted values, counted from one."""
+    n = F.count(column)
+    middle = (n - 1) / 2
+    at = F.array(*(F.struct(F.lit(name).alias("name"), place.cast("long").alias("place")) for name, place in (("low", F.floor(middle)), ("high", F.ceil(middle)), ("p95", F.greatest(F.lit(1), F.floor(n * 0.95)) - 1))))
+    whole = settle(rows.agg(F.round(F.avg(column), 2).alias("mean"), at.alias("at")), "lengths")
+    found = ranks.values_at(rows, column, whole.select(F.explode("at").alias("x")).select("x.*"))
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    places = found.agg(((of("low") + of("high")) / 2).alias("median"), of("p95").cast(rows.schema[column].dataType).alias("p95"))
+    return whole.select("mean").join(F.broadcast(places))  # one row each
 
 
 def queues(rows: DataFrame, flags: Mapping[str, Column], rest: str) -> DataFrame:
