@@ -180,3 +180,12 @@ ORACLE = {
     "length_stats": "SELECT lang, " + ", ".join(f"round(quantile_cont(n_chars, {p / 100}), 2) AS p{p}" for p in (1, 5, 50, 90, 95, 99)) + " FROM documents GROUP BY lang",
 }
 ORACLE["leak_copies"] = ORACLE["leak_exact"].replace("item_id", "doc_id").replace("FROM benchmark", "FROM documents")
+ORACLE["kb_sections"] = rf"""
+    WITH b AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS p FROM documents),
+    r AS (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS place FROM b),
+    h AS (SELECT *, trim(regexp_replace(part, '\s+', ' ', 'g')) AS line FROM r),
+    g AS (SELECT *, CASE WHEN regexp_matches(line, '{knowledge.PLAIN_HEADING}') AND length(line) <= 28 THEN line END AS head FROM h),
+    n AS (SELECT *, count(head) OVER (PARTITION BY doc_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS no FROM g),
+    s AS (SELECT doc_id, no, max(head) AS head, {_strip("regexp_replace(regexp_replace(coalesce(string_agg(part, chr(10) || chr(10) ORDER BY place) FILTER (head IS NULL), ''), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")} AS content FROM n GROUP BY doc_id, no)
+    SELECT doc_id, no AS section_no, CASE WHEN head IS NULL OR trim(head) = '' THEN CAST(doc_id AS VARCHAR) ELSE head END AS section, sha256(content) AS digest FROM s WHERE content <> ''
+"""
