@@ -64,6 +64,7 @@ def eval_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
         return first.agg(F.array_join(F.transform(F.array_sort(F.collect_list("case_id")), lambda x: x.cast("string")), ",").alias(name))
 
     r = r.select(*(F.round(c, 6).alias(c) for c in ("high_risk_recall", "high_risk_precision", "negation_accuracy", "third_party_accuracy")), "high_risk_false_negative_count", "high_risk_false_positive_count")
+    # one row each
     return r.crossJoin(ids("missed_high_risk", "missed_high_risk_case_ids")).crossJoin(ids("false_positive", "false_positive_case_ids"))
 
 
