@@ -70,12 +70,12 @@ def conv_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as a stream: documents in three batches, the second one twice (held against ``conv_duplicates`` in the tests)."""
+    """The same as a stream: documents in two batches, the second one twice (held against ``conv_duplicates`` in the tests)."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), F.array(F.struct(F.lit("user").alias("role"), F.coalesce("text", F.lit("")).alias("content"))).alias("messages"))
     end, path = docs.agg(F.max("conv_id")).first()[0] or 0, scratch_path(spark, "duplicates")
     take = stream.duplicates_sink(path)
-    for epoch in (0, 1, 1, 2):
-        take(docs.where((F.col("conv_id") * 3 >= epoch * (end + 1)) & (F.col("conv_id") * 3 < (epoch + 1) * (end + 1))), epoch)
+    for epoch in (0, 1, 1):
+        take(docs.where((F.col("conv_id") * 2 >= epoch * (end + 1)) & (F.col("conv_id") * 2 < (epoch + 1) * (end + 1))), epoch)
     return stream.tables(path)[1].read(spark)
 
 

@@ -17,7 +17,7 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnweave.sources.files import path_exists
@@ -40,11 +40,14 @@ def _children(spark: SparkSession, path: str) -> list[str]:
 
 @dataclass(frozen=True)
 class KeyedTable:
-    """One row a key below ``path``: of several in a batch the one of largest ``order``, of several batches the last."""
+    """One row a key below ``path``: of several in a batch the one of largest ``order``, of several batches the last.
+
+    Without ``order`` a batch has one row a key, as aggregates in update mode give it.
+    """
 
     path: str
     key: Sequence[str]
-    order: str | None = None
+    order: str | Column | None = None
     buckets: int = BUCKETS
     merge_every: int = MERGE_EVERY
     #: A folder of epochs that all tables of a batch have; without one each delta counts at once.
@@ -76,7 +79,7 @@ class KeyedTable:
         if epoch <= max((t for _, _, t in self.manifest(spark)), default=-1):
             return
         rows = batch
-        if self.order:
+        if self.order is not None:
             names = [c for c in batch.columns if c not in self.key]
             rows = batch.groupBy(*self.key).agg(F.max_by(F.struct(*names), self.order).alias("_r")).select(*self.key, "_r.*")
         self._bucketed(rows).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/delta/epoch={epoch}")

@@ -215,7 +215,7 @@ class _Jobs(InOrder):
 def job_machine(
     events: DataFrame, key: str = "job_id", ts: str = "ts", timeout: int = 3_600, keep: int = 86_400, lateness: str = LATENESS, clock: DataFrame | None = None, before: DataFrame | None = None
 ) -> DataFrame:
-    """(job, status, progress, at, late): a job's state each time it changes, for update mode.
+    """(job, status, progress, at, late): a job's state each time it changes, for update mode; in one batch maybe several times, the last by (at, late).
 
     ``events``: (job_id, seq, status, progress, ts). They apply in order of ts and
     seq, whatever order they come in: a status never goes back, an unknown one
