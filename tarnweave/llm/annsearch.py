@@ -41,8 +41,8 @@ from tarnweave.session import settle
 CELLS = 64
 #: Vectors that codebooks are fitted on at most, and rounds of fitting.
 SAMPLE, ROUNDS = 20_000, 10
-#: Share of the sample's nearest that must be seen, queries it is measured with, and the least number of entries seen.
-RECALL, ASKED, LEAST = 0.95, 256, 0
+#: Share of the sample's nearest that must be seen, queries it is measured with, and the least number of entries seen, so that small tables come whole.
+RECALL, ASKED, LEAST = 0.95, 256, 400
 #: Entries of one block, and queries that meet it at once.
 BLOCK, BATCH = 8_192, 256
 
