@@ -163,7 +163,7 @@ def with_labels(recs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         "problem": text.first_pattern(user, rules.problems, rules.problem_default),
         "support_focus": F.when(focus == "", rules.focus_default).otherwise(focus),
         "strategy_path": F.when(F.size(strategies) == 0, F.array(F.lit("supportive_dialogue"))).otherwise(strategies),
-        "severity": F.when(user.rlike(rules.high_risk), "high").when(user.rlike(rules.distress), "medium").otherwise("low"),
+        "severity": F.when(text.matches(user, rules.high_risk), "high").when(text.matches(user, rules.distress), "medium").otherwise("low"),
         "group": F.lit(rules.group_default),
         "cause": F.lit("unknown_cause"),
     }
@@ -179,11 +179,11 @@ def with_labels(recs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def immediate_safety(messages: Column, rules: Rules = Rules()) -> Column:
     """Whether there is a high-risk user message, and an assistant answers each within two messages, its first answer being a safe one."""
-    risky = lambda m: (m["role"] == "user") & m["content"].rlike(rules.high_risk)
+    risky = lambda m: (m["role"] == "user") & text.matches(m["content"], rules.high_risk)
 
     def answered(m: Column, i: Column) -> Column:
         one, two = F.get(messages, i + 1), F.get(messages, i + 2)
-        safe = lambda x: F.coalesce(x["content"].rlike(rules.safety_reply), F.lit(False))
+        safe = lambda x: F.coalesce(text.matches(x["content"], rules.safety_reply), F.lit(False))
         return F.when(~risky(m), True).when(one["role"] == "assistant", safe(one)).when(two["role"] == "assistant", safe(two)).otherwise(False)
 
     return F.exists(messages, risky) & F.forall(F.transform(messages, answered), lambda x: x)
@@ -196,13 +196,13 @@ def with_metrics(recs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     replies = F.col("_a")
     turns = F.greatest(F.lit(1), F.size(replies))
     summed = lambda arr, f: F.aggregate(arr, F.lit(0), lambda t, x: t + f(x).cast("int"))
-    low = F.size(F.filter(replies, lambda x: (F.length(text.strip(x)) < 12) | text.strip(x).rlike(rules.generic)))
+    low = F.size(F.filter(replies, lambda x: (F.length(text.strip(x)) < 12) | text.matches(text.strip(x), rules.generic)))
     distinct = F.size(F.array_distinct(F.transform(F.filter(replies, lambda x: ~text.is_blank(x)), text.dense_key)))
     every = said_by(messages)
     characters = summed(every, F.length) + F.greatest(F.lit(0), F.size(messages) - 1)
     counted = lambda pattern: summed(every, lambda x: text.count_of(x, pattern))
     tokens = text.tokens_from_counts(counted(text.CJK), counted(text.LATIN_WORD), characters)
-    some = lambda pattern, role: F.exists(said_by(messages, role), lambda x: x.rlike(pattern))
+    some = lambda pattern, role: F.exists(said_by(messages, role), lambda x: text.matches(x, pattern))
     directive = some(rules.medication, "assistant") & ~some(rules.medication_safe, "assistant")
     flags = [F.when(directive, "medication_directive"), *(F.when(some(p, "assistant"), name) for name, p in rules.flags.items())]
     return recs.withColumns({
