@@ -16,8 +16,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnweave.functions import numbers, text
 from tarnweave.operators import lexicon as lexicons
@@ -28,6 +30,10 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 LISTED = 1_000
 #: Pairs of a query's word and a posting that are added up without bounds.
 FEW_POSTINGS = 50_000_000
+#: Pairs of a query and a word, or bytes of query vectors, that each task holds while texts or vectors pass by once.
+HELD_PAIRS, HELD_BYTES = 100_000, 32 << 20
+#: Scores that a task works on at once.
+SCORES = 1 << 20
 
 
 # --- the lexical index ------------------------------------------------------
@@ -35,9 +41,10 @@ FEW_POSTINGS = 50_000_000
 
 @dataclass
 class LexicalIndex:
-    """postings (term, doc_id, tf), docs (doc_id, dl) and terms (term, df, idf, most), with the mean and the least length.
+    """postings (term, doc_id, tf), docs (doc_id, dl) and terms (term, df, idf), with the mean and the least length.
 
-    ``most`` is a term's largest tf, which bounds what a text can gain by it.
+    An index of texts also has their tokens (doc_id, tokens); its postings and docs are plans that
+    nothing is written for until they are asked for.
     """
 
     postings: DataFrame
@@ -46,25 +53,28 @@ class LexicalIndex:
     n_docs: int
     mean_length: float
     least_length: int
+    tokens: DataFrame | None = None
 
 
 def build_index(chunks: DataFrame, id_col: str = "chunk_id", body: str = "content") -> LexicalIndex:
-    """Postings of all chunks; tokens are counted on the side that reads, so one row a term and chunk is shuffled."""
+    """The index of all chunks, whose ids are unique: one pass counts the texts of each word, so that a row a word and task is shuffled."""
     tokens = chunks.select(F.col(id_col).alias("doc_id"), text.lexical_tokens(F.col(body)).alias("tokens"))
-    docs = settle(tokens.select("doc_id", F.size("tokens").alias("dl")), "index-docs")
-    postings = settle(tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf")), "index-postings")
-    return _with_terms(postings, docs)
+    docs = tokens.select("doc_id", F.size("tokens").alias("dl"))
+    postings = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    # the row without a term stands for the text itself
+    words = tokens.select(F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("tokens"))).alias("term"))
+    seen = settle(words.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"), F.min("dl").alias("least")), "index-words")
+    n, total, least = seen.where("term is null").agg(F.sum("df"), F.sum("total"), F.min("least")).first()
+    return _with_terms(postings, docs, seen.where("term is not null").select("term", "df"), n or 0, (total or 0) / (n or 1), least, tokens)
 
 
-def _with_terms(postings: DataFrame, docs: DataFrame) -> LexicalIndex:
-    n, mean, least = docs.agg(F.count("*"), F.avg("dl"), F.min("dl")).first()
-    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("most"))
+def _with_terms(postings: DataFrame, docs: DataFrame, df: DataFrame, n: int, mean: float | None, least: int | None, tokens: DataFrame | None = None) -> LexicalIndex:
     raw = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     terms = settle(df.withColumn("raw", raw), "index-terms")
     mean_idf = terms.agg(F.avg("raw")).first()[0] or 0.0
     # a word of more than half of the texts weighs a share of the mean, not less than nothing
     idf = F.when(F.col("raw") < 0, F.lit(EPSILON * mean_idf)).otherwise(F.col("raw"))
-    return LexicalIndex(postings, docs, terms.select("term", "df", "most", idf.alias("idf")), n, mean or 0.0, least or 0)
+    return LexicalIndex(postings, docs, terms.select("term", "df", idf.alias("idf")), n, mean or 0.0, least or 0, tokens)
 
 
 def save_index(index: LexicalIndex, path: str) -> dict:
@@ -75,7 +85,9 @@ def save_index(index: LexicalIndex, path: str) -> dict:
 
 
 def load_index(spark: SparkSession, path: str) -> LexicalIndex:
-    return _with_terms(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"))
+    postings, docs = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs")
+    n, mean, least = docs.agg(F.count("*"), F.avg("dl"), F.min("dl")).first()
+    return _with_terms(postings, docs, postings.groupBy("term").agg(F.count("*").alias("df")), n, mean, least)
 
 
 def index_healthy(spark: SparkSession, path: str, expected: int) -> tuple[bool, str]:
@@ -83,13 +95,15 @@ def index_healthy(spark: SparkSession, path: str, expected: int) -> tuple[bool,
     return (True, "ok") if n == expected else (False, f"expected {expected} documents, found {n}")
 
 
-def bm25(index: LexicalIndex, queries: DataFrame, k: int = 5, id_col: str = "query_id", query: str = "query", seeds: int = 64, few: int = FEW_POSTINGS) -> DataFrame:
+def bm25(index: LexicalIndex, queries: DataFrame, k: int = 5, id_col: str = "query_id", query: str = "query", seeds: int = 64, few: int = FEW_POSTINGS, held: int = HELD_PAIRS) -> DataFrame:
     """(query_id, doc_id, raw_score, score, rank): the k best of each query; score is the share of the query's best.
 
     Where no score of a query is above zero, the number of its words that a
     text has counts instead.
 
-    Up to ``few`` pairs of a query's word and a posting are simply added up. Beyond that,
+    Of an index with tokens, up to ``held`` pairs of a query and a word are held by every task, and the texts pass by
+    once: a task adds up the scores of some texts at a time and lets each query's best go on. Of others,
+    up to ``few`` pairs of a query's word and a posting are simply added up. Beyond that,
     postings of common words are met by few texts only: a query's rarest words (those
     that ``seeds`` times k postings reach) give k texts and with them a score that
     the k best have at least. Words that couldn't make up that score together, whatever the
@@ -99,40 +113,99 @@ def bm25(index: LexicalIndex, queries: DataFrame, k: int = 5, id_col: str = "que
     asked = queries.select(F.col(id_col).alias("query_id"), F.explode(text.lexical_tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     relative = lambda dl: F.lit(1 - B) + F.lit(B / max(index.mean_length, 1e-9)) * dl
     saturated = lambda tf, dl: tf * (K1 + 1) / (tf + K1 * relative(dl))
-    asked = asked.join(index.terms, "term").withColumn("weight", F.col("qtf") * F.col("idf"))
+    asked = settle(asked.join(index.terms, "term").withColumn("weight", F.col("qtf") * F.col("idf")), "query-words")
+    if index.tokens is not None and asked.limit(held + 1).count() <= held:
+        scored = _added(_passing(index, asked, k))
+    else:
+        scored = _joined(index, asked, saturated, k, seeds, few)
+    flat = F.max("bm25").over(Window.partitionBy("query_id")) <= 0
+    scored = scored.withColumn("raw_score", F.when(flat, F.col("overlap").cast("double")).otherwise(F.col("bm25")))
+    return top_k(scored.where("raw_score > 0"), "raw_score", k).select("query_id", "doc_id", "raw_score", share_of_best("raw_score").alias("score"), "rank")
+
+
+def _joined(index: LexicalIndex, asked: DataFrame, saturated: Callable, k: int, seeds: int, few: int) -> DataFrame:
+    """Scores by joins of the queries' words with their postings."""
+    postings = settle(index.postings.join(asked.select("term").distinct(), "term", "left_semi"), "index-postings")
+    docs = settle(index.docs, "index-docs")
+    # a term's largest tf bounds what a text can gain by it
+    asked = asked.join(postings.groupBy("term").agg(F.max("tf").alias("most")), "term")
     asked = asked.withColumn("bound", F.col("weight") * saturated(F.col("most"), F.lit(index.least_length)))
     rising = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     asked = settle(asked.withColumn("seed", F.coalesce(F.sum("df").over(rising), F.lit(0)) < seeds * k), "query-terms")
     gain = F.sum(F.col("weight") * saturated(F.col("tf"), F.col("dl")))
 
-    def found(terms: DataFrame) -> DataFrame:
-        hits = index.postings.join(broadcast_if_small(terms.select("query_id", "term", "weight"), 96), "term").join(index.docs, "doc_id")
+    def found(terms: DataFrame, by: str = "term") -> DataFrame:
+        hits = postings.join(broadcast_if_small(terms, 96), ["term"] if by == "term" else ["term", by]).join(docs, "doc_id")
         return hits.groupBy("query_id", "doc_id").agg(gain.alias("gain"), F.count("*").alias("overlap"))
 
     met = asked.agg(F.sum("df")).first()[0] or 0
-    scored = _added(found(asked)) if met <= few else _added(_pruned(index, asked, found, gain, k))
-    flat = F.max("bm25").over(Window.partitionBy("query_id")) <= 0
-    scored = scored.withColumn("raw_score", F.when(flat, F.col("overlap").cast("double")).otherwise(F.col("bm25")))
-    return top_k(scored.where("raw_score > 0"), "raw_score", k).select("query_id", "doc_id", "raw_score", share_of_best("raw_score").alias("score"), "rank")
+    return _added(found(asked.select("query_id", "term", "weight"))) if met <= few else _added(_pruned(asked, found, k))
+
+
+def _passing(index: LexicalIndex, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, gain, overlap) of texts that may be among a query's k best: those of each few texts."""
+    pairs = asked.select("query_id", "term", "weight").collect()  # at most as many as may be held
+    ids = list({r["query_id"]: None for r in pairs})
+    terms = list({r["term"]: None for r in pairs})
+    place, spot = ({v: i for i, v in enumerate(vs)} for vs in (ids, terms))
+    of_term = np.array([spot[r["term"]] for r in pairs], np.int64)
+    order = np.argsort(of_term, kind="stable")
+    asking = np.array([place[r["query_id"]] for r in pairs], np.int64)[order]
+    weight = np.array([r["weight"] for r in pairs], np.float64)[order]
+    starts = np.searchsorted(of_term[order], np.arange(len(terms) + 1))
+    mean = max(index.mean_length, 1e-9)
+    schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("doc_id", index.tokens.schema["doc_id"].dataType), T.StructField("gain", T.DoubleType()), T.StructField("overlap", T.LongType())])
+
+    def scored(doc: np.ndarray, term: np.ndarray, tf: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Places of queries and texts, gains and overlaps; ``doc`` and ``length`` are of these texts only."""
+        n_of = starts[term + 1] - starts[term]
+        at = np.repeat(starts[term] - np.cumsum(n_of) + n_of, n_of) + np.arange(n_of.sum())
+        share = tf * (K1 + 1) / (tf + K1 * (1 - B + B / mean * length[doc]))
+        cell = asking[at] * len(length) + np.repeat(doc, n_of)
+        size = len(ids) * len(length)
+        gain = np.bincount(cell, weight[at] * np.repeat(share, n_of), size).reshape(len(ids), -1)
+        overlap = np.bincount(cell, minlength=size).reshape(len(ids), -1)
+        # where no text gains, the words that it has count
+        value = np.where((gain > 5e-10).any(1)[:, None], gain, overlap)
+        least = np.partition(value, -k, 1)[:, -k] if len(length) > k else np.zeros(len(ids))
+        q, d = np.nonzero((overlap > 0) & (value > 0) & (value >= least[:, None] - 1e-8))  # rounding can make ties
+        yield q, d, gain[q, d], overlap[q, d]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, names = pa.array(terms, pa.string()), pa.array(ids)
+        step = max(1, SCORES // max(1, len(ids)))
+        for batch in batches:
+            for lo in range(0, len(batch), step):
+                docs, words = batch.column(0).slice(lo, step), batch.column(1).slice(lo, step)
+                length = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+                term = pc.index_in(words.flatten(), known)
+                has = pc.is_valid(term).to_numpy(zero_copy_only=False)
+                key, tf = np.unique(np.repeat(np.arange(len(docs)), length)[has] * len(terms) + term.drop_null().to_numpy(), return_counts=True)
+                for q, d, gain, overlap in scored(key // len(terms), key % len(terms), tf, length):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), docs.take(pa.array(d)), pa.array(gain), pa.array(overlap)], names=schema.names)
+
+    if not pairs:
+        return asked.sparkSession.createDataFrame([], schema)
+    return index.tokens.where("doc_id is not null and size(tokens) > 0").mapInArrow(run, schema)
 
 
 def _added(gains: DataFrame) -> DataFrame:
     return gains.groupBy("query_id", "doc_id").agg(F.round(F.sum("gain"), 9).alias("bm25"), F.sum("overlap").alias("overlap"))
 
 
-def _pruned(index: LexicalIndex, asked: DataFrame, found: Callable[[DataFrame], DataFrame], gain: Column, k: int) -> DataFrame:
+def _pruned(asked: DataFrame, found: Callable[..., DataFrame], k: int) -> DataFrame:
     """(query_id, doc_id, gain, overlap), to be added up, of all texts that may be among a query's k best."""
     # a score of k texts by some of the words; no lower limit where a word may weigh less than nothing
-    least = top_k(found(asked.where("seed")), "gain", k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("gain")).alias("least"))
+    least = top_k(found(asked.where("seed").select("query_id", "term", "weight")), "gain", k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("gain")).alias("least"))
     free = asked.groupBy("query_id").agg((F.min("weight") >= 0).alias("free"))
     limits = free.join(least, "query_id", "left").select("query_id", F.when(F.col("free"), F.col("least") - 1e-6).alias("least"))
     upward = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
     asked = asked.join(limits, "query_id").withColumn("late", F.coalesce(F.sum("bound").over(upward) < F.col("least"), F.lit(False)))
     asked = settle(asked.withColumn("rest", F.sum(F.when(F.col("late"), F.col("bound")).otherwise(0.0)).over(Window.partitionBy("query_id"))), "query-terms")
-    near = found(asked.where("not late")).join(asked.select("query_id", "least", "rest").distinct(), "query_id")
+    near = found(asked.where("not late").select("query_id", "term", "weight")).join(asked.select("query_id", "least", "rest").distinct(), "query_id")
     near = settle(near.where(F.col("least").isNull() | (F.col("gain") + F.col("rest") >= F.col("least"))).select("query_id", "doc_id", "gain", "overlap"), "near-texts")
     wanted = settle(near.select("query_id", "doc_id").join(asked.where("late").select("query_id", "term", "weight"), "query_id"), "late-words")
-    more = index.postings.join(broadcast_if_small(wanted, 96), ["term", "doc_id"]).join(index.docs, "doc_id").groupBy("query_id", "doc_id").agg(gain.alias("gain"), F.count("*").alias("overlap"))
+    more = found(wanted, "doc_id")
     return near.union(more)
 
 
@@ -182,10 +255,11 @@ def hashed_embedding(c: Column, dimensions: int = 384) -> Column:
     return embed(text.lexical_tokens(c))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, measure: str = "dot", id_col: str = "vec_id", vector: str = "embedding", partition: str | None = None, block: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, measure: str = "dot", id_col: str = "vec_id", vector: str = "embedding", partition: str | None = None, block: int = 1024, held: int = HELD_BYTES) -> DataFrame:
     """(query_id, doc_id, score, rank[, partition]): the k nearest vectors of each query row, exactly.
 
-    ``queries`` is a stated set (columns as ``vectors``). Queries are dealt by hash to
+    ``queries`` is a stated set (columns as ``vectors``). Up to a block of them, of at most ``held`` bytes, is held by
+    every task, and vectors pass by without being shuffled. Beyond that, queries are dealt by hash to
     blocks of about ``block`` rows, vectors to blocks of four times as many, and each
     pair of blocks meets in one group: its queries are held, its vectors pass by in
     slices, and k rows a query and slice go on. Nothing goes through the driver but
@@ -203,11 +277,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, measure: str = "
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), part.alias("part")).where(usable)
     asked = queries.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(usable)
     asked = settle(asked.groupBy("id").agg(F.min("v").alias("v")), "query-vectors")
-    n_asked, n_rows = (F.lit(max(1, -(-df.count() // size))) for df, size in ((asked, block), (rows, 4 * block)))
+    n, values = asked.select(F.size("v").alias("n")).agg(F.count("*"), F.sum("n")).first()
+    few = n <= block and 8 * (values or 0) <= held
+    held_ids, held_lists = map(list, zip(*asked.collect(), strict=True)) if few and n else ([], [])
+    n_asked, n_rows = (F.lit(1), F.lit(1)) if few else (F.lit(max(1, -(-df.count() // size))) for df, size in ((asked, block), (rows, 4 * block)))
     dealt = lambda n, *by: F.pmod(F.xxhash64(*by), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    held = asked.select(dealt(n_asked, "id").alias("qb"), every(n_rows).alias("vb"), F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("string").alias("part"))
-    passing = rows.select(every(n_asked).alias("qb"), dealt(n_rows, "id", "v").alias("vb"), F.lit(1).alias("kind"), "id", "v", "part")
+    holding = asked.select(dealt(n_asked, "id").alias("qb"), every(n_rows).alias("vb"), F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("string").alias("part"))
+    place = (F.lit(0).alias("qb"), F.lit(0).alias("vb")) if few else (every(n_asked).alias("qb"), dealt(n_rows, "id", "v").alias("vb"))
+    passing = rows.select(*place, F.lit(1).alias("kind"), "id", "v", "part")
 
     def scored(q_ids: list, q: np.ndarray, ids: list, x: np.ndarray, parts: np.ndarray) -> list[tuple]:
         score = q @ x.T
@@ -232,7 +310,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, measure: str = "
         return {n: ([ids[at] for at in ats], np.array([lists[at] for at in ats], np.float64).reshape(len(ats), n), ats) for n, ats in of.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, lists, asking = None, [], [], None
+        key, ids, lists, asking = ((0, 0), [], [], by_length(held_ids, held_lists)) if few else (None, [], [], None)
         names = ["query_id", "doc_id", "score", *(["part"] if extra else [])]
         for whole in batches:
             for at in range(0, len(whole), 4096):
@@ -254,7 +332,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, measure: str = "
                         if out:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    met = held.union(passing).repartition("qb", "vb").sortWithinPartitions("qb", "vb", "kind")
+    met = passing if few else holding.union(passing).repartition("qb", "vb").sortWithinPartitions("qb", "vb", "kind")
     found = met.mapInArrow(run, schema).withColumn("score", F.round("score", 6))
     best = top_k(found, "score", k, ("query_id", *(["part"] if extra else [])))
     return best.withColumnRenamed("part", partition) if partition else best
@@ -650,7 +728,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, found: DataFrame, top: int =
     if boundary is not None:
         asked = asked.where(boundary.reason(F.col("query"), collections or (), filters) == "")
     allowed = chunks.where(user_facing(collections, filters) & review_allowed(F.col("review_status"), staging, mode) & matches_filter(filters or {}) & ~text.is_blank(F.col("content")))
-    rows = merge_candidates(found).join(allowed, "chunk_id").join(broadcast_if_small(settle(asked, "rewritten-queries"), 4096, 5_000), "query_id")
+    candidates = settle(merge_candidates(found), "candidates")  # so that few of them meet the texts where these lie
+    rows = allowed.join(broadcast_if_small(candidates, 256), "chunk_id").join(broadcast_if_small(settle(asked, "rewritten-queries"), 4096, 5_000), "query_id")
     fields = [F.col("title"), F.col("section"), F.array_join("topic_tags", " "), F.array_join("population_tags", " "), F.col("content")]
     rows = rows.where(term_support(F.concat("en_terms", "zh_terms"), *fields))
     rows = with_boosts(with_rerank(with_rrf(rows, rrf_k), "expanded_query"))

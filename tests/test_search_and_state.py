@@ -39,6 +39,29 @@ def test_bounds_drop_postings_and_no_text(spark):
     rows = lambda **how: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["raw_score"], 7), r["score"]) for r in retrieval.bm25(index, queries, 3, **how).collect())
     whole = rows()
     assert len(whole) > 100 and rows(few=0, seeds=2) == whole and rows(few=0, seeds=10_000) == whole
+    assert rows(held=0) == whole and rows(held=0, few=0, seeds=2) == whole and rows(held=0, few=0, seeds=10_000) == whole
+
+
+def test_few_queries_move_no_postings_and_no_vectors(spark, monkeypatch):
+    """Texts and vectors pass by the queries once, in any split into steps; the rows are those of joins and blocks."""
+    from pathlib import Path
+
+    from tarnweave.session import scratch_root
+
+    monkeypatch.setattr(retrieval, "SCORES", 40)
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choice("a b c d e f g".split()) for _ in range(rng.randrange(0, 12)))) for i in range(90)] + [(90, None)]
+    index = retrieval.build_index(spark.createDataFrame(docs, "chunk_id long, content string").repartition(3))
+    queries = spark.createDataFrame([(1, "a b b"), (2, "c"), (3, "z"), (4, "g a d e f")], "query_id long, query string")
+    rows = lambda **how: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["raw_score"], 7), r["score"]) for r in retrieval.bm25(index, queries, 4, **how).collect())
+    written = lambda: set(Path(scratch_root(spark).removeprefix("file:")).glob("tarnweave/index-postings*"))
+    before, whole = written(), rows()
+    assert len(whole) >= 8 and written() == before and rows(held=0) == whole
+    x = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(3)], i % 2) for i in range(50)], "vec_id long, embedding array<double>, half long")
+    for how in ({}, {"measure": "l2", "partition": "half"}):
+        near = retrieval.nearest(x, x.where("vec_id < 9"), 4, **how)
+        assert "REPARTITION" not in near._jdf.queryExecution().toString()
+        assert sorted(map(tuple, near.collect())) == sorted(map(tuple, retrieval.nearest(x, x.where("vec_id < 9"), 4, held=0, **how).collect()))
 
 
 def test_large_lexicons(spark):
