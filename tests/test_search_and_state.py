@@ -72,6 +72,12 @@ def test_large_lexicons(spark):
     texts = [(i, word(rng.randrange(60)).upper()) for i in range(60)] + [(None, "abc abc"), (3, "abcabc"), (61, None), (62, ""), (63, "x(.*)\nabcab")]
     got = {(r["doc_id"], r["term"]) for r in lexicon.matches(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
     assert got == {(i, t.lower()) for i, x in texts for t in terms if t and t.lower() in (x or "").lower()}
+    odd = spark.createDataFrame(texts + [(70, "ÄÖabcü" * 90), (71, "x" * 9), (70, "ZZ she")], "doc_id long, text string")
+    wanted = spark.createDataFrame([(t,) for t in [*terms, "öabcüä", "she", "xxxxxxxxx", "ü", "zz"]], "term string")
+    held, joined = ([tuple(r) for r in lexicon.matches(odd, wanted, held=n).collect()] for n in (lexicon.HELD, 0))
+    assert len(held) == len(set(held)) and set(held) == set(joined) and (70, "öabcüä") in held
+    plan = lexicon.matches(odd.where("doc_id > 3"), wanted)._jdf.queryExecution().toString()
+    assert "(?s)(?=(" not in plan  # no row for each gram of a text
     entries = [(k, f"t{k % 40}", [word(3), word(4)], [f"z{k % 7}"], [f"e{k % 5}"]) for k in range(60)]
     lex = spark.createDataFrame(entries, "place int, topic string, triggers array<string>, zh_terms array<string>, en_terms array<string>")
     asked = spark.createDataFrame([(i, t) for i, t in texts if t is not None] + [(1, texts[1][1])], "query_id long, query string")
