@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnweave.functions import text
+from tarnweave.llm._arrow import flat_text
 from tarnweave.session import broadcast_if_small, settle
 
 
@@ -55,12 +56,12 @@ def _least_windows(width: int, span: int) -> Callable[[Column], Column]:
     @F.arrow_udf("array<bigint>")
     def run(column: pa.Array) -> pa.Array:
         weights = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(width)], np.uint64)
-        out = []
-        for x in column:
-            data = np.frombuffer(x.as_py() or b"", np.uint8).astype(np.uint64)
-            n = len(data) - width + 1
+        flat, bounds = flat_text(column)
+        counts, kept = [0], [np.zeros(0, np.int64)]
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            data, n = flat[lo:hi], int(hi - lo) - width + 1
             if n < span:
-                out.append([])
+                counts.append(0)
                 continue
             h = np.zeros(n, np.uint64)
             for k in range(width):
@@ -70,8 +71,10 @@ def _least_windows(width: int, span: int) -> Callable[[Column], Column]:
             low = h[: n - span + 1].copy()
             for k in range(1, span):
                 np.minimum(low, h[k : k + len(low)], out=low)
-            out.append(np.unique(low).view(np.int64).tolist())
-        return pa.array(out, pa.list_(pa.int64()))
+            kept.append(np.unique(low).view(np.int64))
+            counts.append(len(kept[-1]))
+        # flat numbers, not one Python object each
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(counts).astype(np.int32)), pa.array(np.concatenate(kept)))
 
     return run
 

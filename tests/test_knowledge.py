@@ -134,3 +134,21 @@ def test_cases_and_decisions(spark, tmp_path):
     assert {r["dataset"]: (r["n"], r["ready"]) for r in files.pack_catalogue(rows, declared).collect()} == {"d": (2, True), "e": (0, False)}
     (tmp_path / "r.csv").write_text("\ufeffchunk_id,decision,reviewed_by\n1,approve,me\n2,reject,\n3,what,me\n4,Rejected,me\n", encoding="utf-8")
     assert [(r["chunk_id"], r["review_status"]) for r in files.review_decisions(spark, str(tmp_path / "r.csv")).orderBy("chunk_id").collect()] == [("1", "approved"), ("4", "rejected")]
+
+
+def test_windows_of_many_texts_are_flat_numbers():
+    """A batch's windows take the bytes of their hashes, twice at most while they are put together, and not an object each."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    texts = pa.array([rng.randbytes(5_000) for _ in range(200)] + [None, b"", b"short"], pa.binary())
+    run = leakage._least_windows(16, 3).func
+    tracemalloc.start()
+    found = run(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = len(found.flatten())
+    assert n > 300_000 and peak < 24 * n and found.to_pylist()[200:] == [[], [], []]
