@@ -6,7 +6,7 @@ by people and small. What is here is how they are weighed.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -51,6 +51,11 @@ def evidence(c: Column, terms: Column, around: int = 30) -> Column:
     return F.when(first.isNotNull(), F.substring(text.text_or_empty(c), start, at - start + F.length(first) + around))
 
 
+def _once(f: Callable[[Column], Column], **values: Column) -> Column:
+    """``f`` of a struct of the values, which are computed once a row however often ``f`` names them, in lambdas too."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), f), F.lit(0))
+
+
 @dataclass(frozen=True)
 class RiskLexicon:
     high: tuple[str, ...]
@@ -83,7 +88,12 @@ def assess_risk(sources: Mapping[str, Column], lex: RiskLexicon) -> Column:
     negated, so that a threat to others isn't lost.
     """
     body = F.array_join(F.filter(F.array(*(text.strip(c) for c in sources.values())), lambda t: t != ""), "\n")
-    low = F.lower(body)
+    named = F.array(*(F.struct(F.lit(n).alias("source"), text.strip(c).alias("content"), F.lower(text.strip(c)).alias("low"), reported(c, lex).alias("reported")) for n, c in sources.items()))
+    return _once(lambda x: _once(lambda y: _assessed(y, lex), body=x["body"], low=x["low"], named=x["named"], marked=_marked(x["low"], lex)), body=body, low=F.lower(body), named=named)
+
+
+def _marked(low: Column, lex: RiskLexicon) -> Column:
+    """The high terms in a text, each with whether it is denied."""
     how = {"words": lex.negations, "phrases": lex.phrases, "before": lex.near_negations}
 
     def deny(t: Column) -> Column:
@@ -91,11 +101,18 @@ def assess_risk(sources: Mapping[str, Column], lex: RiskLexicon) -> Column:
         own = [F.when(t == term, text.contains_any(low, phrases)) for term, phrases in lex.denials.items()]
         return F.coalesce(*own, usual) if own else usual
 
-    hits = F.filter(_terms(lex.high), lambda t: _found(low, t) & ~deny(t))
-    denied = F.filter(_terms(lex.high), lambda t: _found(low, t) & deny(t))
-    medium = F.filter(_terms(lex.medium), lambda t: F.contains(body, t))
-    named = F.array(*(F.struct(F.lit(n).alias("source"), text.strip(c).alias("content"), reported(c, lex).alias("reported")) for n, c in sources.items()))
-    by = lambda terms: F.filter(named, lambda s: F.exists(terms, lambda t: _found(F.lower(s["content"]), t)))
+    return F.transform(F.filter(_terms(lex.high), lambda t: _found(low, t)), lambda t: F.struct(t.alias("term"), deny(t).alias("denied")))
+
+
+def _assessed(x: Column, lex: RiskLexicon) -> Column:
+    of = lambda denied: F.transform(F.filter(x["marked"], lambda m: m["denied"] if denied else ~m["denied"]), lambda m: m["term"])
+    medium = F.filter(_terms(lex.medium), lambda t: F.contains(x["body"], t))
+    return _once(lambda y: _judged(x, y["hits"], y["denied"], y["medium"], lex), hits=of(False), denied=of(True), medium=medium)
+
+
+def _judged(x: Column, hits: Column, denied: Column, medium: Column, lex: RiskLexicon) -> Column:
+    low, named = x["low"], x["named"]
+    by = lambda terms: F.filter(named, lambda s: F.exists(terms, lambda t: _found(s["low"], t)))
     told = F.forall(by(hits), lambda s: s["reported"])
     high, mid = F.size(hits) > 0, F.size(medium) > 0
     no = ~high & ~mid & (F.size(denied) > 0)

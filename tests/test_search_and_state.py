@@ -251,3 +251,13 @@ def test_safety_misses_are_whole(spark):
     assert got == {(i, "missed_high_risk") for i in range(250)} | {(i, "false_positive") for i in range(250, 401)}
     r = evaluation.safety_report(rows).first()
     assert (r["high_risk_false_negative_count"], r["high_risk_false_positive_count"]) == (250, 151)
+
+
+def test_risk_parts_are_computed_once(spark):
+    """A text is stripped a few times a row, not once for every term and field that looks at it."""
+    from tarnweave.plans.rules import RISK
+
+    rows = spark.createDataFrame([("not a tion but with ment",), (None,), ("",)], "t string").select(classify.assess_risk({"text": F.col("t")}, RISK).alias("r"))
+    rows = rows.select("r.level", "r.matched_terms", "r.dimensions.negated", "r.dimensions.plan", "r.evidence")
+    assert [r["level"] for r in rows.collect()][1:] == ["low", "low"]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 12
