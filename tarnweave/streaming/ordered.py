@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -98,39 +99,104 @@ def _frame(columns: Iterable[str], rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=list(columns))
 
 
-class _Limiter(InOrder):
-    names, kinds = ("us", "event"), ("long", "long")
+#: Limiter buckets; each holds and counts the rows of many keys and windows together.
+BUCKETS = 256
+
+
+class _Limiter(StatefulProcessor):
+    """Counts a bucket of keys and windows; what is held or counted goes to state as blocks of rows, not row by row.
+
+    A counter depends on its own window's events only, so keys with many events are spread over
+    buckets by their windows, and many keys with few events share one.
+    """
 
     def __init__(self, columns: Sequence[str], limit: int, width: int) -> None:
         self.columns, self.limit, self.width = list(columns), limit, width
+        self.keys = self.columns[:-6]
+        self.rows = [*self.keys, "us", "known", "event"]
 
     def init(self, handle: Any) -> None:
-        super().init(handle)
-        self.counts = handle.getMapState("counts", "start long", "n long")
+        self.handle = handle
+        self.held = handle.getListState("held", "block binary")
+        self.counts = handle.getValueState("counts", "block binary")
 
-    def late(self, key: tuple, rows: list[tuple], mark: int) -> Iterator[pd.DataFrame]:
-        yield _frame(self.columns, [(*map(str, key), e, None if us < 0 else us // 10**6 // self.width * self.width, None, None, None, True) for us, e in rows])
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-int(us) // 1000))
 
-    def apply(self, key: tuple, rows: list[tuple], mark: int) -> Iterator[pd.DataFrame]:
-        held: dict[int, int] = {}
-        out = []
-        for us, event in rows:
-            second = us // 10**6
-            start = second // self.width * self.width
-            if start not in held:
-                held[start] = self.counts.getValue((start,))[0] if self.counts.containsKey((start,)) else 0
-                self.wake((start + self.width) * 10**6)
-            held[start] += 1
-            allowed = self.limit <= 0 or held[start] <= self.limit
-            out.append((*map(str, key), event, start, held[start], allowed, 0 if allowed else self.width - second % self.width, False))
-        for start, n in held.items():
-            self.counts.updateValue((start,), (n,))
-        if out:
-            yield _frame(self.columns, out)
-        # no row of these windows can come any more
-        for (start,) in list(self.counts.keys()):
-            if (start + self.width) * 10**6 <= mark:
-                self.counts.removeKey((start,))
+    def _out(self, rows: pd.DataFrame, **columns: Any) -> pd.DataFrame:
+        out = pd.DataFrame({k: rows[k].where(rows[k].notna(), "None") for k in self.keys}, columns=self.keys, index=rows.index)
+        out[self.columns[-6]] = rows["event"].astype("Int64").where(rows["known"])
+        return out.assign(**columns)[self.columns]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        for part in rows:
+            over = part[part["us"] <= mark]
+            if len(over):
+                start = (over["us"] // 10**6 // self.width * self.width).astype("Int64").where(over["us"] >= 0)
+                none = pd.array([pd.NA] * len(over), "Int64")
+                yield self._out(over, start=start, n=none, allowed=pd.array(none, "boolean"), retry_after=none, late=True)
+            fresh = part.loc[part["us"] > mark, self.rows]
+            if len(fresh):
+                self.held.appendValue((_block(fresh, self.keys),))
+                self._wake(fresh["us"].min())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        blocks = [_unblock(r[0]) for r in self.held.get()] if self.held.exists() else []
+        held = pd.concat(blocks, ignore_index=True) if blocks else None
+        due = None if held is None else held[held["us"] <= mark]
+        if due is not None and len(due):
+            rest = held[held["us"] > mark]
+            if len(rest):
+                self.held.put([(_block(rest, self.keys),)])
+                self._wake(rest["us"].min())
+            else:
+                self.held.clear()
+            yield self._decided(due, mark)
+        elif self.counts.exists():
+            self._count(_unblock(self.counts.get()[0]), mark)
+
+    def _decided(self, due: pd.DataFrame, mark: int) -> pd.DataFrame:
+        window = [*self.keys, "start"]
+        second = due["us"] // 10**6
+        rows = due.assign(second=second, start=second // self.width * self.width).sort_values(["us", "known", "event"])
+        n = rows.groupby(window, sort=False, dropna=False).cumcount() + 1
+        before = _unblock(self.counts.get()[0]) if self.counts.exists() else None
+        if before is not None:
+            rows = rows.merge(before, "left", window)  # rows stay in their order
+            n = n.to_numpy() + rows["n"].fillna(0).astype("int64")
+        rows["n"] = n
+        last = rows[[*window, "n"]] if before is None else pd.concat([before, rows[[*window, "n"]]], ignore_index=True)
+        self._count(last.groupby(window, sort=False, dropna=False, as_index=False)["n"].max(), mark)
+        allowed = (rows["n"] <= self.limit) | (self.limit <= 0)
+        return self._out(rows, start=rows["start"], n=rows["n"], allowed=allowed, retry_after=(self.width - rows["second"] % self.width).where(~allowed, 0), late=False)
+
+    def _count(self, counts: pd.DataFrame, mark: int) -> None:
+        """Keep the counters of windows of which rows can still come."""
+        kept = counts[(counts["start"] + self.width) * 10**6 > mark]
+        if len(kept):
+            self.counts.update((_block(kept, self.keys),))
+            self._wake((kept["start"].max() + self.width) * 10**6)
+        else:
+            self.counts.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _block(rows: pd.DataFrame, texts: Sequence[str]) -> bytes:
+    """Rows as Arrow bytes; columns that aren't ``texts`` are numbers and flags without nulls."""
+    kinds = {c: pa.string() if c in texts else pa.bool_() if c == "known" else pa.int64() for c in rows.columns}
+    table = pa.Table.from_pandas(rows, pa.schema(kinds.items()), preserve_index=False).replace_schema_metadata()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unblock(block: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(block)).read_pandas()
 
 
 def limiter(events: DataFrame, key: str | Sequence[str], limit: int, ts: str = "ts", event: str = "event_id", width: int = 60, lateness: str = LATENESS, clock: DataFrame | None = None) -> DataFrame:
@@ -145,9 +211,12 @@ def limiter(events: DataFrame, key: str | Sequence[str], limit: int, ts: str = "
     """
     keys = [key] if isinstance(key, str) else list(key)
     columns = [*keys, event, "start", "n", "allowed", "retry_after", "late"]
-    rows = _timed(events, [*(F.col(k).cast("string").alias(k) for k in keys), F.col(event).cast("long").alias("event")], ts, lateness, clock)
+    number = F.col(event).cast("long")
+    rows = _timed(events, [*(F.col(k).cast("string").alias(k) for k in keys), number.isNotNull().alias("known"), F.coalesce(number, F.lit(0)).alias("event")], ts, lateness, clock)
+    window = F.floor(F.col("us") / F.lit(width * 10**6))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys, window), F.lit(BUCKETS)))
     out = ", ".join([*(f"{k} string" for k in keys), f"{event} long", "start long", "n long", "allowed boolean", "retry_after long", "late boolean"])
-    return rows.groupBy(*keys).transformWithStateInPandas(_Limiter(columns, limit, width), out, "append", "eventTime")
+    return rows.groupBy("bucket").transformWithStateInPandas(_Limiter(columns, limit, width), out, "append", "eventTime")
 
 
 _RANK = {"queued": 0, "validating": 1, "processing": 2, "completed": 3, "failed": 3, "cancelled": 3}

@@ -162,3 +162,73 @@ def test_jobs_recover_after_a_stop(spark, tmp_path):
     feed.tick(at(720 + 600))
     got = states(feed.run(make, "update", "job_id"))
     assert got == {"waiting": ("processing", 10, at(700), 0), "new": ("queued", 0, at(700), 0)}  # flying has failed and old is done: neither changes
+
+
+class Handle:
+    """State of one group, with a count of the calls that go to it."""
+
+    def __init__(self):
+        self.calls, self.kept, self.timers = 0, {}, set()
+
+    def of(self, name):
+        handle = self
+
+        class State:
+            def exists(self):
+                handle.calls += 1
+                return name in handle.kept
+
+            def get(self):
+                handle.calls += 1
+                return handle.kept[name]
+
+            def update(self, value):
+                handle.calls += 1
+                handle.kept[name] = value
+
+            put = update
+
+            def appendValue(self, value):
+                handle.calls += 1
+                handle.kept.setdefault(name, []).append(value)
+
+            def clear(self):
+                handle.calls += 1
+                handle.kept.pop(name, None)
+
+        return State()
+
+    def getListState(self, name, _):
+        return self.of(name)
+
+    def getValueState(self, name, _):
+        return self.of(name)
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+
+class Mark:
+    def __init__(self, seconds):
+        self.seconds = seconds
+
+    def getCurrentWatermarkInMs(self):
+        return self.seconds * 1_000
+
+
+def test_limiter_calls_state_by_blocks(spark):
+    """3,000 rows of 1,000 keys, decided in two steps: calls to state don't grow with rows, keys or windows."""
+    import pandas as pd
+
+    seconds = [i % 3 * 50 for i in range(3_000)]  # 0 and 50 share a minute
+    rows = pd.DataFrame({"k": [f"k{i // 3}" for i in range(3_000)], "us": [s * 10**6 for s in seconds], "known": True, "event": range(3_000)})
+    limiter, handle = ordered._Limiter(["k", "event_id", "start", "n", "allowed", "retry_after", "late"], 1, 60), Handle()
+    limiter.init(handle)
+    assert list(limiter.handleInputRows((0,), iter([rows]), Mark(-1))) == []
+    got = {}
+    for mark in (20, 70, 170):
+        for frame in limiter.handleExpiredTimer((0,), Mark(mark), None):
+            got |= {r.event_id: (r.k, r.start, r.n, r.allowed, r.retry_after) for r in frame.itertuples()}
+    assert got == {i: (f"k{i // 3}", *((0, 1, True, 0), (0, 2, False, 10), (60, 1, True, 0))[i % 3]) for i in range(3_000)}
+    assert handle.calls < 40 and not handle.kept
