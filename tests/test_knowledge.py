@@ -171,3 +171,13 @@ def test_labels_lower_a_text_once(spark):
     out = docs.select(text.extend_unique(F.array(F.lit("Anger")), text.matching_labels(F.col("text"), knowledge.TOPIC_RULES)).alias("tags"))
     assert [r["tags"] for r in out.collect()] == [["Anger", "grief"], ["Anger"]]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(coalesce(text") == 1
+
+
+def test_leak_keys_are_hashed_once(spark):
+    rows = spark.createDataFrame([(1, "A text that is long enough."), (2, "a text, that is long enough!")], "item_id long, text string")
+    corpus = rows.withColumnRenamed("item_id", "id")
+    found = leakage.against_corpora(rows, {"one": corpus, "two": corpus})
+    # two keys for each corpus; those of the benchmark are settled
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 4
+    got = {(r["bench_id"], r["method"], r["corpus"], r["n"]) for r in found.collect()}
+    assert got == {(i, m, c, n) for i in "12" for c in ("one", "two") for m, n in (("exact", 1), ("normalized", 2))}
