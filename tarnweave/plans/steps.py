@@ -43,7 +43,7 @@ def file_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "json-array")
     docs = table(spark, sf_dir, "documents")
     lists = docs.groupBy(F.pmod("doc_id", F.lit(1 + docs.count() // 2_000)).alias("k")).agg(F.to_json(F.collect_list(F.struct("doc_id", "lang", "text"))).alias("value"))
-    lists.select("value").repartition(F.col("value")).write.option("maxRecordsPerFile", 1).text(path)
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
     name = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(name)
     spark.conf.set(name, str(1 << 18))

@@ -19,10 +19,10 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +33,8 @@ from tarnweave.session import settle
 _NEVER = 1 << 40
 _ESCAPE = re.compile(rb"\\.", re.DOTALL)
 _BLOCK = "file string, block long"
+_STEP = np.zeros(256, np.int8)
+_STEP[[0x5B, 0x7B]], _STEP[[0x5D, 0x7D]] = 1, -1
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -43,21 +45,28 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], dict, list[bytes]]]:
     """(file and block, the other columns' first values, pieces) of rows that follow one another."""
     for batch in batches:
-        keys = list(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True))
+        if not len(batch):
+            continue
+        file, block = batch.column("file"), batch.column("block")
         values, others = batch.column("value").cast(pa.binary()).to_pylist(), [n for n in batch.schema.names if n not in ("file", "block", "value")]
-        at = 0
-        for key, group in groupby(keys):
-            n = len(list(group))
-            yield key, {c: batch.column(c)[at].as_py() for c in others}, values[at : at + n]
-            at += n
+        # a block's rows follow one another, so it is only where they change that keys are looked at
+        change = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(block[1:], block[:-1]))
+        starts = [0, *(np.flatnonzero(change.to_numpy(zero_copy_only=False)) + 1).tolist()]
+        for at, end in zip(starts, [*starts[1:], len(batch)], strict=True):
+            yield (file[at].as_py(), block[at].as_py()), {c: batch.column(c)[at].as_py() for c in others}, values[at:end]
 
 
-def _structure(data: bytes, in_string: bool) -> tuple[np.ndarray, np.ndarray]:
-    """By byte: whether a string is open after it; by how much the depth has changed up to it."""
+def _signs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of quotes, places of brackets and braces, and by how much each of these changes the depth."""
     plain = np.frombuffer(_ESCAPE.sub(b"__", data) if b"\\" in data else data, np.uint8)
-    opened = (np.cumsum(plain == 0x22) + in_string) % 2 == 1
-    step = np.isin(plain, (0x5B, 0x7B)).astype(np.int64) - np.isin(plain, (0x5D, 0x7D))
-    return opened, np.cumsum(np.where(opened, 0, step))
+    step = _STEP[plain]
+    signs = np.flatnonzero(step)
+    return np.flatnonzero(plain == 0x22), signs, step[signs].astype(np.int64)
+
+
+def _open(quotes: np.ndarray, places: np.ndarray, in_string: bool) -> np.ndarray:
+    """Whether a string is open at places, a quote counting from its own place on."""
+    return (np.searchsorted(quotes, places, "right") + in_string) % 2 == 1
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,14 +76,15 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = b",".join(values) + b","
         state = seen.setdefault(key, [b"", 0, 0, 0, _NEVER, _NEVER])
         state[0] = state[0] or data[:-1].lstrip(b"\xef\xbb\xbf \t\r\n")[:1]
-        flips = 0
+        quotes, signs, step = _signs(data)
+        inside = _open(quotes, signs, bool(state[1]))
         for k in (0, 1):
-            opened, depth = _structure(data, bool((k + state[1]) % 2))
-            closing = np.flatnonzero(np.diff(depth, prepend=0) < 0)
-            state[4 + k] = min(state[4 + k], state[2 + k] + int(depth[closing].min())) if len(closing) else state[4 + k]
-            state[2 + k] += int(depth[-1])
-            flips = int(opened[-1]) ^ ((k + state[1]) % 2)
-        state[1] ^= flips
+            own = step[inside == bool(k)]
+            depth = np.cumsum(own)
+            if (own < 0).any():
+                state[4 + k] = min(state[4 + k], state[2 + k] + int(depth[own < 0].min()))
+            state[2 + k] += int(own.sum())
+        state[1] ^= len(quotes) % 2
     rows = [(file, block, s[0].decode("latin-1"), *s[1:]) for (file, block), s in seen.items()]
     schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("sign", pa.string()), *((n, pa.int64()) for n in ("flips", "delta0", "delta1", "low0", "low1"))])
     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
@@ -129,18 +139,21 @@ class _Cutter:
             self.after(b",".join(values))
             return
         data = b",".join(values) + b","
-        opened, change = _structure(data, self.quoted)
-        depth = self.depth + change
-        ends = np.cumsum([len(v) + 1 for v in values]) - 1
+        quotes, signs, step = _signs(data)
+        plain = ~_open(quotes, signs, self.quoted)
+        signs, depth = signs[plain], self.depth + np.cumsum(step[plain])
         start = 0
         if self.depth == 0:
-            first = np.flatnonzero((depth > 0) & ~opened)
+            first = np.flatnonzero(depth > 0)
             if not len(first):
                 return
-            start = int(first[0]) + 1
-        falls = np.flatnonzero((depth[start:] <= 0) & ~opened[start:])
-        stop = start + int(falls[0]) if len(falls) else len(data)
-        for at in ends[(ends >= start) & (ends < stop) & ~opened[ends] & (depth[ends] == 1)]:
+            start = int(signs[first[0]]) + 1
+        falls = signs[(depth <= 0) & (signs >= start)]
+        stop = int(falls[0]) if len(falls) else len(data)
+        ends = np.cumsum([len(v) + 1 for v in values]) - 1
+        ends = ends[(ends >= start) & (ends < stop)]
+        at_depth = np.concatenate([[self.depth], depth])[np.searchsorted(signs, ends)]
+        for at in ends[~_open(quotes, ends, self.quoted) & (at_depth == 1)]:
             yield self.row(b",".join([*self.open, data[start:at]]), True)
             start = int(at) + 1
         if stop < len(data):
@@ -149,7 +162,7 @@ class _Cutter:
             self.after(data[stop + 1 : -1])
         elif start < len(data):
             self.open.append(data[start:-1])
-        self.quoted, self.depth = bool(opened[-1]), int(depth[-1])
+        self.quoted, self.depth = bool((len(quotes) + self.quoted) % 2), int(depth[-1]) if len(depth) else self.depth
 
     def after(self, rest: bytes) -> None:
         if self.kind == "{" and rest.strip():

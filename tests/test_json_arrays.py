@@ -67,3 +67,28 @@ def test_faults(spark, tmp_path, said, why):
     (tmp_path / "f.json").write_text(said)
     with pytest.raises(Exception, match=why):
         json_arrays.array_items(spark, str(tmp_path)).collect()
+
+
+def test_signs_are_those_outside_strings():
+    """Places of brackets and what is open there, against one byte after the other, for both starts."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(200):
+        data = "".join(rng.choice('[]{}",a') if rng.random() < 0.9 else "\\\"" for _ in range(rng.randrange(60))).encode()
+        for start in (False, True):
+            quotes, signs, step = json_arrays._signs(data)
+            got = {int(p): (int(d), bool(o)) for p, d, o in zip(signs, step, json_arrays._open(quotes, signs, start), strict=True)}
+            want, opened, at = {}, start, 0
+            while at < len(data):
+                c = data[at : at + 1]
+                at += 1
+                if c == b"\\":
+                    at += 1
+                elif c == b'"':
+                    opened = not opened
+                elif c in b"[]{}":
+                    want[at - 1] = (1 if c in b"[{" else -1, opened)
+            assert got == want and bool((len(quotes) + start) % 2) == opened and quotes.dtype == np.int64
