@@ -248,14 +248,20 @@ def close_fingerprints(fps: DataFrame) -> DataFrame:
     """(a, b), a < b: distinct 32-bit fingerprints that differ in one or two bits.
 
     Two such fingerprints have a third within one bit of both, so each emits
-    itself and its 32 neighbours, and equal values are joined. A group has at
-    most 33 members, whatever the data: no bucket can grow hot.
+    itself and its 32 neighbours, and those of one value meet. A group has at
+    most 33 members, whatever the data: no bucket can grow hot. As a member is the value
+    but for one bit or none, a group is a mask of 33 bits, and its aggregate a plain number.
+    A pair meets at two values; that counts where the smaller one has the smaller bit.
     """
-    around = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b))))
-    keyed = fps.select("fp").distinct().select("fp", F.explode(around).alias("key"))
-    near = keyed.groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("ball")).where(F.size("ball") > 1)
-    pair = F.explode(F.flatten(F.transform("ball", lambda x: F.transform(F.filter("ball", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b"))))))
-    return near.select(pair.alias("p")).select("p.a", "p.b").distinct()
+    flipped = lambda c, b: c.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b).bitwiseAND(F.lit((1 << 32) - 1)))
+    bits = F.sequence(F.lit(0), F.lit(32))  # 32: the fingerprint itself
+    keyed = fps.select("fp", F.explode(bits).alias("bit")).select(flipped(F.col("fp"), F.col("bit")).alias("key"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit")).alias("mask"))
+    # nearly all values have one member, so that aggregates ahead of the shuffle would only cost
+    near = keyed.repartition("key").groupBy("key").agg(F.bit_or("mask").alias("mask")).where(F.bit_count("mask") > 1)
+    ball = F.transform(F.filter(bits, lambda b: F.call_function("shiftright", F.col("mask"), b).bitwiseAND(F.lit(1)) == 1), lambda b: F.struct(b.alias("bit"), flipped(F.col("key"), b).alias("fp")))
+    later = lambda x: F.filter("ball", lambda y: (y["bit"] > x["bit"]) & (y["fp"] > x["fp"]))
+    pair = F.explode(F.flatten(F.transform("ball", lambda x: F.transform(later(x), lambda y: F.struct(x["fp"].alias("a"), y["fp"].alias("b"))))))
+    return near.select(ball.alias("ball")).select(pair.alias("p")).select("p.a", "p.b")
 
 
 def first_kept(nodes: DataFrame, edges: DataFrame) -> DataFrame:

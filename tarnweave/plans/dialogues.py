@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnweave.operators import curation, selection
 from tarnweave.plans.common import PROSE
-from tarnweave.session import scratch_path, table
+from tarnweave.session import scratch_path, settle, table
 from tarnweave.streaming import duplicates as stream
 
 _P = PROSE
@@ -70,8 +70,9 @@ def conv_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as a stream: documents in two batches, the second one twice (held against ``conv_duplicates`` in the tests)."""
+    """The same as a stream: documents in two batches, the second one twice, hashed ahead of the sink (held against ``conv_duplicates`` in the tests)."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), F.array(F.struct(F.lit("user").alias("role"), F.coalesce("text", F.lit("")).alias("content"))).alias("messages"))
+    docs = settle(curation.with_hashes(docs).drop("messages"), "hashed-documents")
     end, path = docs.agg(F.max("conv_id")).first()[0] or 0, scratch_path(spark, "duplicates")
     take = stream.duplicates_sink(path)
     for epoch in (0, 1, 1):

@@ -1,8 +1,8 @@
 """Duplicates of records in a stream: exact, normalised and close fingerprints, against all that was kept before.
 
-State is a table of the kept records' hashes. A batch meets only those kept
-records that share a key with it: a hash, or, for fingerprints at most two bits
-apart, one of the values within a bit of both. Records of a batch come in the order of
+State is a table of the kept records' hashes. A batch and all that counts of the
+state are decided together: kept records aren't linked to each other (and equal texts have equal
+fingerprints), so every link found has a record of the batch. Records of a batch come in the order of
 their ids, batches in the order of their epochs, so records in the order of ids
 give the same duplicates in any split into batches as all at once.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnweave.operators import curation
@@ -19,14 +19,8 @@ from tarnweave.session import settle
 from tarnweave.streaming.keyed import KeyedTable
 
 
-def _keys(rows: DataFrame) -> Column:
-    """All keys of a record: hashes with their kind, and each value within a bit of its fingerprint."""
-    around = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b)))
-    return F.concat(F.array(F.concat(F.lit("e"), "exact_hash"), F.concat(F.lit("n"), "normalized_hash"), F.col("fp").cast("string")), F.transform(around, lambda x: x.cast("string")))
-
-
 def duplicates_sink(path: str, id_col: str = "conv_id", remember: int | None = None) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink of records (id, messages): decisions and kept records below ``path``, both or neither for a batch.
+    """A ``foreachBatch`` sink of records (id, and messages or the columns of ``curation.with_hashes``): decisions and kept records below ``path``, both or neither for a batch.
 
     ``remember``: how many epochs a kept record counts; None: for ever. A batch that
     is run again sees what it saw before, the records kept in earlier epochs.
@@ -35,14 +29,13 @@ def duplicates_sink(path: str, id_col: str = "conv_id", remember: int | None = N
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        rows = curation.with_hashes(batch).select(F.col(id_col).alias("id"), "exact_hash", "normalized_hash", F.col("simhash").alias("fp"))
+        hashed = batch if {"exact_hash", "normalized_hash", "simhash"} <= set(batch.columns) else curation.with_hashes(batch)
+        rows = hashed.select(F.col(id_col).alias("id"), "exact_hash", "normalized_hash", F.col("simhash").alias("fp"))
         rows = settle(rows.withColumn("seen", F.lit(epoch).cast("long")), "batch-records")
         try:
             before = kept.read(spark).where(F.col("seen") < epoch)
             before = before if remember is None else before.where(F.col("seen") >= epoch - remember)
-            wanted = rows.select(F.explode(_keys(rows)).alias("key")).distinct()
-            met = before.select("id", F.explode(_keys(before)).alias("key")).join(wanted, "key", "left_semi").select("id").distinct()
-            both = before.join(met, "id", "left_semi").unionByName(rows)
+            both = before.unionByName(rows)
         except ValueError:  # the first batch
             both = rows
         place = F.struct("seen", "id")

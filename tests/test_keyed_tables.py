@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 from tarnweave.operators import curation
+from tarnweave.plans import dialogues
 from tarnweave.streaming import duplicates, keyed
 
 ROWS = "k string, v long, at long"
@@ -81,3 +82,26 @@ def test_duplicates_in_any_split(spark, tmp_path, cuts):
     kept, told = duplicates.tables(str(tmp_path / "d"))
     assert {(r["conv_id"], r["duplicate_of"], r["method"]) for r in told.read(spark).collect()} == whole and len(whole) > 20
     assert kept.read(spark).count() == 40 - len(whole)
+
+
+def test_hashed_records_in_batches(spark, tmp_path):
+    """The sink takes records that were hashed ahead, without their messages, against what was kept within and beyond ``remember``."""
+    words = ["alpha beta gamma", "one two three", "alpha beta gamma!", "four five six", "One two three", "alpha beta gamma"]
+    recs = spark.createDataFrame([(i, [("user", t)]) for i, t in enumerate(words)], "conv_id long, messages array<struct<role string, content string>>")
+    hashed = curation.with_hashes(recs).drop("messages")
+    for remember, want in ((None, {2: 0, 4: 1, 5: 0}), (1, {2: 0})):  # 2 isn't kept, so 5 repeats nothing of the batch before it
+        take = duplicates.duplicates_sink(str(tmp_path / f"d{remember}"), remember=remember)
+        for epoch, (a, b) in enumerate(((0, 2), (2, 4), (4, 6))):
+            take(hashed.where(f"conv_id >= {a} and conv_id < {b}"), epoch)
+        got = {r["conv_id"]: r["duplicate_of"] for r in duplicates.tables(str(tmp_path / f"d{remember}"))[1].read(spark).collect()}
+        assert got == want
+
+
+def test_stream_hashes_documents_once(spark, tmp_path, monkeypatch):
+    calls = []
+    monkeypatch.setattr(curation, "with_hashes", lambda df, f=curation.with_hashes: calls.append(1) or f(df))
+    rows = [(i, t) for i, t in enumerate(["a b c", None, "A b, c", "d e f", "", "d e f"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in dialogues.stream_duplicates(spark, str(tmp_path)).select("conv_id", "duplicate_of", "method").collect()}
+    assert len(calls) == 1
+    assert got == {tuple(r) for r in dialogues.conv_duplicates(spark, str(tmp_path)).collect()} and len(got) == 3
