@@ -11,7 +11,8 @@ anagrams of concatenated parts and loses no pair. What meets is verified by edit
 distance, so that nothing depends on hashes.
 
 A word emits at most a row for each different letter and side, however long it
-is, so groups need no cap; rows carry hashes of words and not the words.
+is, so groups need no cap; rows carry hashes of words and not the words. Every
+join is a shuffle join (``shuffled``), as all sides are as large as the vocabulary.
 
 Cases: null and empty texts have no words. A null id counts as the empty text.
 Rows that are repeated count as often as they are there. Other columns are left
@@ -39,6 +40,15 @@ POWER, MODULUS = 5, 2**61 - 1
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast.
+
+    Spark sizes a table by its compressed files and the widths of its columns, and an explode by
+    columns alone: it takes ten million rows of exploded words for 7 MB and would gather them in the driver.
+    """
+    return df.hint("merge")
+
+
 def damaged(doc_id: Column, run: Column) -> Column:
     """The run without one letter where the checksum of document and run is divisible by ``DAMAGE``."""
     h = F.crc32(F.encode(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run), "UTF-8"))
@@ -92,13 +102,13 @@ def candidate_pairs(words: DataFrame) -> DataFrame:
     other = rows.select("meet", F.col("id").alias("b"), F.col("gone").alias("gone_b"))
     longer = F.col("gone_b") == 0
     swapped = (F.col("gone_b") != F.col("gone")) & (F.col("id") <= F.col("b"))
-    return rows.join(other, "meet").where((F.col("gone") != 0) & (longer | swapped)).select(F.col("id").alias("a"), "b", "side")
+    return rows.join(shuffled(other), "meet").where((F.col("gone") != 0) & (longer | swapped)).select(F.col("id").alias("a"), "b", "side")
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """(word, other, other_n): both directions of every link, once each. ``words``: (word, n, id, key), settled."""
     side = lambda x: words.select(F.col("id").alias(x), F.col("word").alias(f"word_{x}"), F.col("n").alias(f"n_{x}"))
-    pairs = candidate_pairs(words).join(side("a"), "a").join(side("b"), "b")
+    pairs = candidate_pairs(words).join(shuffled(side("a")), "a").join(shuffled(side("b")), "b")
     cut = _middle(F.greatest(F.length("word_a"), F.length("word_b")))
     # of words that agree before the cut, the pair of side 0 counts
     once = (F.col("side") == 0) | (F.substring("word_a", F.lit(1), cut) != F.substring("word_b", F.lit(1), cut))
@@ -115,7 +125,7 @@ def roots(forms: DataFrame) -> DataFrame:
     reach = settle(forms.select("word", F.col("form").alias("root")), "reach")
     while True:
         onward = reach.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
-        met = settle(reach.join(onward, "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")), "reach")
+        met = settle(reach.join(shuffled(onward), "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")), "reach")
         drop_settled(reach)
         reach = met.select("word", "root")
         if not met.where("moved").limit(1).count():
@@ -131,8 +141,8 @@ def group_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words = settle(word_counts(docs, id_col, text_col).withColumns({"id": F.xxhash64("word"), "key": anagram_key(F.col("word"))}), "words")
     best = F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("word"))).alias("best")
     near = near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), best)
-    rows = words.select("word", "n").join(near, "word", "left")
+    rows = words.select("word", "n").join(shuffled(near), "word", "left")
     takes = -F.col("best.less") >= RATIO * F.col("n")
     rows = settle(rows.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(takes, F.col("best.word")).alias("form"), F.when(takes, -F.col("best.less")).alias("form_n")), "forms")
     ends = roots(rows.where("form is not null"))
-    return rows.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rows.join(shuffled(ends), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

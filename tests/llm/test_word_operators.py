@@ -82,6 +82,17 @@ def test_variants(spark):
     assert variants.group_variants(table(spark, docs and [(1, "a", "b")]).limit(0)).count() == 0
 
 
+def test_variants_broadcast_nothing(spark):
+    """Whatever size Spark takes the exploded words for, no join gathers them in the driver: a broadcast of 1 KB would fail here."""
+    docs = [(i, f"kathedrale{'abcdefgh'[i % 8]} kathedrale strassenbahn" + "en" * (i % 3)) for i in range(300)]
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1k")
+    try:
+        got = variant_rows(variants.group_variants(table(spark, [(*d, "en") for d in docs])))
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert len(got) == len(set(got)) and set(got) == plain_variants(docs) and any(r[1] for r in got)
+
+
 def test_anagram_keys_tell_exchanges_apart():
     powers = [c**variants.POWER for c in [*range(97, 123), *range(0xC0, 0x100)]]
     assert len({a - b for a, b in permutations(powers, 2)}) == len(powers) * (len(powers) - 1)
