@@ -45,7 +45,8 @@ def fingerprint32(text: Column) -> Column:
     Longer texts are thinned to 320 tokens at even steps; a bit is set if at
     least half of the values have it. The votes of 32 bits are one numpy step a
     text, in Arrow batches; as lambdas they would be thousands of calls. Texts pass to
-    Python whole, as lists of tokens cost more than the votes.
+    Python whole, as lists of tokens cost more than the votes. No query goes by this
+    sample of a text; records have ``whole_fingerprint32``.
     """
 
     @F.arrow_udf("bigint")
@@ -64,3 +65,33 @@ def fingerprint32(text: Column) -> Column:
         return pa.array(out, pa.int64())
 
     return vote(F.lower(text))
+
+
+def whole_fingerprint32(text: Column) -> Column:
+    """A 32-bit SimHash of CRC-32 values over all words and single ideographs of a text and all pairs of neighbours.
+
+    A bit is set if at least half of the values have it. Texts pass to Python
+    whole, as bytes, and vote in blocks of tokens: a long one takes no more memory than its bytes
+    and a block. A pair's value goes on from that of its first token.
+    """
+
+    @F.arrow_udf("bigint")
+    def vote(texts: pa.Array) -> pa.Array:
+        import re
+        from itertools import islice
+        from zlib import crc32
+
+        # U+4E00 to U+9FFF, the ideographs, in UTF-8
+        tokens, out = re.compile(rb"\xe4[\xb8-\xbf][\x80-\xbf]|[\xe5-\xe9][\x80-\xbf]{2}|[A-Za-z0-9]+"), []
+        for whole in texts.cast(pa.large_binary()).to_pylist():
+            found, ones, n, last = tokens.finditer(whole or b""), np.zeros(32, np.int64), 0, []
+            while block := [m[0] for m in islice(found, 1 << 16)]:
+                single = [crc32(w) for w in block]
+                before = last + single[:-1]
+                values = np.array(single + [crc32(w, c) for w, c in zip(block[len(block) - len(before) :], before, strict=True)], "<u4")
+                ones += np.unpackbits(values.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                n, last = n + len(values), single[-1:]
+            out.append(int(np.packbits(2 * ones >= n, bitorder="little").view("<u4")[0]))
+        return pa.array(out, pa.int64())
+
+    return vote(F.lower(text))

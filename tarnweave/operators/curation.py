@@ -236,9 +236,9 @@ def reject_reason() -> Column:
 
 
 def with_hashes(recs: DataFrame) -> DataFrame:
-    """``recs`` with exact_hash (of the messages as compact JSON), normalized_hash and a 32-bit fingerprint of the text."""
+    """``recs`` with exact_hash (of the messages as compact JSON), normalized_hash and a 32-bit fingerprint of the whole text."""
     key = text.dense_key(all_text(F.col("messages")))
-    return recs.withColumns({"exact_hash": F.sha2(F.to_json("messages"), 256), "_key": key}).withColumns({"normalized_hash": F.sha2("_key", 256), "simhash": numbers.fingerprint32(F.col("_key"))}).drop("_key")
+    return recs.withColumns({"exact_hash": F.sha2(F.to_json("messages"), 256), "_key": key}).withColumns({"normalized_hash": F.sha2("_key", 256), "simhash": numbers.whole_fingerprint32(F.col("_key"))}).drop("_key")
 
 
 # --- duplicates -------------------------------------------------------------
